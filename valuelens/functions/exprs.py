@@ -17,6 +17,8 @@ __all__ = [
     "tokens",
     "null_if_blank",
     "round_even",
+    "rnd",
+    "sql_rnd",
 ]
 
 # A plain decimal literal: optional sign, digits with optional fraction, optional exponent.
@@ -84,3 +86,27 @@ def tokens(c, delimiter: str = ",") -> Column:
 
 def round_even(c, scale: int = 0) -> Column:
     return F.bround(col_or_lit(c), scale)
+
+
+def rnd(c, digits: int = 0, even: bool = False) -> Column:
+    """Round to ``digits`` decimals by scaling, rounding to an integer and unscaling.
+
+    Scaling first makes ties behave the same on every engine that does IEEE
+    arithmetic (the SQL twin is ``sql_rnd``); ``even`` rounds ties to even as
+    Python's ``round`` does, otherwise ties go away from zero.
+    """
+    c = col_or_lit(c)
+    f = F.bround if even else F.round
+    if digits == 0:
+        return f(c, 0)
+    scale = float(10 ** digits)
+    return f(c * scale, 0) / scale
+
+
+def sql_rnd(expr: str, digits: int = 0, even: bool = False) -> str:
+    """DuckDB twin of :func:`rnd`."""
+    fn = "round_even" if even else "round"
+    if digits == 0:
+        return f"{fn}(({expr}), 0)"
+    scale = float(10 ** digits)
+    return f"({fn}(({expr}) * {scale}, 0) / {scale})"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valuelens.functions.exprs import tokens
+from valuelens.functions.exprs import rnd, tokens
 from valuelens.operators.quantiles import DEFAULT_MAX_GROUP_ROWS, group_quantiles
 
 
@@ -64,14 +64,14 @@ def category_impact(
         F.col("_n").alias("n_rows"),
         F.bround("_min", 0).alias("min_target"),
         F.bround("_max", 0).alias("max_target"),
-        F.bround(F.try_divide(F.col("_mean") - F.col("_om"), F.col("_om")) * 100, 1).alias("pct_diff"),
+        rnd(F.try_divide(F.col("_mean") - F.col("_om"), F.col("_om")) * 100, 1, even=True).alias("pct_diff"),
         F.bround("_om", 0).alias("overall_mean"),
     )
     per_col = g.groupBy("cat_column").agg(
         F.count(F.lit(1)).alias("n_categories"),
         F.when(F.count(F.lit(1)) > 1, F.stddev_pop("mean_target")).otherwise(F.lit(0.0)).alias("_spread"),
     )
-    return g.join(per_col, "cat_column").withColumn("column_spread", F.bround("_spread", 2)).drop("_spread")
+    return g.join(per_col, "cat_column").withColumn("column_spread", rnd("_spread", 2, even=True)).drop("_spread")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -22,11 +22,11 @@ g AS (SELECT cat_column, cat_value, avg(t) AS m, median(t) AS med, count(*) AS n
 om AS (SELECT avg(t) AS om FROM base),
 r AS (SELECT cat_column, cat_value, round_even(m, 0) AS mean_target, round_even(med, 0) AS median_target,
              n AS n_rows, round_even(mn, 0) AS min_target, round_even(mx, 0) AS max_target,
-             round_even((m - om) / om * 100, 1) AS pct_diff, round_even(om, 0) AS overall_mean
+             round_even((m - om) / om * 100 * 10.0, 0) / 10.0 AS pct_diff, round_even(om, 0) AS overall_mean
       FROM g CROSS JOIN om),
 pc AS (SELECT cat_column, count(*) AS n_categories,
               CASE WHEN count(*) > 1 THEN stddev_pop(mean_target) ELSE 0 END AS sp FROM r GROUP BY cat_column)
-SELECT r.*, pc.n_categories, round_even(pc.sp, 2) AS column_spread FROM r JOIN pc USING (cat_column)
+SELECT r.*, pc.n_categories, round_even(pc.sp * 100.0, 0) / 100.0 AS column_spread FROM r JOIN pc USING (cat_column)
 """
 
 

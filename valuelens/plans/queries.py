@@ -1,3 +1,4 @@
 """Registered queries: import every module that declares some."""
 
 from valuelens.plans import q_stats  # noqa: F401
+from valuelens.plans import q_clean  # noqa: F401
