@@ -2,3 +2,4 @@
 
 from valuelens.plans import q_stats  # noqa: F401
 from valuelens.plans import q_clean  # noqa: F401
+from valuelens.plans import q_models  # noqa: F401
