@@ -3,3 +3,5 @@
 from valuelens.plans import q_stats  # noqa: F401
 from valuelens.plans import q_clean  # noqa: F401
 from valuelens.plans import q_models  # noqa: F401
+from valuelens.plans import q_train  # noqa: F401
+from valuelens.plans import q_value  # noqa: F401
