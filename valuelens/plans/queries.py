@@ -6,3 +6,4 @@ from valuelens.plans import q_models  # noqa: F401
 from valuelens.plans import q_train  # noqa: F401
 from valuelens.plans import q_value  # noqa: F401
 from valuelens.plans import q_similar  # noqa: F401
+from valuelens.plans import q_search  # noqa: F401
