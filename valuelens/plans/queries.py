@@ -7,3 +7,5 @@ from valuelens.plans import q_train  # noqa: F401
 from valuelens.plans import q_value  # noqa: F401
 from valuelens.plans import q_similar  # noqa: F401
 from valuelens.plans import q_search  # noqa: F401
+from valuelens.plans import q_sources  # noqa: F401
+from valuelens.plans import q_selection  # noqa: F401

@@ -52,3 +52,11 @@ def broadcast_limit_rows(spark: SparkSession, default: int = 2_000_000) -> int:
         return int(spark.conf.get("valuelens.broadcast.maxRows", str(default)))
     except Exception:
         return default
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never a machine-local path on a cluster)."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/valuelens-scratch/{name}-{uuid.uuid4().hex[:12]}"
