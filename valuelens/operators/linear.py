@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuelens.session import broadcast_limit_rows
+from valuelens.session import broadcast_limit_rows, ship_package
 
 FULL = -1  # fold id of the fit on all folds
 
@@ -83,6 +83,7 @@ def solve_folds(mom: DataFrame, p: int, group: Sequence[str] = (), fold: str | N
     """(group..., _fold, _intercept, _coef array, _n_train): full fit (_fold = -1)
     plus, when folds exist, one fit per held-out fold on the other folds."""
     group = list(group)
+    ship_package(mom.sparkSession)
     q = p + 1
     gcol = group if group else ["_g"]
     m = mom if group else mom.withColumn("_g", F.lit(0))
@@ -109,7 +110,8 @@ def solve_folds(mom: DataFrame, p: int, group: Sequence[str] = (), fold: str | N
         return pd.DataFrame(out, columns=gcol + ["_fold", "_intercept", "_coef", "_n_train"])
 
     res = m.groupBy(*gcol).applyInPandas(fit, schema)
-    return res if group else res.drop("_g")
+    res = res if group else res.drop("_g")
+    return res.persist()  # small (groups x folds rows); reused by every scoring pass
 
 
 def predict(df: DataFrame, coefs: DataFrame, xcols: Sequence[str], group: Sequence[str] = (), fold: str | None = None, out: str = "prediction") -> DataFrame:

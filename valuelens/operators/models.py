@@ -196,21 +196,32 @@ def train_model(
         r = regression_metrics(p, target, "_pred").first()
         return {"r2": r["r2"], "mae": r["mae"], "mape": r["mape"], "n": r["n_rows"]}
 
-    if n >= HOLDOUT_MIN_ROWS:
-        # 80/20 holdout; the stored model is the one fitted on the 80 %
-        m_fit, p = evaluate(x.where(F.col("_fold") != 0), x.where(F.col("_fold") == 0))
-        hold = metrics_of(p)
-        test_n = hold["n"]
-        train_n = n - test_n
-    else:
-        m_fit, _ = evaluate(x, x.limit(0))
-        hold, train_n, test_n = None, n, n
-    # k-fold CV predictions over all rows (linear: every fold from one moments pass)
     if kind == "linear":
+        # one moments pass: every leave-fold-out fit; the 80/20 holdout is fold 0 of the same folds,
+        # so its model is the leave-fold-0-out fit and one scoring pass yields both metric sets
         coefs = L.fit_linear(x, enc.columns, "_yfit", fold="_fold")
         oof = L.predict(x, coefs, enc.columns, fold="_fold", out="_raw")
         oof = oof.withColumn("_pred", F.expm1("_raw") if log else F.col("_raw"))
+        both = _two_metrics(oof, target, F.col("_fold") == 0).first()
+        cv = {"r2": both["r2_all"], "mae": both["mae_all"], "mape": both["mape_all"], "n": both["n_all"]}
+        if n >= HOLDOUT_MIN_ROWS:
+            hold = {"r2": both["r2_sub"], "mae": both["mae_sub"], "mape": both["mape_sub"], "n": both["n_sub"]}
+            stored = coefs.where(F.col("_fold") == 0).withColumn("_fold", F.lit(L.FULL).cast("long"))
+            train_n, test_n = n - hold["n"], hold["n"]
+        else:
+            hold, train_n, test_n = cv, n, n
+            stored = coefs.where(F.col("_fold") == L.FULL)
+        m_fit = TrainedModel(model_type, target, feats, enc, log, coefs=stored.persist())
     else:
+        if n >= HOLDOUT_MIN_ROWS:
+            # 80/20 holdout; the stored model is the one fitted on the 80 %
+            m_fit, p = evaluate(x.where(F.col("_fold") != 0), x.where(F.col("_fold") == 0))
+            hold = metrics_of(p)
+            test_n = hold["n"]
+            train_n = n - test_n
+        else:
+            m_fit, _ = evaluate(x, x.limit(0))
+            hold, train_n, test_n = None, n, n
         parts = []
         for k in range(cv_folds):
             _, pk = evaluate(x.where(F.col("_fold") != k), x.where(F.col("_fold") == k))
@@ -218,9 +229,9 @@ def train_model(
         oof = parts[0]
         for pk in parts[1:]:
             oof = oof.unionByName(pk)
-    cv = metrics_of(oof)
-    if hold is None:
-        hold = cv
+        cv = metrics_of(oof)
+        if hold is None:
+            hold = cv
     m.coefs, m.ml_model, m.stack = m_fit.coefs, m_fit.ml_model, m_fit.stack
     m.metrics = {
         "r2": hold["r2"], "mae": hold["mae"], "r2_cv": cv["r2"], "mae_cv": cv["mae"], "mape_cv": cv["mape"],
@@ -236,6 +247,19 @@ def train_model(
     return m
 
 
+def _two_metrics(p: DataFrame, target: str, subset) -> DataFrame:
+    """R², MAE, MAPE over all rows and over a subset of them, in one aggregate."""
+    y = F.col(target).cast("double")
+    e = y - F.col("_pred")
+    ape = F.abs(e) / F.when(y == 0, F.lit(1.0)).otherwise(y) * 100
+    out = []
+    for tag, cond in (("all", F.lit(True)), ("sub", subset)):
+        yy, ee, aa = F.when(cond, y), F.when(cond, e), F.when(cond, ape)
+        out += [F.count(yy).alias(f"n_{tag}"), (1 - F.try_divide(F.sum(ee * ee), F.var_pop(yy) * F.count(yy))).alias(f"r2_{tag}"),
+                F.avg(F.abs(ee)).alias(f"mae_{tag}"), F.avg(aa).alias(f"mape_{tag}")]
+    return p.agg(*out)
+
+
 def metrics_frame(m: TrainedModel, spark) -> DataFrame:
     """The metrics dict as a one-row DataFrame (doubles, sizes as longs)."""
     keys = sorted(m.metrics)
