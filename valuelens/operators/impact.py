@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from valuelens.functions.exprs import rnd, tokens
 from valuelens.operators.quantiles import DEFAULT_MAX_GROUP_ROWS, group_quantiles
 
+_OVERALL = "\u0000overall"  # pseudo-column name no real column can have
+
 
 def long_categories(df: DataFrame, columns: Sequence[str], target: str, delimiter: str = "") -> DataFrame:
     """Unpivot categorical columns to (cat_column, cat_value, _t).
@@ -45,7 +47,10 @@ def category_impact(
     group) and orders the columns, ``n_categories`` counts surviving groups.
     """
     long = long_categories(df, columns, target, delimiter)
-    g = group_quantiles(
+    # the overall statistics ride along as one more "column" of the same passes (no extra scan)
+    overall = df.select(F.lit(_OVERALL).alias("cat_column"), F.lit("").alias("cat_value"), F.col(target).cast("double").alias("_t"))
+    long = long.unionByName(overall.where(F.col("_t").isNotNull()))
+    stats = group_quantiles(
         long,
         ["cat_column", "cat_value"],
         "_t",
@@ -53,19 +58,20 @@ def category_impact(
         ["_median"],
         extra={"_mean": "avg", "_min": "min", "_max": "max"},
         max_group_rows=max_group_rows,
-    ).where(F.col("_n") >= min_count)
-    overall = df.agg(F.avg(F.col(target).cast("double")).alias("_om"))  # exactly one row
-    g = g.crossJoin(F.broadcast(overall))
+    ).persist()
+    om = stats.where(F.col("cat_column") == _OVERALL).select(F.col("_mean").alias("_om"), F.col("_median").alias("_omed"))
+    g = stats.where((F.col("cat_column") != _OVERALL) & (F.col("_n") >= min_count)).crossJoin(F.broadcast(om))  # om: one row
     g = g.select(
         "cat_column",
         "cat_value",
-        F.bround("_mean", 0).alias("mean_target"),
-        F.bround("_median", 0).alias("median_target"),
+        rnd("_mean", 0, even=True).alias("mean_target"),
+        rnd("_median", 0, even=True).alias("median_target"),
         F.col("_n").alias("n_rows"),
-        F.bround("_min", 0).alias("min_target"),
-        F.bround("_max", 0).alias("max_target"),
+        rnd("_min", 0, even=True).alias("min_target"),
+        rnd("_max", 0, even=True).alias("max_target"),
         rnd(F.try_divide(F.col("_mean") - F.col("_om"), F.col("_om")) * 100, 1, even=True).alias("pct_diff"),
-        F.bround("_om", 0).alias("overall_mean"),
+        rnd("_om", 0, even=True).alias("overall_mean"),
+        rnd("_omed", 0, even=True).alias("overall_median"),
     )
     per_col = g.groupBy("cat_column").agg(
         F.count(F.lit(1)).alias("n_categories"),

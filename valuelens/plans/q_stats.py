@@ -19,10 +19,10 @@ WITH base AS ({base}),
 long AS ({parts}),
 g AS (SELECT cat_column, cat_value, avg(t) AS m, median(t) AS med, count(*) AS n, min(t) AS mn, max(t) AS mx
       FROM long GROUP BY cat_column, cat_value HAVING count(*) >= 5),
-om AS (SELECT avg(t) AS om FROM base),
+om AS (SELECT avg(t) AS om, median(t) AS omed FROM base),
 r AS (SELECT cat_column, cat_value, round_even(m, 0) AS mean_target, round_even(med, 0) AS median_target,
              n AS n_rows, round_even(mn, 0) AS min_target, round_even(mx, 0) AS max_target,
-             round_even((m - om) / om * 100 * 10.0, 0) / 10.0 AS pct_diff, round_even(om, 0) AS overall_mean
+             round_even((m - om) / om * 100 * 10.0, 0) / 10.0 AS pct_diff, round_even(om, 0) AS overall_mean, round_even(omed, 0) AS overall_median
       FROM g CROSS JOIN om),
 pc AS (SELECT cat_column, count(*) AS n_categories,
               CASE WHEN count(*) > 1 THEN stddev_pop(mean_target) ELSE 0 END AS sp FROM r GROUP BY cat_column)
