@@ -57,6 +57,7 @@ def main() -> None:
                 samples.append(time.perf_counter() - t0)
             samples.sort()
             times[n] = round(samples[len(samples) // 2], 3)
+            print(f"bench {n}: {times[n]}s", file=sys.stderr, flush=True)
         except Exception as e:  # noqa: BLE001
             print(f"bench {n} failed: {e!r}"[:300], file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

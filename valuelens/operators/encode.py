@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuelens.functions.exprs import tokens, try_num
@@ -48,6 +48,7 @@ class FeatureSpec:
     stats_rows: int = 0
     global_median: float | None = None
     has_ppsf: bool = False
+    area_col: str | None = None  # E5: area column of the price-per-area encoding
 
 
 @dataclass
@@ -67,7 +68,7 @@ class Encoders:
         """encoded column -> base feature (importances are summed per base, §Q5)."""
         return {c: s.name for s in self.specs for c in s.out}
 
-    def transform(self, df: DataFrame, mode: str = "fit", area_col: str = "sqft", score_area: float = 1000.0) -> DataFrame:
+    def transform(self, df: DataFrame, mode: str = "fit", score_area: float = 1000.0) -> DataFrame:
         """Append the encoded columns.  ``mode='fit'`` reproduces training-time
         encoding (nulls -> 'Unknown', median fill); ``mode='score'`` the scoring
         rules (unseen/null label -> 0, mean fill, target fallback global median)."""
@@ -95,8 +96,9 @@ class Encoders:
                 g = F.lit(float(s.global_median))
                 out = out.withColumn(s.out[0], F.coalesce(F.col("_med"), g))
                 if s.has_ppsf:
-                    if mode == "fit" and area_col in df.columns:
-                        fb = g / F.coalesce(F.nullif(F.col(area_col).cast("double"), F.lit(0.0)), F.lit(1.0))
+                    if mode == "fit" and s.area_col in df.columns:
+                        # training fallback: global median over the row's area (0 or missing -> 1)
+                        fb = g / F.coalesce(F.nullif(F.col(s.area_col).cast("double"), F.lit(0.0)), F.lit(1.0))
                     else:
                         fb = g / F.lit(float(score_area))
                     out = out.withColumn(s.out[1], F.coalesce(F.col("_ppsf"), fb))
@@ -193,7 +195,8 @@ def fit_encoders(
                 st = st.join(pp, "_cat", "left")
             st = st.persist()
             enc.specs.append(FeatureSpec(f, "target", [f"x__{f}"] + ([f"x__{f}__ppsf"] if has_ppsf else []), stats=st,
-                                         stats_rows=st.count(), global_median=float(gmed), has_ppsf=has_ppsf))
+                                         stats_rows=st.count(), global_median=float(gmed), has_ppsf=has_ppsf,
+                                         area_col=area_col if has_ppsf else None))
     return enc
 
 
@@ -219,6 +222,3 @@ def fill_unknown(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null category -> 'Unknown'."""
     return df.fillna(UNKNOWN, subset=list(columns))
 
-
-def encoded_value(spec: FeatureSpec) -> Column:  # pragma: no cover - convenience
-    return F.col(spec.out[0])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from valuelens.session import broadcast_limit_rows
 
-DEFAULT_MAX_GROUP_ROWS = 500_000
+DEFAULT_MAX_GROUP_ROWS = 2_000_000  # exact-percentile state per group stays ~100 MB
 
 _KEY = "_qk"  # constant key used when quantiles are taken over the whole frame
 
@@ -74,29 +74,30 @@ def _locate(hist: DataFrame, part: list[str], order: str, targets: DataFrame, jo
     return j.withColumn(below, F.col(below) + F.col("_cum") - F.col("_c")).drop("_cum", "_c")
 
 
-def _semi(df: DataFrame, cand: DataFrame, on: list[str]) -> DataFrame:
-    """Keep rows of ``df`` whose key is a candidate; broadcast only a checked-small side."""
+def _semi(df: DataFrame, cand: DataFrame, on: list[str], bound: int) -> DataFrame:
+    """Keep rows of ``df`` whose key is a candidate; ``bound`` (groups x ranks) proves the
+    candidate table small enough to broadcast, otherwise the planner picks the join."""
     cand = cand.select(*on).distinct()
-    n = cand.count()
-    if n <= broadcast_limit_rows(df.sparkSession):
+    if bound <= broadcast_limit_rows(df.sparkSession):
         cand = F.broadcast(cand)
     return df.join(cand, on=on, how="left_semi")
 
 
-def _narrowing(base: DataFrame, keys: list[str], v: str, stats: DataFrame, probs: Sequence[float]) -> DataFrame:
+def _narrowing(base: DataFrame, keys: list[str], v: str, stats: DataFrame, probs: Sequence[float], n_groups: int) -> DataFrame:
+    bound = n_groups * 2 * len(probs)  # at most two order statistics per probability and group
     targets = _rank_targets(stats, keys, probs).withColumn("_below", F.lit(0).cast("long"))
     b1, b2 = ordered_bucket(F.col(v), 12), ordered_bucket(F.col(v), 32)
-    data = base.withColumn("_b1", b1).withColumn("_b2", b2)
+    data = base.withColumn("_b1", b1).withColumn("_b2", b2).persist()  # (keys, value) projection, read three times
 
     # level 1: histogram of 12-bit buckets per group
     h1 = data.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_c"))
-    t1 = _locate(h1, keys, "_b1", targets, keys, "_below")
+    t1 = _locate(h1, keys, "_b1", targets, keys, "_below").persist()
     # level 2: inside chosen 12-bit buckets, 32-bit buckets
-    d2 = _semi(data, t1, keys + ["_b1"])
+    d2 = _semi(data, t1, keys + ["_b1"], bound)
     h2 = d2.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c"))
-    t2 = _locate(h2, keys + ["_b1"], "_b2", t1, keys + ["_b1"], "_below")
+    t2 = _locate(h2, keys + ["_b1"], "_b2", t1, keys + ["_b1"], "_below").persist()
     # level 3: distinct values inside chosen 32-bit buckets (<= 2^20 per bucket)
-    d3 = _semi(data, t2, keys + ["_b2"])
+    d3 = _semi(data, t2, keys + ["_b2"], bound)
     h3 = d3.groupBy(*keys, "_b2", v).agg(F.count(F.lit(1)).alias("_c"))
     t3 = _locate(h3, keys + ["_b2"], v, t2.drop("_b1"), keys + ["_b2"], "_below")
     return t3.select(*keys, "_r", F.col(v).alias("_val"))
@@ -141,14 +142,15 @@ def group_quantiles(
     extra = dict(extra or {})
     aggs = [F.count(F.lit(1)).alias("_n")] + [getattr(F, fn)("_v").alias(name) for name, fn in extra.items()]
     stats = base.groupBy(*keys).agg(*aggs).persist()
-    biggest = stats.agg(F.max("_n")).first()[0] or 0
+    info = stats.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("g")).first()
+    biggest, n_groups = info["m"] or 0, info["g"]
     if biggest <= max_group_rows:
         pct = base.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
         out = stats.join(pct, on=keys, how="inner").select(
             *keys, "_n", *extra, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]
         )
     else:
-        picked = _narrowing(base, keys, "_v", stats, probs)
+        picked = _narrowing(base, keys, "_v", stats, probs, n_groups)
         out = _interpolate(stats, picked, keys, probs, names, list(extra))
     if no_keys:
         out = out.drop(_KEY)

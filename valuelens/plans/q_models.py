@@ -191,3 +191,18 @@ def q_encode_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = E.fit_encoders(d, ["p_type", "p_size"], "p_retailprice")
     v = enc.assemble(enc.transform(d, "fit")).select("p_partkey", vector_to_array("features").alias("a"))
     return v.select("p_partkey", F.size("a").alias("n_features"), F.col("a")[0].alias("f0"), F.col("a")[1].alias("f1"))
+
+
+@query("encode_target_ppsf", "E5", (
+    "WITH d AS (SELECT p_partkey, coalesce(p_brand, 'Unknown') AS b, p_retailprice AS y, "
+    "CAST(CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_size END AS DOUBLE) AS area FROM part), "
+    "s AS (SELECT b, median(y / NULLIF(area, 0)) AS pp FROM d GROUP BY b), g AS (SELECT median(y) AS gm FROM d) "
+    f"SELECT p_partkey, {sql_rnd('coalesce(pp, gm / coalesce(NULLIF(area, 0), 1))', 6)} AS x__p_brand__ppsf "
+    "FROM d LEFT JOIN s USING (b), g"))
+def q_encode_target_ppsf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: second target encoding, per-brand median of price per area (size; 0 -> unknown)."""
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", "p_retailprice",
+        F.when(F.col("p_partkey") % 9 == 0, F.lit(0)).otherwise(F.col("p_size")).cast("double").alias("area"))
+    enc = E.fit_encoders(p, ["p_brand"], "p_retailprice", area_col="area")
+    return enc.transform(p, "fit").select("p_partkey", rnd("x__p_brand__ppsf", 6).alias("x__p_brand__ppsf"))
