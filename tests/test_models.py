@@ -99,3 +99,23 @@ def test_merge_rankings_idempotent(spark):
     twice = SR.merge_rankings([once, once]).drop("rank")
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
     assert once.count() == 2
+
+
+def test_subset_search_cache_reuse_and_stacking(spark):
+    from valuelens.session import scratch_dir
+
+    rows = [(i, float(i % 7), float(i % 5), ["a", "b", "c"][i % 3], float(100 + (i % 7) * 3 + (i % 5) + (i % 3))) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, x1 double, x2 double, c string, y double")
+    subs = SR.feature_subsets(spark, ["x1", "x2", "c"], min_features=1, max_features=2)
+    path = scratch_dir(spark, "cache-test")
+    first = SR.subset_search(df, "y", ["x1", "x2", "c"], subs, ["k"], model_type="linear", cache_path=path, source="t")
+    a = {tuple(r.features): r.r2 for r in first.collect()}
+    second = SR.subset_search(df, "y", ["x1", "x2", "c"], subs, ["k"], model_type="linear", cache_path=path, source="t")
+    b = {tuple(r.features): r.r2 for r in second.collect()}
+    assert a == b and len(a) == 6
+    best = max(a, key=a.get)
+    assert set(best) == {"x1", "x2"}
+    imp = {tuple(r.features): r.importance for r in first.collect()}
+    assert abs(sum(imp[("x1", "x2")].values()) - 100.0) < 0.2
+    st = SR.subset_search(df, "y", ["x1", "x2", "c"], subs.where("n_features = 1"), ["k"], model_type="stacking", trees=3, max_depth=3, k=3)
+    assert st.count() == 3
