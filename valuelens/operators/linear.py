@@ -1,9 +1,9 @@
 """Linear regression from distributed moments (M1, M5-M7 for linear models).
 
 One aggregate pass computes, per (group..., fold), the row count, the means
-and the population co-moments of (x_1..x_p, y) with Spark's numerically
-stable ``avg``/``covar_pop`` aggregates (map-side partial aggregation; a hot
-group is combined across all tasks).  Each group's k fold rows (bounded: k
+and the population co-moments of (x_1..x_p, y) as plain sums of products of
+mean-shifted values (map-side partial aggregation; a hot group is combined
+across all tasks; no cancellation since the values are centred first).  Each group's k fold rows (bounded: k
 rows of O(p^2) numbers) go to one ``applyInPandas`` call that merges the
 folds with the parallel (Chan) formulas and solves the p x p normal
 equations: the full fit and every leave-fold-out fit.  No pass over the data
@@ -35,16 +35,33 @@ def fold_column(keys: Sequence[str], k: int, seed: int = 42) -> Column:
     return F.pmod(deterministic_order(keys, seed), F.lit(k))
 
 
-def moments(df: DataFrame, xcols: Sequence[str], y: str, group: Sequence[str] = (), fold: str | None = None) -> DataFrame:
-    """Per (group, fold): _n, mean vector, co-moment entries (one aggregate pass)."""
+def moments(df: DataFrame, xcols: Sequence[str], y: str, group: Sequence[str] = (), fold: str | None = None,
+            shift: Sequence[float] | None = None) -> DataFrame:
+    """Per (group, fold): _n, mean vector _m<i>, population co-moments _c<i>_<j> of (x..., y).
+
+    One pass of plain ``sum`` aggregates (map-side partial aggregation, a few
+    bytes of state per entry) over values shifted by ``shift`` - by default the
+    column means from one cheap ``avg`` pass - so the products never suffer
+    from cancellation: cov = S_ij/n - (S_i/n)(S_j/n) with S on shifted values.
+    """
     v = list(xcols) + [y]
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(v)]
+    d = df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in v]) == 0) if v else df
+    if shift is None:
+        m = d.agg(*[F.avg(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(v)]).first()
+        shift = [float(m[f"_s{i}"] or 0.0) for i in range(len(v))]
+    sh = [F.col(c).cast("double") - F.lit(float(shift[i])) for i, c in enumerate(v)]
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(x).alias(f"_S{i}") for i, x in enumerate(sh)]
     for i in range(len(v)):
         for j in range(i, len(v)):
-            aggs.append(F.covar_pop(F.col(v[i]).cast("double"), F.col(v[j]).cast("double")).alias(f"_c{i}_{j}"))
+            aggs.append(F.sum(sh[i] * sh[j]).alias(f"_S{i}_{j}"))
     keys = list(group) + ([fold] if fold else [])
-    d = df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in v]) == 0) if v else df
-    return d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
+    raw = d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
+    n = F.col("_n").cast("double")
+    cols = [*keys, "_n"] + [(F.lit(float(shift[i])) + F.col(f"_S{i}") / n).alias(f"_m{i}") for i in range(len(v))]
+    for i in range(len(v)):
+        for j in range(i, len(v)):
+            cols.append((F.col(f"_S{i}_{j}") / n - (F.col(f"_S{i}") / n) * (F.col(f"_S{j}") / n)).alias(f"_c{i}_{j}"))
+    return raw.select(*cols)
 
 
 def _merge(rows: pd.DataFrame, q: int) -> tuple[float, np.ndarray, np.ndarray]:

@@ -123,16 +123,25 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """C11: one row per column: kind, null rate, distinct count, row count."""
+    """C11: one row per column: position, kind, null rate, distinct count, row count.
+
+    One scan: every column is unpivoted to (column, value as text) and counted per
+    value (map-side combine, so frequent values collapse early); null rate,
+    distinct count and row count per column come from those counts.
+    """
     cols = df.columns
     kinds = df.sparkSession.createDataFrame(
         [(c, i, "numeric" if is_numeric(df, c) else "categorical") for i, c in enumerate(cols)],
         "column_name string, position int, kind string",
     )
-    nr = null_rates(df, cols)
-    dc = distinct_counts(df, cols).select("column_name", "n_distinct")
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return kinds.join(nr, "column_name").join(dc, "column_name").crossJoin(F.broadcast(n))
+    vc = _long_strings(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"))
+    per = vc.groupBy("column_name").agg(
+        F.sum("_c").alias("n_rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("_c")).otherwise(0)).alias("_nulls"),
+        F.count("value").alias("n_distinct"),
+    )
+    per = per.select("column_name", rnd(F.col("_nulls") / F.col("n_rows"), 3).alias("null_rate"), "n_distinct", "n_rows")
+    return kinds.join(F.broadcast(per), "column_name")  # one row per column
 
 
 def typical_numeric(df: DataFrame, columns: Sequence[str], max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:

@@ -23,21 +23,33 @@ def _pair_corr(a: str, b: str) -> Column:
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     """A1: long matrix (col1, col2, i, j, correlation) over all ordered pairs.
 
-    One aggregate pass computes every unordered pair (map-side partial
-    aggregation, one row to the driver-side plan); the matrix is mirrored from
-    it.  Values are rounded, and NULL/NaN (constant columns) become 0.
+    Pairwise-complete Pearson r from one pass of plain sums over values shifted
+    by the column means (a cheap ``avg`` pass first): per pair n, S_a, S_b,
+    S_aa, S_bb, S_ab over the rows where both are present.  Sums combine
+    map-side; the matrix is mirrored from the unordered pairs.  Values are
+    rounded, and NULL/NaN (constant columns) become 0 as in the reference.
     """
     cols = list(columns)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    sh = [F.col(c).cast("double") - F.lit(float(means[f"m{i}"] or 0.0)) for i, c in enumerate(cols)]
     aggs, pairs = [], []
-    for i, a in enumerate(cols):
+    for i in range(len(cols)):
         for j in range(i, len(cols)):
-            name = f"r_{i}_{j}"
-            aggs.append(_pair_corr(a, cols[j]).alias(name))
-            pairs.append((i, j, name))
+            both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
+            a, b = F.when(both, sh[i]), F.when(both, sh[j])
+            t = f"{i}_{j}"
+            aggs += [F.count(a).alias(f"n_{t}"), F.sum(a).alias(f"a_{t}"), F.sum(b).alias(f"b_{t}"),
+                     F.sum(a * a).alias(f"aa_{t}"), F.sum(b * b).alias(f"bb_{t}"), F.sum(a * b).alias(f"ab_{t}")]
+            pairs.append((i, j, t))
     wide = df.agg(*aggs)
     entries = []
-    for i, j, name in pairs:
-        v = F.coalesce(F.nanvl(rnd(F.col(name), digits), F.lit(None).cast("double")), F.lit(0.0))
+    for i, j, t in pairs:
+        n = F.col(f"n_{t}").cast("double")
+        ma, mb = F.col(f"a_{t}") / n, F.col(f"b_{t}") / n
+        cov = F.col(f"ab_{t}") / n - ma * mb
+        va, vb = F.col(f"aa_{t}") / n - ma * ma, F.col(f"bb_{t}") / n - mb * mb
+        r = F.try_divide(cov, F.sqrt(F.when(va > 0, va)) * F.sqrt(F.when(vb > 0, vb)))
+        v = F.coalesce(F.nanvl(rnd(r, digits), F.lit(None).cast("double")), F.lit(0.0))
         entries.append(F.struct(F.lit(cols[i]).alias("col1"), F.lit(cols[j]).alias("col2"), F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("correlation")))
         if i != j:
             entries.append(F.struct(F.lit(cols[j]).alias("col1"), F.lit(cols[i]).alias("col2"), F.lit(j).alias("i"), F.lit(i).alias("j"), v.alias("correlation")))
