@@ -40,3 +40,16 @@ def test_oracle_sf0001(spark, name):
 
     res = compare(spark, "/root/testdata/sf0.001", {name}, verbose=False)
     assert res[name][0] == "ok", res[name]
+
+
+def test_entry_importable_without_session(tmp_path):
+    """queries() / oracle_sql() must not need an active SparkContext (the driver may read SQL first)."""
+    import subprocess
+    import sys
+
+    code = ("import importlib.util; s = importlib.util.spec_from_file_location('e', %r); m = importlib.util.module_from_spec(s); "
+            "s.loader.exec_module(m); print(len(m.queries()), len(m.oracle_sql()))") % os.path.join(ROOT, "__spark_entry__.py")
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_q, n_sql = map(int, out.stdout.split())
+    assert n_q >= n_sql > 0

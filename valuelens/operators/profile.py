@@ -40,6 +40,20 @@ def _long_strings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "value")
 
 
+def _long_typed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value) with value = struct<d double, s string>: numbers stay numbers
+    (no text conversion per value), text stays text; NULL cells have both fields NULL."""
+    vals = []
+    for c in cols:
+        if is_numeric(df, c):
+            v = F.struct(F.col(c).cast("double").alias("d"), F.lit(None).cast("string").alias("s"))
+        else:
+            v = F.struct(F.lit(None).cast("double").alias("d"), F.col(c).cast("string").alias("s"))
+        vals.append(v.alias(c))
+    long = df.select(*vals).unpivot([], list(cols), "column_name", "value")
+    return long.withColumn("_isnull", F.col("value.d").isNull() & F.col("value.s").isNull())
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False, max_categorical: int = 200) -> DataFrame:
     """C6 (+C12 flag): distinct non-null values per column.
 
@@ -52,7 +66,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx:
         wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
         out = wide.unpivot([], cols, "column_name", "n_distinct")
     else:
-        long = _long_strings(df, cols).where(F.col("value").isNotNull())
+        long = _long_typed(df, cols).where(~F.col("_isnull"))
         out = long.select("column_name", "value").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
         present = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
         out = present.join(out, "column_name", "left").fillna(0, ["n_distinct"])
@@ -125,7 +139,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """C11: one row per column: position, kind, null rate, distinct count, row count.
 
-    One scan: every column is unpivoted to (column, value as text) and counted per
+    One scan: every column is unpivoted to (column, typed value) and counted per
     value (map-side combine, so frequent values collapse early); null rate,
     distinct count and row count per column come from those counts.
     """
@@ -134,11 +148,11 @@ def dataset_profile(df: DataFrame) -> DataFrame:
         [(c, i, "numeric" if is_numeric(df, c) else "categorical") for i, c in enumerate(cols)],
         "column_name string, position int, kind string",
     )
-    vc = _long_strings(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"))
+    vc = _long_typed(df, cols).groupBy("column_name", "value", "_isnull").agg(F.count(F.lit(1)).alias("_c"))
     per = vc.groupBy("column_name").agg(
         F.sum("_c").alias("n_rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("_c")).otherwise(0)).alias("_nulls"),
-        F.count("value").alias("n_distinct"),
+        F.sum(F.when(F.col("_isnull"), F.col("_c")).otherwise(0)).alias("_nulls"),
+        F.count(F.when(~F.col("_isnull"), 1)).alias("n_distinct"),
     )
     per = per.select("column_name", rnd(F.col("_nulls") / F.col("n_rows"), 3).alias("null_rate"), "n_distinct", "n_rows")
     return kinds.join(F.broadcast(per), "column_name")  # one row per column
