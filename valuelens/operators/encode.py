@@ -117,18 +117,32 @@ def encoder_plan(df: DataFrame, features: Sequence[str], multi_min_cells: int =
     return df.sparkSession.createDataFrame(rows, "feature string, kind string, n_distinct long, n_comma_cells long")
 
 
-def _plan(df: DataFrame, features: Sequence[str], multi_min_cells: int, max_label: int) -> dict[str, tuple[str, int | None, int | None]]:
+def _plan(df: DataFrame, features: Sequence[str], multi_min_cells: int, max_label: int,
+          classes: dict[str, list[str]] | None = None) -> dict[str, tuple[str, int | None, int | None]]:
+    """Encoder kind per feature from one comma-count pass and one distinct pass.
+
+    When ``classes`` is given it is filled with the sorted classes of every
+    label-encoded feature, read from the same distinct pass (at most
+    ``max_label`` values per feature reach the driver).
+    """
     text = [f for f in features if not is_numeric(df, f)]
     out: dict[str, tuple[str, int | None, int | None]] = {f: ("numeric", None, None) for f in features if f not in text}
     if text:
         filled = df.select(*[F.coalesce(F.col(f).cast("string"), F.lit(UNKNOWN)).alias(f) for f in text])
         commas = filled.agg(*[F.count(F.when(F.col(f).contains(","), 1)).alias(f) for f in text]).first()
-        long = filled.unpivot([], text, "feature", "value")
-        nd = {r["feature"]: r["n"] for r in long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+        distinct = filled.unpivot([], text, "feature", "value").distinct().persist()
+        nd = {r["feature"]: r["n"] for r in distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
         for f in text:
             n_distinct, n_comma = int(nd.get(f, 0)), int(commas[f])
             kind = "multi_ohe" if n_comma >= multi_min_cells else ("target" if n_distinct > max_label else "label")
             out[f] = (kind, n_distinct, n_comma)
+        labels = [f for f in text if out[f][0] == "label"]
+        if classes is not None and labels:
+            for r in distinct.where(F.col("feature").isin(labels)).collect():  # <= max_label rows per feature
+                classes.setdefault(r["feature"], []).append(r["value"])
+            for f in labels:
+                classes[f] = sorted(classes.get(f, []))
+        distinct.unpersist()
     return {f: out[f] for f in features}
 
 
@@ -149,22 +163,30 @@ def fit_encoders(
     ``allow_target=False`` label-encodes high-cardinality columns instead, as the
     per-segment models do.
     """
-    plan = _plan(df, features, multi_min_cells, max_label if allow_target else 10**9)
+    classes: dict[str, list[str]] = {}
+    plan = _plan(df, features, multi_min_cells, max_label if allow_target else 10**9, classes)
     enc = Encoders(target)
     numeric = [f for f, (k, _, _) in plan.items() if k == "numeric"]
     fills: dict[str, tuple[float, float, float, float]] = {}
     if numeric:
+        # one grouped pass: median (exact), non-null count, sum, min, max per numeric feature;
+        # the post-imputation mean/min/max follow from them and the row count
         long = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], numeric, "_f", "_x")
-        med = {r["_f"]: r["_m"] for r in group_quantiles(long, ["_f"], "_x", [0.5], ["_m"], max_group_rows=max_group_rows).collect()}
-        after = df.agg(*[
-            x for c in numeric for x in (
-                F.avg(F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c) or 0.0)))).alias(f"{c}__mean"),
-                F.min(F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c) or 0.0)))).alias(f"{c}__min"),
-                F.max(F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c) or 0.0)))).alias(f"{c}__max"),
-            )
-        ]).first()
+        q = group_quantiles(long, ["_f"], "_x", [0.5], ["_m"], extra={"_sum": "sum", "_min": "min", "_max": "max"},
+                            max_group_rows=max_group_rows)
+        st = {r["_f"]: r for r in q.collect()}  # one row per numeric feature
+        n_all = df.count()
         for c in numeric:
-            fills[c] = (float(med.get(c) or 0.0), after[f"{c}__mean"], after[f"{c}__min"], after[f"{c}__max"])
+            r = st.get(c)
+            if r is None or n_all == 0:
+                fills[c] = (0.0, 0.0, 0.0, 0.0)
+                continue
+            m, n_nn = float(r["_m"]), int(r["_n"])
+            miss = n_all - n_nn
+            mean = (float(r["_sum"]) + miss * m) / n_all
+            lo = min(float(r["_min"]), m) if miss else float(r["_min"])
+            hi = max(float(r["_max"]), m) if miss else float(r["_max"])
+            fills[c] = (m, mean, lo, hi)
     gmed = None
     for f in features:
         kind = plan[f][0]
@@ -172,7 +194,7 @@ def fit_encoders(
             m, mean, lo, hi = fills[f]
             enc.specs.append(FeatureSpec(f, "numeric", [f"x__{f}"], fill_fit=m, fill_score=mean, vmin=lo, vmax=hi))
         elif kind == "label":
-            cls = sorted(r[0] for r in df.select(F.coalesce(F.col(f).cast("string"), F.lit(UNKNOWN))).distinct().collect())
+            cls = classes.get(f, [])
             enc.specs.append(FeatureSpec(f, "label", [f"x__{f}"], classes=cls))
         elif kind == "multi_ohe":
             toks = df.select(F.explode(tokens(F.coalesce(F.col(f).cast("string"), F.lit(UNKNOWN)), ",")).alias("t"))

@@ -169,10 +169,10 @@ def train_model(
     n0 = base.count()
     d = FL.outlier_fence(base, target, 3.0, min_rows=OUTLIER_MIN_ROWS) if remove_outliers else base
     d = d.persist()
-    n = d.count()
+    info = d.agg(F.count(F.lit(1)).alias("n"), F.min(target).alias("y_min")).first()  # one pass: size and log decision
+    n, y_min = info["n"], info["y_min"]
     enc = E.fit_encoders(d, feats, target)
     x = enc.transform(d, "fit")
-    y_min = d.agg(F.min(target)).first()[0]
     log = bool(use_log and y_min is not None and y_min > 0)
     yfit = F.log1p(F.col(target)) if log else F.col(target).cast("double")
     x = x.withColumn("_yfit", yfit).withColumn("_fold", L.fold_column(list(keys), cv_folds))
