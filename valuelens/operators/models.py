@@ -22,8 +22,9 @@ from valuelens.operators import filters as FL
 from valuelens.operators import linear as L
 from valuelens.operators.stats import regression_metrics
 
-HOLDOUT_MIN_ROWS = 30  # fixed value from the reference
+HOLDOUT_MIN_ROWS = 30  # fixed values from the reference
 OUTLIER_MIN_ROWS = 20
+SAMPLE_ROWS = 50
 
 # Model presets of the reference (trees, min leaf, learning rate, depth, subsample).
 PRESETS = {
@@ -53,6 +54,7 @@ class TrainedModel:
     importance: list[tuple[str, float]] = field(default_factory=list)
     train_source: str = ""
     leaked_removed: list[str] = field(default_factory=list)
+    sample: list[tuple[float, float]] = field(default_factory=list)  # A9: (actual, predicted), first 50 test rows
 
     def predict(self, df: DataFrame, mode: str = "score", out: str = "prediction") -> DataFrame:
         """Encode with the fitted statistics and predict (expm1 for a log target)."""
@@ -203,6 +205,9 @@ def train_model(
         oof = L.predict(x, coefs, enc.columns, fold="_fold", out="_raw")
         oof = oof.withColumn("_pred", F.expm1("_raw") if log else F.col("_raw"))
         both = _two_metrics(oof, target, F.col("_fold") == 0).first()
+        test_rows = oof.where(F.col("_fold") == 0) if n >= HOLDOUT_MIN_ROWS else oof
+        sample = [(round(float(r[0]), 2), round(float(r[1]), 2))
+                  for r in test_rows.orderBy(*keys).limit(SAMPLE_ROWS).select(target, "_pred").collect()]  # <= 50 rows
         cv = {"r2": both["r2_all"], "mae": both["mae_all"], "mape": both["mape_all"], "n": both["n_all"]}
         if n >= HOLDOUT_MIN_ROWS:
             hold = {"r2": both["r2_sub"], "mae": both["mae_sub"], "mape": both["mape_sub"], "n": both["n_sub"]}
@@ -217,11 +222,14 @@ def train_model(
             # 80/20 holdout; the stored model is the one fitted on the 80 %
             m_fit, p = evaluate(x.where(F.col("_fold") != 0), x.where(F.col("_fold") == 0))
             hold = metrics_of(p)
+            sample = [(round(float(r[0]), 2), round(float(r[1]), 2))
+                      for r in p.orderBy(*keys).limit(SAMPLE_ROWS).select(target, "_pred").collect()]  # <= 50 rows
             test_n = hold["n"]
             train_n = n - test_n
         else:
             m_fit, _ = evaluate(x, x.limit(0))
             hold, train_n, test_n = None, n, n
+            sample = []
         parts = []
         for k in range(cv_folds):
             _, pk = evaluate(x.where(F.col("_fold") != k), x.where(F.col("_fold") == k))
@@ -233,6 +241,7 @@ def train_model(
         if hold is None:
             hold = cv
     m.coefs, m.ml_model, m.stack = m_fit.coefs, m_fit.ml_model, m_fit.stack
+    m.sample = sample
     m.metrics = {
         "r2": hold["r2"], "mae": hold["mae"], "r2_cv": cv["r2"], "mae_cv": cv["mae"], "mape_cv": cv["mape"],
         "train_size": int(train_n), "test_size": int(test_n), "outliers_removed": int(n0 - n), "use_log": log,
