@@ -119,3 +119,19 @@ def test_subset_search_cache_reuse_and_stacking(spark):
     assert abs(sum(imp[("x1", "x2")].values()) - 100.0) < 0.2
     st = SR.subset_search(df, "y", ["x1", "x2", "c"], subs.where("n_features = 1"), ["k"], model_type="stacking", trees=3, max_depth=3, k=3)
     assert st.count() == 3
+
+
+def test_segment_label_classes_are_per_segment(spark):
+    from valuelens.operators import segments as SG
+
+    rows = []
+    for i in range(60):
+        seg = "A" if i % 2 else "B"
+        cat = ["x", "y", "z"][i % 3] if seg == "A" else ["p", "y"][(i // 2) % 2]
+        rows.append((i, seg, cat, float(i % 7), 100.0 + i))
+    df = spark.createDataFrame(rows, "k long, s string, c string, a double, y double")
+    rep, model, d = SG.segment_models(df, "s", "y", ["c", "a"], ["k"])
+    got = {(r._seg, r.c): r.x__c for r in d.select("_seg", "c", "x__c").distinct().collect()}
+    assert got[("A", "x")] == 0.0 and got[("A", "y")] == 1.0 and got[("A", "z")] == 2.0
+    assert got[("B", "p")] == 0.0 and got[("B", "y")] == 1.0
+    assert rep.count() == 2 and all(len(r.actual_vs_predicted) <= 40 for r in rep.collect())
