@@ -206,3 +206,22 @@ def q_encode_target_ppsf(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 9 == 0, F.lit(0)).otherwise(F.col("p_size")).cast("double").alias("area"))
     enc = E.fit_encoders(p, ["p_brand"], "p_retailprice", area_col="area")
     return enc.transform(p, "fit").select("p_partkey", rnd("x__p_brand__ppsf", 6).alias("x__p_brand__ppsf"))
+
+
+_MULTI_SQL = (
+    "WITH s AS (SELECT covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_discount, l_discount) AS s22, "
+    "covar_pop(l_quantity, l_discount) AS s12, covar_pop(l_quantity, l_extendedprice) AS s1y, "
+    "covar_pop(l_discount, l_extendedprice) AS s2y, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, "
+    "count(*) AS n FROM lineitem), b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, "
+    "(s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s) "
+    f"SELECT {sql_rnd('my - b1 * m1 - b2 * m2', 4)} AS intercept, {sql_rnd('b1', 4)} AS coef_quantity, "
+    f"{sql_rnd('b2', 2)} AS coef_discount, n AS n_train FROM b"
+)
+
+
+@query("linear_fit_multi", "M1", _MULTI_SQL)
+def q_linear_fit_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 with two regressors (quantity, discount) from the same moments core."""
+    c = L.fit_linear(_li(spark, sf_dir), ["l_quantity", "l_discount"], "l_extendedprice").where(F.col("_fold") == L.FULL)
+    return c.select(rnd("_intercept", 4).alias("intercept"), rnd(F.col("_coef")[0], 4).alias("coef_quantity"),
+                    rnd(F.col("_coef")[1], 2).alias("coef_discount"), F.col("_n_train").cast("long").alias("n_train"))
