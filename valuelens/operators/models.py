@@ -25,6 +25,7 @@ from valuelens.operators.stats import regression_metrics
 HOLDOUT_MIN_ROWS = 30  # fixed values from the reference
 OUTLIER_MIN_ROWS = 20
 SAMPLE_ROWS = 50
+MIN_TRAIN_ROWS = 5
 
 # Model presets of the reference (trees, min leaf, learning rate, depth, subsample).
 PRESETS = {
@@ -173,6 +174,8 @@ def train_model(
     d = d.persist()
     info = d.agg(F.count(F.lit(1)).alias("n"), F.min(target).alias("y_min")).first()  # one pass: size and log decision
     n, y_min = info["n"], info["y_min"]
+    if n < MIN_TRAIN_ROWS:
+        raise ValueError(f"Not enough data (minimum {MIN_TRAIN_ROWS} rows), got {n}")
     enc = E.fit_encoders(d, feats, target)
     x = enc.transform(d, "fit")
     log = bool(use_log and y_min is not None and y_min > 0)
