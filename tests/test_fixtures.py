@@ -122,3 +122,32 @@ def test_csv_bytes_bom_tab_and_cp1251(spark):
     cyr = put("cyr", "город;цена\nМосква;5\n".encode("cp1251"))
     df, enc = read_csv(spark, cyr)
     assert enc == "cp1251" and df.columns == ["город", "цена"] and df.first()["город"] == "Москва"
+
+
+@pytest.mark.parametrize("n,holdout", [(29, False), (30, True)])
+def test_training_holdout_threshold(spark, n, holdout):
+    from valuelens.operators.models import train_model
+
+    df = spark.createDataFrame([(i, float(i % 5), 100.0 + 2 * (i % 5) + i % 2) for i in range(n)], "k long, a double, y double")
+    m = train_model(df, "y", ["a"], ["k"], "linear", remove_outliers=False)
+    if holdout:
+        assert m.metrics["train_size"] + m.metrics["test_size"] == n and m.metrics["test_size"] < n
+    else:
+        assert m.metrics["train_size"] == m.metrics["test_size"] == n  # cross-validated on all rows
+    assert m.metrics["mape_cv"] is not None  # always computed (reference quirk Q2)
+
+
+def test_privacy_fixture(spark):
+    from valuelens.operators.privacy import mask
+
+    rows = [("http://a", "1 Main St", "Vancouver", "Kits", None, 3.0), ("", "nan", "Vancouver", None, "x@y", 5.0),
+            (None, None, "Burnaby", "Metrotown", "", 7.0)]
+    df = spark.createDataFrame(rows, "summary_url string, street string, city string, district string, email string, photo_count double")
+    out = mask(df, True).orderBy("photo_count").collect()
+    assert [r.summary_url for r in out] == ["HIDDEN", "", None]
+    assert [r.street for r in out] == ["Address #1", "nan", None]
+    assert [r.city for r in out] == ["City 2", "City 2", "City 1"]  # repeated city keeps its alias; value order
+    assert [r.district for r in out] == ["District 1", None, "District 2"]
+    assert [r.email for r in out] == [None, "HIDDEN", ""]
+    assert [r.photo_count for r in out] == [3.0, 5.0, 7.0]  # numbers pass through
+    assert mask(df, False).collect() == df.collect()
