@@ -34,3 +34,20 @@ def test_ordered_bucket_is_monotone(spark):
     out = [r[0] for r in df.select(ordered_bucket(F.col("v"), 12)).collect()]
     out32 = [r[0] for r in df.select(ordered_bucket(F.col("v"), 32)).collect()]
     assert out == sorted(out) and out32 == sorted(out32)
+
+
+def test_leave_fold_out_quantiles_match_numpy(spark):
+    from valuelens.operators.quantiles import leave_fold_out_quantiles
+
+    rng = np.random.RandomState(5)
+    vals = np.concatenate([rng.lognormal(5, 1, 700), [0.0] * 10, [-2.5] * 5])
+    rows = [(int(i % 3), int(i % 4), float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g int, f int, v double")
+    got = {(r.g, r._held): r for r in leave_fold_out_quantiles(df, ["g"], "f", 4, "v", [0.5, 0.25], ["m", "q"]).collect()}
+    for g in range(3):
+        for h in range(4):
+            x = np.array([v for gg, ff, v in rows if gg == g and ff != h])
+            r = got[(g, h)]
+            assert r._n == len(x) and np.allclose([r.m, r.q], np.percentile(x, [50, 25]), rtol=1e-12)
+    glob = {r._held: r.m for r in leave_fold_out_quantiles(df, [], "f", 4, "v", [0.5], ["m"]).collect()}
+    assert all(np.isclose(glob[h], np.percentile([v for _, ff, v in rows if ff != h], 50)) for h in range(4))

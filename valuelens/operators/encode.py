@@ -31,6 +31,7 @@ UNKNOWN = "Unknown"
 MULTI_MIN_CELLS = 3
 MAX_LABEL_CLASSES = 15
 DROP_TOKENS = ["nan", "unknown", ""]
+OOF_REPLICATE_MAX_ROWS = 5_000_000
 
 
 @dataclass
@@ -226,16 +227,25 @@ def encode_target_oof(df: DataFrame, feature: str, target: str, fold_col: str, k
     """Leak-free target encoding: each row gets the category median of the
     OTHER folds (global median of the other folds as fallback).
 
-    Every row is replicated into the k-1 training sets it belongs to (k-1 times
-    the data, map-only), medians are taken per (held-out fold, category) by the
-    distributed exact quantile operator and joined back on (fold, category).
+    Exact either way: a small input (n x (k-1) <= OOF_REPLICATE_MAX_ROWS, one count)
+    is replicated into its k-1 training folds; a large one is never replicated -
+    the medians come from leave-fold-out histograms (all-folds counts minus the
+    held fold's counts) narrowed to the order statistics.  Joined back on
+    (held fold, category).
     """
+    from valuelens.operators.quantiles import leave_fold_out_quantiles
+
     cat = F.coalesce(F.col(feature).cast("string"), F.lit(UNKNOWN))
-    base = df.select(cat.alias("_cat"), F.col(target).cast("double").alias("_y"), F.col(fold_col).alias("_f"))
-    rep = base.select("*", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("_held")).where(F.col("_held") != F.col("_f"))
-    per = group_quantiles(rep, ["_held", "_cat"], "_y", [0.5], ["_oof_med"], max_group_rows=max_group_rows).drop("_n")
-    glob = group_quantiles(rep, ["_held"], "_y", [0.5], ["_oof_glob"], max_group_rows=max_group_rows).drop("_n")
-    out = df.withColumn("_cat", cat).withColumn("_held", F.col(fold_col))
+    base = df.select(cat.alias("_cat"), F.col(target).cast("double").alias("_y"), F.col(fold_col).alias("_f")).persist()
+    if base.count() * (k - 1) <= OOF_REPLICATE_MAX_ROWS:
+        # small input: replicating each row into its k-1 training folds is the cheaper exact plan
+        rep = base.select("*", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("_held")).where(F.col("_held") != F.col("_f"))
+        per = group_quantiles(rep, ["_held", "_cat"], "_y", [0.5], ["_oof_med"], max_group_rows=max_group_rows).drop("_n")
+        glob = group_quantiles(rep, ["_held"], "_y", [0.5], ["_oof_glob"], max_group_rows=max_group_rows).drop("_n")
+    else:
+        per = leave_fold_out_quantiles(base, ["_cat"], "_f", k, "_y", [0.5], ["_oof_med"]).drop("_n")
+        glob = leave_fold_out_quantiles(base, [], "_f", k, "_y", [0.5], ["_oof_glob"]).drop("_n")
+    out = df.withColumn("_cat", cat).withColumn("_held", F.col(fold_col).cast("long"))
     out = out.join(per, ["_held", "_cat"], "left").join(F.broadcast(glob), "_held", "left")  # glob: k rows
     return out.withColumn(f"x__{feature}", F.coalesce("_oof_med", "_oof_glob")).drop("_cat", "_held", "_oof_med", "_oof_glob")
 

@@ -167,3 +167,63 @@ def fence_bounds(df: DataFrame, value: str, k: float = 3.0, **kw) -> DataFrame:
     q = quantile_row(df, value, [0.25, 0.75], ["_q1", "_q3"], **kw)
     iqr = F.col("_q3") - F.col("_q1")
     return q.select("_n", "_q1", "_q3", (F.col("_q1") - k * iqr).alias("_lo"), (F.col("_q3") + k * iqr).alias("_hi"))
+
+
+def leave_fold_out_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    fold: str,
+    k: int,
+    value: str,
+    probs: Sequence[float],
+    names: Sequence[str] | None = None,
+) -> DataFrame:
+    """Exact quantiles of ``value`` per (keys, held-out fold) over the rows of all OTHER folds.
+
+    No row is replicated: every narrowing level counts rows per (keys, fold, bucket)
+    once, and the leave-fold-out histogram of a held fold is the all-folds count
+    minus its own count.  Only histogram-sized tables carry the held-fold dimension.
+    Returns ``keys + [_held, _n] + names`` (``_n`` rows outside the held fold).
+    """
+    spark = df.sparkSession
+    keys = list(keys)
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    if not keys:
+        df = df.withColumn(_KEY, F.lit(0))
+        keys = [_KEY]
+    base = df.select(*keys, F.col(fold).cast("long").alias("_f"), F.col(value).cast("double").alias("_v"))
+    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    data = base.withColumn("_b1", ordered_bucket(F.col("_v"), 12)).withColumn("_b2", ordered_bucket(F.col("_v"), 32)).persist()
+    folds = F.broadcast(spark.range(k).select(F.col("id").alias("_held")))  # k rows
+    gk = keys + ["_held"]
+
+    def leave_out(own: DataFrame, sel: DataFrame | None, hist: list[str]) -> DataFrame:
+        """(gk..., hist..., _c) = all-folds count - own-fold count, for the held folds wanted."""
+        tot = own.groupBy(*keys, *hist).agg(F.sum("_c").alias("_t"))
+        if sel is None:
+            wanted = tot.crossJoin(folds)
+        else:
+            wanted = sel.join(tot, keys + hist[:-1] if len(hist) > 1 else keys)
+        mine = own.withColumnRenamed("_f", "_held").withColumnRenamed("_c", "_o")
+        j = wanted.join(mine, gk + hist, "left")
+        return j.select(*gk, *hist, (F.col("_t") - F.coalesce(F.col("_o"), F.lit(0))).alias("_c")).where(F.col("_c") > 0)
+
+    own_n = data.groupBy(*keys, "_f").agg(F.count(F.lit(1)).alias("_c"))
+    stats = leave_out(own_n, None, []).withColumnRenamed("_c", "_n").persist()
+    n_groups = stats.count()
+    targets = _rank_targets(stats, gk, probs).withColumn("_below", F.lit(0).cast("long"))
+
+    own1 = data.groupBy(*keys, "_f", "_b1").agg(F.count(F.lit(1)).alias("_c"))
+    t1 = _locate(leave_out(own1, None, ["_b1"]), gk, "_b1", targets, gk, "_below").persist()
+    bound = n_groups * 2 * len(probs)
+    d2 = _semi(data, t1, keys + ["_b1"], bound)
+    own2 = d2.groupBy(*keys, "_f", "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c"))
+    lo2 = leave_out(own2, t1.select(*gk, "_b1").distinct(), ["_b1", "_b2"])
+    t2 = _locate(lo2, gk + ["_b1"], "_b2", t1, gk + ["_b1"], "_below").persist()
+    d3 = _semi(data, t2, keys + ["_b2"], bound)
+    own3 = d3.groupBy(*keys, "_f", "_b2", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    lo3 = leave_out(own3, t2.select(*gk, "_b2").distinct(), ["_b2", "_v"])
+    t3 = _locate(lo3, gk + ["_b2"], "_v", t2.drop("_b1"), gk + ["_b2"], "_below")
+    picked = t3.select(*gk, "_r", F.col("_v").alias("_val"))
+    out = _interpolate(stats, picked, gk, probs, names, [])
+    return out.drop(_KEY) if _KEY in out.columns else out
