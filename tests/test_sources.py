@@ -39,3 +39,20 @@ def test_sniff_semicolon(spark):
     _write_text(spark, base, ["a;b;c", "1;2;3"])
     df, enc = CSV.read_csv(spark, base)
     assert df.columns == ["a", "b", "c"] and enc == "utf-8"
+
+
+def test_folder_stream_runs_take_only_new_files(spark):
+    from valuelens.streaming.folder_stream import ingest_once, read_sink
+
+    base = scratch_dir(spark, "stream-test")
+    schema = "id BIGINT, v STRING"
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).coalesce(1).write.option("header", True).csv(f"{base}/ads")
+    ingest_once(spark, f"{base}/ads", schema, f"{base}/sink", f"{base}/ckpt")
+    assert read_sink(spark, f"{base}/sink").count() == 2
+    ingest_once(spark, f"{base}/ads", schema, f"{base}/sink", f"{base}/ckpt")  # nothing new: nothing added
+    assert read_sink(spark, f"{base}/sink").count() == 2
+    spark.createDataFrame([(3, "c")], schema).coalesce(1).write.mode("append").option("header", True).csv(f"{base}/ads")
+    ingest_once(spark, f"{base}/ads", schema, f"{base}/sink", f"{base}/ckpt")
+    out = read_sink(spark, f"{base}/sink")
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3]
+    assert {r._source.split("/")[0] for r in out.collect()} == {"ads"}
