@@ -56,3 +56,20 @@ def test_folder_stream_runs_take_only_new_files(spark):
     out = read_sink(spark, f"{base}/sink")
     assert sorted(r.id for r in out.collect()) == [1, 2, 3]
     assert {r._source.split("/")[0] for r in out.collect()} == {"ads"}
+
+
+def test_source_management(spark):
+    from valuelens.sources import manage as M
+
+    primary = spark.createDataFrame([(1, "10")], "id long, price string")
+    sold = spark.createDataFrame([(2, 20.0, 5.0)], "id long, price double, fee double")
+    u = M.append_source(primary, sold, "sold/x.csv", "sold")
+    assert dict(u.dtypes)["price"] == "string"  # clashing types reconciled to text
+    rows = {r.id: r for r in u.collect()}
+    assert rows[1]._source == "primary" and rows[1]._sample_weight == 1.0 and rows[1].fee is None
+    assert rows[2]._file_type == "sold" and rows[2]._sample_weight == 3.0
+    s = {r.source: r for r in M.source_summary(u, M.toggle([], "primary")).collect()}
+    assert s["primary"].excluded and s["sold/x.csv"].total_active_rows == 1
+    assert M.remove_source(u, "primary").count() == 1
+    assert {r._sample_weight for r in M.set_weight(u, "sold/x.csv", 5.0).where("id = 2").collect()} == {5.0}
+    assert M.toggle(M.toggle([], "a"), "a") == []
