@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from valuelens.llm import q_decontaminate, q_language, q_lines, q_pack, q_toxicity, q_url
+from valuelens.llm import q_decontaminate, q_language, q_lines, q_near, q_pack, q_toxicity, q_url
 
 QUERIES = {
     "op1_quality_rules": q_lines.op1_quality_rules,
     "op2_best_fit_packing": q_pack.op2_best_fit_packing,
     "op4_toxicity": q_toxicity.op4_toxicity,
+    "op5_ngram_jaccard_join": q_near.op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": q_decontaminate.op6_benchmark_decontamination,
     "op8_language_id": q_language.op8_language_id,
     "op10_url_filters": q_url.op10_url_filters,
