@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from valuelens.llm import q_decontaminate, q_language, q_lines, q_near, q_pack, q_repeats, q_toxicity, q_url
+from valuelens.llm import q_decontaminate, q_language, q_lines, q_lm, q_near, q_pack, q_repeats, q_toxicity, q_url
 
 QUERIES = {
     "op1_quality_rules": q_lines.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": q_toxicity.op4_toxicity,
     "op5_ngram_jaccard_join": q_near.op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": q_decontaminate.op6_benchmark_decontamination,
+    "op7_lm_scoring": q_lm.op7_lm_scoring,
     "op8_language_id": q_language.op8_language_id,
     "op9_substring_dedup": q_repeats.op9_substring_dedup,
     "op10_url_filters": q_url.op10_url_filters,
