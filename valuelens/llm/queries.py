@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from valuelens.llm import q_decontaminate, q_language, q_lines, q_lm, q_near, q_pack, q_repeats, q_toxicity, q_url
+from valuelens.llm import q_decontaminate, q_language, q_lines, q_lm, q_near, q_pack, q_repeats, q_resample, q_toxicity, q_url
 
 QUERIES = {
     "op1_quality_rules": q_lines.op1_quality_rules,
     "op2_best_fit_packing": q_pack.op2_best_fit_packing,
+    "op3_quality_classifier": q_resample.op3_quality_classifier,
     "op4_toxicity": q_toxicity.op4_toxicity,
     "op5_ngram_jaccard_join": q_near.op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": q_decontaminate.op6_benchmark_decontamination,

@@ -1,38 +1,45 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text.
 
-Words (runs of letters and digits, A-Z lowered) and pairs of neighbouring words are hashed into ``BUCKETS``.
-The target model is the smoothed bucket distribution of the texts labelled good, the raw
-model that of all texts.  A text's log weight is the sum over its n-grams of the log ratio
-of both.  Adding Gumbel noise (from a hash of the id and the seed) to ``log weight /
-number of n-grams * TEMPER`` and taking the k largest keys samples k texts without
-replacement in proportion to the importance.
+Two kinds of n-grams are hashed into ``BUCKETS`` each: words (runs of letters and digits, A-Z
+lowered) and pairs of neighbouring words, all pairs of a word with itself sharing one
+bucket; and runs of ``SHAPE`` symbols of the text's outline, in which letters, capitals
+and digits stand for their class and a run of one class for one symbol.  The target model
+is the smoothed bucket distribution of the texts labelled good, the raw model that of all
+texts.  A text's log weight is the sum over its n-grams of the log ratio of both.  Adding
+Gumbel noise (from a hash of the id and the seed) to ``TEMPER * log weight / number of
+n-grams`` and taking the k largest keys samples k texts without replacement in proportion
+to the importance; k is the share of good labels times the number of texts.
 
 Scale.  Each model is one fixed-size vector of counts: a task sends one vector, so what
 reaches the driver is bounded by BUCKETS times a merge of pre-summed vectors by bucket.
-The k-th largest key comes from counts of the key's leading bits, refined ``DIGITS`` times;
-no sort, and ties beyond k go by id.
+The k-th largest (key, id) comes from counts of leading bits, refined digit by digit; no sort.
 
 Cases: null and empty texts have no n-gram, weight 0; without target labels all weights are
 0 and the choice is by noise alone; null labels and ids are ignored in fitting, a null id
-takes part in sampling with the noise of its text; repeated rows each count; k at or above
-the number of rows keeps all; an empty table gives none; other columns are ignored.
+takes part in sampling with the noise of its text; repeated rows each count, and rows with
+equal key and id are selected together; k at or above the number of rows keeps all; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuelens.llm import _words as W
 from valuelens.llm._shared import cut, ship_package
 
-BUCKETS, SMOOTH, TEMPER, SEED = 10_000, 1.0, 8.0, 17
+BUCKETS, SHAPE, SMOOTH, TEMPER, SEED = 10_000, 5, 1.0, 30.0, 17
 MAX_BROADCAST_LABELS = 2_000_000
-DIGIT_BITS, DIGITS = 13, 5  # 5 x 13 bits cover the 64 of a double
+DIGIT_BITS, DIGITS = 13, 5  # 5 x 13 bits cover 64
+_CLASS = np.arange(256, dtype=np.uint64)
+_CLASS[0x61:0x7B] = _CLASS[0x80:] = ord("a")
+_CLASS[0x41:0x5B] = ord("A")
+_CLASS[0x30:0x3A] = ord("0")
 
 
 def _features(raw: np.ndarray, bounds: np.ndarray, hasher: W.Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -42,29 +49,41 @@ def _features(raw: np.ndarray, bounds: np.ndarray, hasher: W.Hasher) -> tuple[np
     h = hasher.words(data, starts, ends)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     pair = W.windows(h, 2)
-    inside = doc[: len(pair)] == doc[1:][: len(pair)] if len(pair) else np.empty(0, bool)
-    code = np.concatenate([h, pair[inside]])
-    return (code % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([doc, doc[: len(pair)][inside]])
+    pair[h[1:] == h[:-1]] = 0
+    inside = doc[1:] == doc[:-1]
+    shape = _CLASS[raw]
+    at = np.ones(len(raw), bool)
+    at[1:] = (shape[1:] != shape[:-1]) | (shape[1:] < 48)
+    at[bounds[:-1][bounds[:-1] < len(raw)]] = True
+    place = np.flatnonzero(at)
+    owner = np.searchsorted(bounds, place, "right") - 1
+    outline = W.windows(shape[place], SHAPE)
+    whole = owner[: len(outline)] == owner[SHAPE - 1 :] if len(outline) else np.empty(0, bool)
+    words = np.concatenate([h, pair[inside]]) % np.uint64(BUCKETS)
+    bucket = np.concatenate([words.astype(np.int64), (outline[whole] % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS])
+    return bucket, np.concatenate([doc, doc[:-1][inside] if len(doc) else doc, owner[: len(outline)][whole]])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's bucket counts: of all texts, and of those marked as target."""
     hasher = W.Hasher()
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
     for rows, data, bounds in W.slices(batches):
         bucket, doc = _features(data, bounds, hasher)
         good = rows.column(0).to_numpy(zero_copy_only=False).astype(bool)
-        raw += np.bincount(bucket, minlength=BUCKETS)
-        target += np.bincount(bucket[good[doc]], minlength=BUCKETS)
-    yield pa.record_batch([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
+        raw += np.bincount(bucket, minlength=2 * BUCKETS)
+        target += np.bincount(bucket[good[doc]], minlength=2 * BUCKETS)
+    yield pa.record_batch([pa.array(np.arange(2 * BUCKETS)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability per bucket; zero everywhere without target text."""
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    p, q = (target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS), (raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS)
-    return np.log(p) - np.log(q)
+    """Log of target over raw probability per bucket, each kind of n-gram by itself; zero without target text."""
+    out = np.zeros(2 * BUCKETS)
+    for kind in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
+        t, r = target[kind], raw[kind]
+        if t.sum():
+            out[kind] = np.log((t + SMOOTH) / (t.sum() + SMOOTH * BUCKETS)) - np.log((r + SMOOTH) / (r.sum() + SMOOTH * BUCKETS))
+    return out
 
 
 def _weigh(ratio: np.ndarray):
@@ -86,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     side = F.broadcast(good) if good.count() <= MAX_BROADCAST_LABELS else good
     marked = docs.join(side, docs["doc_id"] == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("good"), F.col("text").cast("string").alias("text"))
-    rows = marked.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rows = marked.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # 2 * BUCKETS rows
+    raw, target = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
     for r in rows:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     return log_ratio(raw, target)
@@ -106,50 +125,50 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     return out.select("doc_id", "n_features", "log_weight", (mean * F.lit(TEMPER) - F.log(-F.log(u))).alias("key"))
 
 
-def _ordered_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unsigned bits (as 5 digits) that sort like the key, the largest first."""
+def _digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digits that sort as (key falling, id rising, null ids last)."""
     for b in batches:
         bits = b.column(b.schema.get_field_index("key")).to_numpy().view(np.uint64)
-        sign = (bits >> np.uint64(63)).astype(bool)
-        up = np.where(sign, ~bits, bits | np.uint64(1 << 63))
-        digits = [((~up) >> np.uint64(max(64 - DIGIT_BITS * (k + 1), 0))).astype(np.int64) & ((1 << DIGIT_BITS) - 1) if k < DIGITS - 1 else (~up & np.uint64((1 << 12) - 1)).astype(np.int64) for k in range(DIGITS)]
-        yield pa.record_batch([*b.columns, *(pa.array(d) for d in digits)], names=[*b.schema.names, *(f"digit{k}" for k in range(DIGITS))])
+        up = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+        ids = b.column(b.schema.get_field_index("doc_id"))
+        own = ids.fill_null((1 << 63) - 1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+        digits = []
+        for x in (~up, own):
+            for k in range(DIGITS):
+                low = max(64 - DIGIT_BITS * (k + 1), 0)
+                width = 64 - DIGIT_BITS * k - low
+                digits.append(((x >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64))
+        yield pa.record_batch([*b.columns, *map(pa.array, digits)], names=[*b.schema.names, *(f"digit{k}" for k in range(2 * DIGITS))])
 
 
 def top_k(weighed: DataFrame, k: int) -> DataFrame:
-    """``weighed`` with ``selected``: the k rows of largest key; ties go to the smaller id (nulls last)."""
-    digits = [f"digit{i}" for i in range(DIGITS)]
+    """``weighed`` with ``selected``: the k rows of largest key; equal keys go by id, the smaller first."""
+    digits = [f"digit{i}" for i in range(2 * DIGITS)]
     fields = ", ".join(f"{c} {t}" for c, t in weighed.dtypes) + "".join(f", {d} long" for d in digits)
-    rows = cut(weighed.mapInArrow(_ordered_bits, fields), "keys")
-    left, prefix = k, F.lit(True)
-    chosen = F.lit(False)
+    rows = cut(weighed.mapInArrow(_digits, fields), "keys")
+    left, prefix, chosen = k, F.lit(True), F.lit(False)
     for d in digits:
-        counts = rows.where(prefix).groupBy(d).count().orderBy(d).collect()  # at most 2 ** DIGIT_BITS rows
+        if left <= 0:
+            break
         edge = None
-        for r in counts:
+        for r in sorted(rows.where(prefix).groupBy(d).count().collect()):  # at most 2 ** DIGIT_BITS rows
             if r["count"] > left:
                 edge = r[d]
                 break
             left -= r["count"]
-        if edge is None:  # everything under the prefix fits
-            chosen = chosen | prefix
-            return rows.withColumn("selected", chosen).drop(*digits)
+        if edge is None:  # all under the prefix fit
+            break
         chosen = chosen | (prefix & (F.col(d) < edge))
         prefix = prefix & (F.col(d) == edge)
-    # rows with exactly the k-th key: equal keys are copies of one id or a rare tie
-    tied = rows.where(prefix).select(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id").alias("tie"))
-    order = Window.orderBy("tie")
-    last = tied.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= left)
-    n = {r["doc_id"]: r["n"] for r in last.groupBy(F.col("tie.doc_id").alias("doc_id")).agg(F.count("*").alias("n")).collect()} if left else {}
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
-    quota = F.lit(0)
-    for doc_id, m in n.items():
-        quota = F.when(F.col("doc_id").eqNullSafe(F.lit(doc_id)), F.lit(m)).otherwise(quota)
-    edge_rows = rows.where(prefix).withColumn("selected", nth <= quota)
-    return rows.where(~prefix).withColumn("selected", chosen).union(edge_rows).drop(*digits)
-
-
-def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = SEED) -> DataFrame:
-    """doc_id, n_features, log_weight, key, selected: ``share`` of the rows (rounded up) is sampled."""
+    if left > 0:
+        chosen = chosen | prefix
+    return rows.withColumn("selected", chosen).drop(*digits)
+
+
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, n_features, log_weight, key, selected: ``share`` (default: that of good labels) of the rows is sampled."""
+    if share is None:
+        seen = labels.where("quality is not null").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+        share = 1.0 if seen is None else seen
     weighed = weigh(docs, fit(docs, labels), seed)
-    return top_k(weighed, -int(-share * docs.count() // 1))
+    return top_k(weighed, math.ceil(share * docs.count()))
