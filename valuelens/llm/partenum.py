@@ -8,16 +8,17 @@ differences some first-level part holds at most ``K2`` of them, so among the sub
 its ``N2`` second-level parts that leave out ``K2`` one is untouched: each such subset is a
 signature, and linked sets share one.  No link is lost.
 
-Work per signature is kept linear.  Members of a signature are compared with one centre
-(first with one of their own batch, the centres then with one of all batches), not with
-each other, and linked sets form components.  Only where a signature still spans several
-components are its members compared pair by pair inside tasks, in blocks of ``BLOCK``;
-just links come out.  Every candidate is verified on the whole sets of 64-bit shingle
-hashes.  Equal sets are one node from the start.
+Work per signature is kept linear: a signature's members are tied to one centre (first to
+one of their own batch, the centres then to one of all batches), not to each other, and
+the ties' components are the candidate groups.  All links lie inside them.  A group's sets
+meet in one task, which verifies candidates on the whole sets of 64-bit shingle hashes and
+skips what is already connected; only links that connect come out, at most one per member.
+Groups of more than ``BLOCK`` elements are cut into blocks that meet two by two, as far as
+their bands are equal or neighbours.  Equal sets are one node from the start.
 
 Scale: signatures are one shuffle of about a quarter as many rows as shingles, combined
 per batch before it, so a signature that a third of all documents share reaches the
-shuffle once per batch.  Sets travel only for candidates.
+shuffle once per batch.  Sets travel once, and only those that share a signature.
 
 Cases: null text and texts without words have the empty set, linked with nothing; texts of
 one or two words have one shingle, the whole sequence; rows that share a doc_id are one
@@ -32,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuelens.llm import _words as W
@@ -42,7 +43,7 @@ from valuelens.llm.components import components
 SHINGLE = 3
 NUM, DEN = 9, 10  # linked from 9/10
 N2, K2 = 2, 1
-BLOCK = 1000
+BLOCK = 1_000_000
 MAX_BROADCAST_IDS = 2_000_000
 _SEEDS = tuple(W.mix(np.arange(11, 16, dtype=np.uint64)))
 #: centres are the least nodes under one of four orders, picked by the signature
@@ -125,9 +126,11 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = W.Hasher()
     for rows, data, bounds in W.slices(batches):
         sets = document_sets(data, bounds, hasher)
+        size = np.array([len(s) for s in sets], np.int64)
+        band = np.searchsorted(bands(int(size.max())), size)
         yield pa.record_batch(
-            [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_digests(sets, 0)), pa.array(_digests(sets, 1))],
-            names=["doc_id", "n_shingles", "d1", "d2"],
+            [rows.column(0), pa.array(size), pa.array(band), pa.array(_digests(sets, 0)), pa.array(_digests(sets, 1))],
+            names=["doc_id", "n_shingles", "band", "d1", "d2"],
         )
 
 
@@ -152,64 +155,48 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, node): members of signatures with two nodes or more, each with its centre, in plain node ids."""
-    last_sig, last_centre, shown = None, None, False
+    """Rows sorted by (sig, node) to distinct (node, centre) ties in plain node ids; a run's first node is its centre."""
+    last_sig = last_centre = None
     for b in batches:
         sig, node = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         given = b.column(2).is_valid().to_numpy(zero_copy_only=False)
         centre = b.column(2).fill_null(0).to_numpy(zero_copy_only=False).copy()
         free = np.flatnonzero(~given)
         s, n = sig[free], node[free]
-        extra = ([], [], [])
-        keep = given.copy()
         if len(s):
             head = np.ones(len(s), bool)
             head[1:] = s[1:] != s[:-1]
-            goes_on = last_sig is not None and s[0] == last_sig
-            if goes_on:
+            if last_sig is not None and s[0] == last_sig:
                 head[0] = False
             at = np.maximum.accumulate(np.where(head, np.arange(len(s)), -1))
-            c = np.where(at >= 0, n[np.maximum(at, 0)], last_centre if goes_on else 0)
-            other = ~head & (n != c)
-            centre[free] = c
-            keep[free] = other
-            # a centre is shown once, when its first other member comes
-            firsts = np.flatnonzero(other)
-            if len(firsts):
-                group = at[firsts]
-                start = np.ones(len(firsts), bool)
-                start[1:] = group[1:] != group[:-1]
-                lead = firsts[start & ~((group < 0) & shown)]
-                extra = (s[lead], c[lead], c[lead])
-                shown = bool(((at[firsts] == at[-1]).any()) or (shown and at[-1] < 0))
-            elif at[-1] >= 0:
-                shown = False
-            last_sig, last_centre = s[-1], c[-1]
-        out = [np.concatenate([x[keep], np.asarray(e, np.int64)]) for x, e in zip((sig, node, centre), extra, strict=True)]
-        mask = _ORDERS[(out[0].view(np.uint64) & np.uint64(3)).astype(np.int64)].view(np.int64)
-        yield pa.record_batch([pa.array(out[0]), pa.array(out[1] ^ mask), pa.array(out[2] ^ mask)], names=["sig", "node", "centre"])
+            centre[free] = np.where(at >= 0, n[np.maximum(at, 0)], last_centre if last_centre is not None else 0)
+            last_sig, last_centre = s[-1], centre[free[-1]]
+        tie = np.flatnonzero(node != centre)
+        mask = _ORDERS[(sig[tie].view(np.uint64) & np.uint64(3)).astype(np.int64)].view(np.int64)
+        x, y = node[tie] ^ mask, centre[tie] ^ mask
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        yield pa.record_batch([pa.array(x[new]), pa.array(y[new])], names=["node", "centre"])
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = W.Hasher()
     for rows, data, bounds in W.slices(batches):
         sets = document_sets(data, bounds, hasher)
-        yield pa.record_batch([rows.column(0), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], names=["doc_id", "shingles"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (b.column(i) for i in (2, 3))
-        ok = [linked(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) for p, q in zip(x, y, strict=True)]
-        yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield pa.record_batch([rows.column(0), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], names=["node", "shingles"])
 
 
 def _inside(key: tuple, t: pa.Table) -> pa.Table:
-    """Links between members of two blocks that lie in different components; at most one per pair of components."""
-    node, comp, block = (t.column(c).to_numpy() for c in ("node", "component", "block"))
+    """Links that connect members of the left side with members of the right one."""
+    node, left, right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "is_left", "is_right"))
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
     size = np.array([len(s) for s in sets])
-    root = {c: c for c in comp.tolist()}
+    # where each set's elements lie, for the right side
+    elements = np.concatenate(sets)
+    begin = np.concatenate([[0], size.cumsum()])
+    root = list(range(len(sets)))
 
     def find(c: int) -> int:
         while root[c] != c:
@@ -217,98 +204,95 @@ def _inside(key: tuple, t: pa.Table) -> pa.Table:
             c = root[c]
         return c
 
-    _, i, j = (k.as_py() for k in key)
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    values = np.concatenate([sets[k] for k in right]) if len(right) else np.empty(0, np.uint64)
-    owner = np.repeat(right, size[right])
     found = []
-    for p in left.tolist():
-        r = find(int(comp[p]))
-        other = np.zeros(len(sets), bool)
-        other[right] = [find(int(c)) != r for c in comp[right].tolist()]
-        other &= (NUM * size <= DEN * size[p]) & (NUM * size[p] <= DEN * size)
-        if not other.any():
+    right_at = np.flatnonzero(right)
+    for p in np.flatnonzero(left).tolist():
+        fits = right_at[(NUM * size[right_at] <= DEN * size[p]) & (NUM * size[p] <= DEN * size[right_at])]
+        r = find(p)
+        other = np.array([q for q in fits.tolist() if find(q) != r], np.int64)
+        if not len(other):
             continue
+        n = size[other]
+        values = elements[np.repeat(begin[other] - (n.cumsum() - n), n) + np.arange(int(n.sum()))]
         at = np.searchsorted(sets[p], values)
         at[at == len(sets[p])] = 0
-        common = np.bincount(owner[sets[p][at] == values], minlength=len(sets))
-        for q in np.flatnonzero(other & (DEN * common >= NUM * (size + size[p] - common))).tolist():
-            if find(int(comp[q])) != find(int(comp[p])):
-                root[find(int(comp[q]))] = find(int(comp[p]))
+        common = np.add.reduceat((sets[p][at] == values).astype(np.int64), n.cumsum() - n)
+        for q in other[DEN * common >= NUM * (n + size[p] - common)].tolist():
+            if find(q) != find(p):
+                root[find(q)] = find(p)
                 found.append((int(node[p]), int(node[q])))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+def _meetings(groups: DataFrame) -> DataFrame:
+    """(meeting, node, is_left, is_right) from (group, node, band, n): which sets are compared in which task.
+
+    A small group is one meeting.  A large one is cut by band and hash into blocks of about
+    ``BLOCK`` elements; each block meets the blocks of its band and of the next one.
+    """
+    per_band = groups.groupBy("group", "band").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    per_group = per_band.groupBy("group").agg(F.sum("n").alias("total"))
+    small = groups.join(per_group.where(f"total <= {BLOCK}").select("group"), "group")
+    one = small.select(F.struct("group", F.lit(-1).cast("long").alias("band"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("step")).alias("meeting"), "node", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"))
+
+    blocks = per_band.join(per_group.where(f"total > {BLOCK}").select("group"), "group").select("group", "band", "blocks")
+    beside = [
+        blocks.withColumnRenamed("blocks", "own"),
+        blocks.select("group", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")),
+        blocks.select("group", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")),
+    ]
+    sized = beside[0].join(beside[1], ["group", "band"], "left").join(beside[2], ["group", "band"], "left").na.fill(0, ["above", "below"])
+    rows = groups.join(sized, ["group", "band"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("own")))
+
+    def each(count: str, step: int, left: bool) -> DataFrame:
+        some = rows.where(F.col(count) > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+        if count == "own":
+            i, j = F.least("h", "k"), F.greatest("h", "k")
+            sides = [(F.col("h") == i), (F.col("h") == j)]
+        else:
+            i, j = (F.col("h"), F.col("k")) if left else (F.col("k"), F.col("h"))
+            sides = [F.lit(left), F.lit(not left)]
+        band = F.col("band") if left else F.col("band") - 1
+        meeting = F.struct("group", band.cast("long").alias("band"), i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(step).alias("step"))
+        return some.select(meeting.alias("meeting"), "node", sides[0].alias("is_left"), sides[1].alias("is_right"))
+
+    return one.union(each("own", 0, True)).union(each("above", 1, True)).union(each("below", 1, False))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; documents link at a Jaccard similarity of 9/10 or more."""
     spark = docs.sparkSession
     ship_package(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = cut(given.mapInArrow(_sizes, "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
+    sizes = cut(given.mapInArrow(_sizes, "doc_id long, n_shingles long, band long, d1 long, d2 long"), "sets")
     # equal sets are one node, named by its smallest id
-    reps = cut(sizes.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = cut(
+        sizes.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("band").alias("band")), "reps"
+    )
     # rows that share an id are one node too
     shared = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x != y")
     same_id = sizes.join(shared.select("doc_id"), "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     signed = given.where("text is not null").mapInArrow(_signed, "sig long, node long, centre long")
     to = F.when(F.col("centre").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "node"))
-    stars = cut(signed.repartition(to).sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long, centre long"), "stars")
+    ties = signed.repartition(to).sortWithinPartitions("sig", "node").mapInArrow(_runs, "node long, centre long")
+    ties = cut(ties.distinct(), "ties")
 
     by_node = reps.where("rep is not null").select(F.col("d1").alias("node"), "rep")
     pairs = (
-        stars.where("node != centre")
-        .select("node", "centre")
-        .distinct()
+        ties.join(by_node, "node")
+        .select(F.col("rep").alias("a"), F.col("centre").alias("node"))
         .join(by_node, "node")
-        .withColumnRenamed("rep", "a")
-        .drop("node")
-        .join(by_node.withColumnRenamed("node", "centre"), "centre")
         .select("a", F.col("rep").alias("b"))
-        .where("a != b")
-    )
-    pairs = cut(pairs.distinct(), "pairs")
-    ids = cut(pairs.select("a").union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= MAX_BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    blobs = cut(given.join(wanted, given["doc_id"] == wanted["a"], "left_semi").mapInArrow(_blobs, "doc_id long, shingles binary"), "shingles")
-    links = (
-        pairs.join(blobs.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(blobs.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_verify, "a long, b long")
-    )
-    links = cut(links.union(same_id), "links")
-    named = components(links)
-
-    # signatures that still span components: three members or more, not all pairs compared
-    members = (
-        stars.select("sig", "node")
-        .distinct()
-        .join(by_node, "node")
-        .join(named.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("sig", F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component"))
-    )
-    members = cut(members, "members")
-    spanning = members.groupBy("sig").agg(
-        F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")
-    )
-    spanning = spanning.where("n > 2 and lo != hi").groupBy("same", "n").agg(F.min("sig").alias("sig"))  # equal member lists once
-    open_rows = members.join(spanning.select("sig", "n"), "sig")
-    open_rows = open_rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("component", "node")) - 1) / BLOCK))
-    last = F.floor((F.col("n") - 1) / BLOCK)
-    every = F.sequence(F.lit(0).cast("long"), last)
-    open_rows = open_rows.select("sig", "node", "component", "block", F.explode(every).alias("other")).select(
-        "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block"
-    )
-    more = (
-        open_rows.join(blobs.withColumnRenamed("doc_id", "node"), "node")
-        .groupBy("sig", "i", "j")
-        .applyInArrow(_inside, "a long, b long")
     )
-    more = cut(more, "links")
-    if not more.isEmpty():
-        named = components(links.union(more))
+    groups = components(pairs).select(F.col("component").alias("group"), "node")
+    sized = reps.where("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"), F.min("band").alias("band"))
+    groups = cut(groups.join(sized, "node"), "groups")
+    few = groups.count() <= MAX_BROADCAST_IDS
+    wanted = groups.select(F.col("node").alias("wanted"))
+    sets = given.join(F.broadcast(wanted) if few else wanted, given["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(_blobs, "node long, shingles binary")
+    met = _meetings(groups).join(sets, "node").groupBy("meeting").applyInArrow(_inside, "a long, b long")
+    named = components(met.union(same_id))
     by_set = reps.join(named, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     own = sizes.where("n_shingles > 0").join(by_set, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return own.union(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
