@@ -185,7 +185,9 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = W.Hasher()
     for rows, data, bounds in W.slices(batches):
         sets = document_sets(data, bounds, hasher)
-        yield pa.record_batch([rows.column(0), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], names=["node", "shingles"])
+        size = np.array([len(s) for s in sets], np.int64)
+        band = np.searchsorted(bands(int(size.max())), size)
+        yield pa.record_batch([rows.column(0), pa.array(band), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "band", "shingles"])
 
 
 def _inside(key: tuple, t: pa.Table) -> pa.Table:
@@ -225,7 +227,7 @@ def _inside(key: tuple, t: pa.Table) -> pa.Table:
 
 
 def _meetings(groups: DataFrame) -> DataFrame:
-    """(meeting, node, is_left, is_right) from (group, node, band, n): which sets are compared in which task.
+    """(meeting, node, band, is_left, is_right) from (group, node, band, n): which sets are compared in which task.
 
     A small group is one meeting.  A large one is cut by band and hash into blocks of about
     ``BLOCK`` elements; each block meets the blocks of its band and of the next one.
@@ -233,7 +235,7 @@ def _meetings(groups: DataFrame) -> DataFrame:
     per_band = groups.groupBy("group", "band").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     per_group = per_band.groupBy("group").agg(F.sum("n").alias("total"))
     small = groups.join(per_group.where(f"total <= {BLOCK}").select("group"), "group")
-    one = small.select(F.struct("group", F.lit(-1).cast("long").alias("band"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("step")).alias("meeting"), "node", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"))
+    one = small.select(F.struct("group", F.lit(-1).cast("long").alias("band"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("step")).alias("meeting"), "node", "band", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"))
 
     blocks = per_band.join(per_group.where(f"total > {BLOCK}").select("group"), "group").select("group", "band", "blocks")
     beside = [
@@ -254,7 +256,7 @@ def _meetings(groups: DataFrame) -> DataFrame:
             sides = [F.lit(left), F.lit(not left)]
         band = F.col("band") if left else F.col("band") - 1
         meeting = F.struct("group", band.cast("long").alias("band"), i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(step).alias("step"))
-        return some.select(meeting.alias("meeting"), "node", sides[0].alias("is_left"), sides[1].alias("is_right"))
+        return some.select(meeting.alias("meeting"), "node", "band", sides[0].alias("is_left"), sides[1].alias("is_right"))
 
     return one.union(each("own", 0, True)).union(each("above", 1, True)).union(each("below", 1, False))
 
@@ -286,12 +288,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .select("a", F.col("rep").alias("b"))
     )
     groups = components(pairs).select(F.col("component").alias("group"), "node")
-    sized = reps.where("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"), F.min("band").alias("band"))
+    sized = reps.where("rep is not null").groupBy(F.col("rep").alias("node"), "band").agg(F.max("n").alias("n"))
     groups = cut(groups.join(sized, "node"), "groups")
     few = groups.count() <= MAX_BROADCAST_IDS
-    wanted = groups.select(F.col("node").alias("wanted"))
-    sets = given.join(F.broadcast(wanted) if few else wanted, given["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(_blobs, "node long, shingles binary")
-    met = _meetings(groups).join(sets, "node").groupBy("meeting").applyInArrow(_inside, "a long, b long")
+    wanted = groups.select(F.col("node").alias("wanted")).distinct()
+    sets = given.join(F.broadcast(wanted) if few else wanted, given["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(_blobs, "node long, band long, shingles binary")
+    met = _meetings(groups).join(sets, ["node", "band"]).groupBy("meeting").applyInArrow(_inside, "a long, b long")
     named = components(met.union(same_id))
     by_set = reps.join(named, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     own = sizes.where("n_shingles > 0").join(by_set, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))

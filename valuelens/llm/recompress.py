@@ -16,8 +16,8 @@ batch, so a passage that a third of all documents share reaches the shuffle once
 batch).  Equal occurrences are repeats throughout; a name with one occurrence is unique;
 occurrences that share a name but not all words send their single windows to a second,
 much smaller meeting by 128-bit window hash.  Repeats come back as ranges per text and
-are cut from the documents.  Only positions travel; texts are joined with their ranges by
-text hash, by broadcast where a count proves the ranges small, else by a shuffle.
+are cut from the documents, joined by text hash; the planner may split a hot text.  Texts
+with open occurrences are found by broadcast where a count proves the list small.
 
 Cases: null and short texts lose nothing; rows with equal texts lose the same words (and
 all, from 35 words on); repeated ids do not matter, as texts are what meets; an empty
@@ -40,7 +40,7 @@ from valuelens.llm import _words as W
 from valuelens.llm._shared import cut, ship_package
 
 WINDOW, ROUNDS = 35, 5
-MAX_BROADCAST_RANGES = 3_000_000
+MAX_BROADCAST_PLACES = 3_000_000
 # kinds of rows
 ASK, TELL, SETTLED, OPEN, REP = 0, 1, 2, 3, 4
 ROW = "name long, e1 long, e2 long, k1 long, k2 long, at long"
@@ -124,6 +124,9 @@ def occurrences(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     name, low, high = symbols(h, doc)
     use = high - low <= WINDOW
     name, low, high = name[use], low[use], high[use]
+    ranges = Ranges(h)
+    # known by all the words it depends on, a symbol is rarely shared by chance
+    name = W.mix(name ^ ranges.of(low, high)[0])
     # least hash first, of equal ones the leftmost
     bits = np.uint64(max(1, len(name).bit_length()))
     key = ((W.mix(name ^ _SEEDS[5]) >> bits) << bits) | np.arange(len(name), dtype=np.uint64)
@@ -140,7 +143,7 @@ def occurrences(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (anchor[1:] < 0) | (doc[at[1:]] != doc[at[:-1]])
     heads = np.flatnonzero(new)
     lo, hi = at[heads], at[np.append(heads[1:], len(at)) - 1]
-    e1, e2 = Ranges(h).of(lo, hi + WINDOW)
+    e1, e2 = ranges.of(lo, hi + WINDOW)
     got = anchor[heads] >= 0
     own = np.where(got, name[np.maximum(anchor[heads], 0)] if len(name) else np.uint64(0), W.mix(e1 ^ _SEEDS[6]))
     return doc[lo], own, lo, hi, e1, e2
@@ -264,6 +267,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         w1, w2 = ranges.of(p + first[doc[which]], p + first[doc[which]] + WINDOW)
         k1, k2 = (rows.column(rows.schema.get_field_index(c)).to_numpy()[doc[which]] for c in ("k1", "k2"))
         rep = kind[which] == REP
+        which = doc[which]
         order = np.lexsort((p, ~rep, w2, w1))
         w1, w2, k1, k2, p, rep = (x[order] for x in (w1, w2, k1, k2, p, rep))
         new = np.ones(len(w1), bool)
@@ -272,9 +276,20 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         size = np.bincount(group) if len(group) else np.empty(0, np.int64)
         # a copy of one text may stand in the batch more than once: its open windows count as repeats then, rightly
         known = (size[group] > 1) | rep[np.flatnonzero(new)][group]
+        own = which[order]
         parts = []
-        for pick, k in ((known & ~rep, SETTLED), (known & new, TELL), (~known, ASK)):
+        for pick, k in ((known & new, TELL), (~known, ASK)):
             parts.append([w1[pick], w2[pick], k1[pick], k2[pick], _pack(p[pick], p[pick], k)])
+        # settled windows side by side in a text become one range
+        at = np.flatnonzero(known & ~rep)
+        at = at[np.lexsort((p[at], own[at]))]
+        head = np.ones(len(at), bool)
+        head[1:] = (p[at][1:] != p[at][:-1] + 1) | (own[at][1:] != own[at][:-1])
+        run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+        head |= run % 64 == 0
+        lead = at[head]
+        span = np.diff(np.append(np.flatnonzero(head), len(at))) - 1
+        parts.append([w1[lead], w2[lead], k1[lead], k2[lead], _pack(p[lead], p[lead] + span, SETTLED)])
         yield pa.record_batch([_i(np.concatenate([x[c].view(np.int64) for x in parts])) for c in range(5)], names=["w1", "w2", "k1", "k2", "at"])
 
 
@@ -322,10 +337,10 @@ def _per_text(rows: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("k1", "k2").agg(F.collect_list("at").alias("spots"))
 
 
-def _with_spots(docs: DataFrame, spots: DataFrame, how: str) -> DataFrame:
+def _small_broadcast(spots: DataFrame) -> DataFrame:
+    """``spots`` for a broadcast if texts and places together are few, else for a shuffle."""
     size = spots.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spots")), F.lit(0)).alias("s")).first()
-    small = size["n"] + size["s"] <= MAX_BROADCAST_RANGES
-    return docs.join(F.broadcast(spots) if small else spots, ["k1", "k2"], how)
+    return F.broadcast(spots) if size["n"] + size["s"] <= MAX_BROADCAST_PLACES else spots
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
@@ -342,7 +357,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     )
     kind = F.col("at").bitwiseAND(7)
     listed = cut(_per_text(judged.where(kind >= OPEN)), "open")
-    windows = _with_spots(texts, listed, "inner").mapInArrow(_open_windows, "w1 long, w2 long, k1 long, k2 long, at long")
+    windows = texts.join(_small_broadcast(listed), ["k1", "k2"]).mapInArrow(_open_windows, "w1 long, w2 long, k1 long, k2 long, at long")
     to = F.when(kind >= SETTLED, F.xxhash64("k1", "k2", "at")).otherwise(F.col("w1"))
     again = windows.repartition(to).sortWithinPartitions("w1", "w2").mapInArrow(_judge_windows, "k1 long, k2 long, at long")
     return cut(_per_text(judged.where(kind == SETTLED).union(again)), "repeats")
@@ -359,6 +374,6 @@ def remove_repeats(docs: DataFrame, keep_row: bool = False) -> DataFrame:
         F.xxhash64(F.lit("second"), text).alias("k2"),
         *([F.struct("*").alias("kept_row")] if keep_row else []),
     )
-    joined = _with_spots(given, repeated_places(given), "left").select("doc_id", *(["kept_row"] if keep_row else []), "text", "spots")
+    joined = given.join(repeated_places(given), ["k1", "k2"], "left").select("doc_id", *(["kept_row"] if keep_row else []), "text", "spots")
     out = T.StructType([f for f in joined.schema.fields if f.name not in ("text", "spots")] + T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string").fields)
     return joined.mapInArrow(_cut_words, out)
