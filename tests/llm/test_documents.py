@@ -190,7 +190,7 @@ def test_empty_tables(spark):
 
 
 def test_line_rules(spark):
-    good = "\n".join(f"This is a clean sentence number {k} with some words." for k in range(12))
+    good = "\n".join(f"Sentence{k} has{k} seven{k} words{k} and{k} one{k} end{k}." for k in range(12))
     nav = "\n".join("Home | About | News | Contact | Imprint | Help" for _ in range(12))
     rows = [(1, good), (2, nav + "\n" + good[:60]), (3, good + "\n" + "Lorem IPSUM dolor sit amet."), (4, None), (5, "a a a a"), (6, "word " * 80), (7, good.upper().replace(" ", "!! "))]
     got = {r["doc_id"]: r for r in line_rules.clean_lines(frame(spark, rows)).collect()}

@@ -39,8 +39,8 @@ from valuelens.llm._shared import cut, ship_package
 from valuelens.session import scratch_dir
 
 ORDER, BLOCK_ARCS = 6, 4_000_000
-BATCH_BYTES = 16 << 20
-FLUSH_GRAMS = 4_000_000
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
+FLUSH_GRAMS = 1_500_000
 SPACE, BEGIN, END, SYMBOLS = 32, 256, 257, 258
 ROWS = "kind int, batch long, number int, word binary, n long, doc_id long, held_out boolean, score double, tokens binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -89,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts.clear()
         return pa.record_batch([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    for _, raw, bounds in W.slices(batches):
+    for _, raw, bounds in W.slices(batches, limit=SLICE_BYTES):
         data = W.LOWER[raw]
         parts.append(np.unique(grams(*symbols(data, *W.spans(data, bounds, W.PLAIN))), return_counts=True))
         if sum(len(p[0]) for p in parts) > FLUSH_GRAMS:
@@ -150,13 +150,17 @@ class Automaton:
         return out
 
 
+    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """This block's part of the log10 probability of each (lowered) text."""
+        s, begin = symbols(data, *W.spans(data, bounds, W.PLAIN))
+        sums = np.concatenate([[0.0], self.weights(grams(s, begin)).cumsum()])
+        return sums[begin[1:]] - sums[begin[:-1]]
+
+
 def _traverse(automaton: Automaton):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, bounds in W.slices(batches):
-            data = W.LOWER[raw]
-            s, begin = symbols(data, *W.spans(data, bounds, W.PLAIN))
-            sums = np.concatenate([[0.0], automaton.weights(grams(s, begin)).cumsum()])
-            part = sums[begin[1:]] - sums[begin[:-1]]
+        for rows, raw, bounds in W.slices(batches, limit=SLICE_BYTES):
+            part = automaton.scores(W.LOWER[raw], bounds)
             yield pa.record_batch([*rows.columns[:3], pa.array(part + rows.column(3).to_numpy())], names=rows.schema.names)
 
     return run
@@ -174,10 +178,19 @@ def _unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher
     return inverse, [blob[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: rows of kind 0 (its distinct words, with training counts) and 1 (its texts as token numbers)."""
+def _number(automaton: Automaton):
+    """The last block's traversal, and per batch rows of kind 0 (its distinct words, with training counts) and 1 (its texts as token numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _numbered(automaton, batches)
+
+    return run
+
+
+def _numbered(automaton: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, other, base = W.Hasher(), W.Hasher(2), TaskContext.get().partitionId() << 24
     for i, (rows, raw, bounds) in enumerate(W.slices(batches, limit=BATCH_BYTES)):
+        part = np.concatenate([automaton.scores(W.LOWER[r], b) for _, r, b in W.slices(iter([rows]), limit=SLICE_BYTES)])
         data = W.LOWER[raw]
         starts, ends, first = W.spans(data, bounds, W.PLAIN)
         number, words = _unique_words(data, starts, ends, hasher, other)
@@ -203,7 +216,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (pa.int64(), count[order], None),
             (pa.int64(), None, rows.column(0)),
             (pa.bool_(), None, rows.column(1)),
-            (pa.float64(), None, rows.column(3)),
+            (pa.float64(), None, part + rows.column(3).to_numpy()),
             (pa.binary(), None, tokens),
         ]
         columns = []
@@ -254,10 +267,11 @@ def score(docs: DataFrame) -> DataFrame:
     scored = given
     for k in range(blocks):
         own = arcs.where(F.expr(f"(code div {SYMBOLS}) % {SYMBOLS**2} % {blocks} = {k}"))  # about BLOCK_ARCS rows
-        scored = scored.mapInArrow(_traverse(Automaton(*_arrays(own), low, k, blocks)), given.schema)
+        automaton = Automaton(*_arrays(own), low, k, blocks)
+        scored = scored.mapInArrow(_traverse(automaton), given.schema) if k < blocks - 1 else scored.mapInArrow(_number(automaton), ROWS)
 
     path = scratch_dir(spark, "tokens")
-    scored.mapInArrow(_number, ROWS).write.partitionBy("kind").parquet(path)
+    scored.write.partitionBy("kind").parquet(path)
     numbered = spark.read.schema(ROWS).parquet(path)
     asked = numbered.where("kind = 0").select("batch", "number", "word", "n")
     by_word = Window.partitionBy("word")

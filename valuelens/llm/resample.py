@@ -146,7 +146,7 @@ def top_k(weighed: DataFrame, k: int) -> DataFrame:
     digits = [f"digit{i}" for i in range(2 * DIGITS)]
     fields = ", ".join(f"{c} {t}" for c, t in weighed.dtypes) + "".join(f", {d} long" for d in digits)
     rows = cut(weighed.mapInArrow(_digits, fields), "keys")
-    left, prefix, chosen = k, F.lit(True), F.lit(False)
+    left, prefix, chosen, edge = k, F.lit(True), F.lit(False), -1
     for d in digits:
         if left <= 0:
             break
@@ -160,7 +160,9 @@ def top_k(weighed: DataFrame, k: int) -> DataFrame:
             break
         chosen = chosen | (prefix & (F.col(d) < edge))
         prefix = prefix & (F.col(d) == edge)
-    if left > 0:
+    else:
+        edge = None if left > 0 else edge  # rows equal in key and id go together
+    if k > 0 and edge is None:
         chosen = chosen | prefix
     return rows.withColumn("selected", chosen).drop(*digits)
 

@@ -63,7 +63,7 @@ class Probe:
         n = np.array([len(ws) for ws in self.words], np.int64)
         count = np.maximum(n - WINDOW, 0) + 1  # suffixes that still hold a window
         item = np.repeat(np.arange(len(n)), count)
-        start = np.arange(count.sum()) - np.repeat(np.concatenate([[0], count.cumsum()[:-1]]).astype(np.int64), count)
+        start = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
         need = np.minimum(n, WINDOW)[item] if len(n) else n
         self.at = np.stack([item, start, need], 1).astype(np.int64)
         flat = np.concatenate(ranks) if ranks else np.empty(0, np.uint64)
@@ -100,7 +100,7 @@ class Probe:
         a, b = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
         n = b - a
         which = np.repeat(np.arange(len(n)), n)
-        places = np.repeat(a - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
+        places = np.repeat(a - (n.cumsum() - n), n) + np.arange(n.sum())
         return which, at[order[places]]
 
 
