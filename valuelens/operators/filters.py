@@ -32,9 +32,9 @@ def global_filter(df: DataFrame, filters: Mapping[str, object] | None) -> DataFr
 
 
 def exclude_sources(df: DataFrame, excluded: Sequence[str] | None) -> DataFrame:
-    """S7 applied: drop rows of toggled-off sources."""
+    """S7 applied: drop rows of toggled-off sources; untagged rows stay."""
     if excluded and "_source" in df.columns:
-        df = df.where(~F.col("_source").isin(list(excluded)))
+        df = df.where(F.col("_source").isNull() | ~F.col("_source").isin(list(excluded)))
     return df
 
 
@@ -47,7 +47,7 @@ def source_split(df: DataFrame, train_source: str = "", eval_source: str = "") -
     if "_source" in df.columns and train_source:
         return df.where(F.col("_source") == train_source), (df.where(F.col("_source") == eval_source) if eval_source else None)
     if "_source" in df.columns and eval_source:
-        return df.where(F.col("_source") != eval_source), df.where(F.col("_source") == eval_source)
+        return df.where(~F.col("_source").eqNullSafe(eval_source)), df.where(F.col("_source") == eval_source)
     return df, None
 
 

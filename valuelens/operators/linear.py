@@ -1,8 +1,8 @@
 """Linear regression from distributed moments (M1, M5-M7 for linear models).
 
-One aggregate pass computes, per (group..., fold), the row count, the means
-and the population co-moments of (x_1..x_p, y) as plain sums of products of
-mean-shifted values (map-side partial aggregation; a hot group is combined
+One pass computes, per (group..., fold), the row count, the means and the
+population co-moments of (x_1..x_p, y) from packed cross products of
+mean-shifted values (``gram``: summed per task, so a hot group is combined
 across all tasks; no cancellation since the values are centred first).  Each group's k fold rows (bounded: k
 rows of O(p^2) numbers) go to one ``applyInPandas`` call that merges the
 folds with the parallel (Chan) formulas and solves the p x p normal
@@ -23,13 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuelens.operators.gram import gram
 from valuelens.session import broadcast_limit_rows, ship_package
 
 FULL = -1  # fold id of the fit on all folds
 
 
 def fold_column(keys: Sequence[str], k: int, seed: int = 42) -> Column:
-    """Deterministic fold id in [0, k) from integer key columns (no engine hash)."""
+    """Deterministic fold id in [0, k) from key columns of any type (no engine hash); NULL keys have a fold too."""
     from valuelens.operators.stats import deterministic_order
 
     return F.pmod(deterministic_order(keys, seed), F.lit(k))
@@ -37,45 +38,37 @@ def fold_column(keys: Sequence[str], k: int, seed: int = 42) -> Column:
 
 def moments(df: DataFrame, xcols: Sequence[str], y: str, group: Sequence[str] = (), fold: str | None = None,
             shift: Sequence[float] | None = None) -> DataFrame:
-    """Per (group, fold): _n, mean vector _m<i>, population co-moments _c<i>_<j> of (x..., y).
+    """Per (group, fold): _n, _mean (array) and _C (q x q population co-moments, row by row) of (x..., y).
 
-    One pass of plain ``sum`` aggregates (map-side partial aggregation, a few
-    bytes of state per entry) over values shifted by ``shift`` - by default the
-    column means from one cheap ``avg`` pass - so the products never suffer
+    One pass of packed cross products (``gram``) over values shifted by ``shift`` - by default
+    the column means from one cheap ``avg`` pass - so the products never suffer
     from cancellation: cov = S_ij/n - (S_i/n)(S_j/n) with S on shifted values.
     """
     v = list(xcols) + [y]
-    d = df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in v]) == 0) if v else df
+    d = df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in v], F.lit(0)) == 0)
     if shift is None:
         m = d.agg(*[F.avg(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(v)]).first()
         shift = [float(m[f"_s{i}"] or 0.0) for i in range(len(v))]
     sh = [F.col(c).cast("double") - F.lit(float(shift[i])) for i, c in enumerate(v)]
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(x).alias(f"_S{i}") for i, x in enumerate(sh)]
-    for i in range(len(v)):
-        for j in range(i, len(v)):
-            aggs.append(F.sum(sh[i] * sh[j]).alias(f"_S{i}_{j}"))
     keys = list(group) + ([fold] if fold else [])
-    raw = d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
-    n = F.col("_n").cast("double")
-    cols = [*keys, "_n"] + [(F.lit(float(shift[i])) + F.col(f"_S{i}") / n).alias(f"_m{i}") for i in range(len(v))]
-    for i in range(len(v)):
-        for j in range(i, len(v)):
-            cols.append((F.col(f"_S{i}_{j}") / n - (F.col(f"_S{i}") / n) * (F.col(f"_S{j}") / n)).alias(f"_c{i}_{j}"))
-    return raw.select(*cols)
+    raw = gram(d, sh, keys)
+    n, q = F.col("_n").cast("double"), len(v)
+    base = F.array(*[F.lit(float(s)) for s in shift])
+    mean = F.transform("_S", lambda s: s / n)
+    cov = F.transform("_P", lambda p, k: p / n - F.element_at("_S", F.floor(k / q).cast("int") + 1) / n * F.element_at("_S", (k % q).cast("int") + 1) / n)
+    return raw.select(*keys, "_n", F.zip_with(mean, base, lambda a, b: a + b).alias("_mean"), cov.alias("_C"))
 
 
 def _merge(rows: pd.DataFrame, q: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Chan merge of per-fold (n, mean, comoment) into one set."""
     n_tot, mean, C = 0.0, np.zeros(q), np.zeros((q, q))
-    for _, r in rows.iterrows():  # at most k rows
+    for r in rows.itertuples(index=False):  # at most k rows
+        r = dict(zip(rows.columns, r))
         n = float(r["_n"])
         if n <= 0:
             continue
-        m = np.array([r[f"_m{i}"] for i in range(q)], dtype=float)
-        Cj = np.zeros((q, q))
-        for i in range(q):
-            for j in range(i, q):
-                Cj[i, j] = Cj[j, i] = float(r[f"_c{i}_{j}"]) * n
+        m = np.array(r["_mean"], dtype=float)
+        Cj = np.array(r["_C"], dtype=float).reshape(q, q) * n
         if n_tot == 0:
             n_tot, mean, C = n, m, Cj
             continue

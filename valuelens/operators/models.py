@@ -263,7 +263,7 @@ def _two_metrics(p: DataFrame, target: str, subset) -> DataFrame:
     """R², MAE, MAPE over all rows and over a subset of them, in one aggregate."""
     y = F.col(target).cast("double")
     e = y - F.col("_pred")
-    ape = F.abs(e) / F.when(y == 0, F.lit(1.0)).otherwise(y) * 100
+    ape = F.abs(e / F.when(y == 0, F.lit(1.0)).otherwise(y)) * 100
     out = []
     for tag, cond in (("all", F.lit(True)), ("sub", subset)):
         yy, ee, aa = F.when(cond, y), F.when(cond, e), F.when(cond, ape)

@@ -4,56 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuelens.functions.exprs import rnd
+from valuelens.operators.gram import gram
 
 # Fixed values from the reference: correlation strength bands.
 STRENGTH_BANDS = [(0.9, "very strong"), (0.7, "strong"), (0.5, "moderate"), (0.3, "weak")]
 
 
-def _pair_corr(a: str, b: str) -> Column:
-    """Pairwise-complete Pearson r; NULL (not an ANSI error) for a constant column."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     """A1: long matrix (col1, col2, i, j, correlation) over all ordered pairs.
 
-    Pairwise-complete Pearson r from one pass of plain sums over values shifted
-    by the column means (a cheap ``avg`` pass first): per pair n, S_a, S_b,
-    S_aa, S_bb, S_ab over the rows where both are present.  Sums combine
-    map-side; the matrix is mirrored from the unordered pairs.  Values are
-    rounded, and NULL/NaN (constant columns) become 0 as in the reference.
+    Pairwise-complete Pearson r from one pass of packed cross products over
+    [present, value, value^2] of every column, values shifted by the column
+    means (a cheap ``avg`` pass first) and 0 where missing: the products of these
+    blocks hold n, S_a, S_b, S_aa, S_bb and S_ab of each pair over the rows where
+    both are present.  Values are rounded, and NULL/NaN (constant columns) become
+    0 as in the reference.
     """
     cols = list(columns)
+    p = len(cols)
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    sh = [F.col(c).cast("double") - F.lit(float(means[f"m{i}"] or 0.0)) for i, c in enumerate(cols)]
-    aggs, pairs = [], []
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
-            a, b = F.when(both, sh[i]), F.when(both, sh[j])
-            t = f"{i}_{j}"
-            aggs += [F.count(a).alias(f"n_{t}"), F.sum(a).alias(f"a_{t}"), F.sum(b).alias(f"b_{t}"),
-                     F.sum(a * a).alias(f"aa_{t}"), F.sum(b * b).alias(f"bb_{t}"), F.sum(a * b).alias(f"ab_{t}")]
-            pairs.append((i, j, t))
-    wide = df.agg(*aggs)
-    entries = []
-    for i, j, t in pairs:
-        n = F.col(f"n_{t}").cast("double")
-        ma, mb = F.col(f"a_{t}") / n, F.col(f"b_{t}") / n
-        cov = F.col(f"ab_{t}") / n - ma * mb
-        va, vb = F.col(f"aa_{t}") / n - ma * ma, F.col(f"bb_{t}") / n - mb * mb
-        r = F.try_divide(cov, F.sqrt(F.when(va > 0, va)) * F.sqrt(F.when(vb > 0, vb)))
-        v = F.coalesce(F.nanvl(rnd(r, digits), F.lit(None).cast("double")), F.lit(0.0))
-        entries.append(F.struct(F.lit(cols[i]).alias("col1"), F.lit(cols[j]).alias("col2"), F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("correlation")))
-        if i != j:
-            entries.append(F.struct(F.lit(cols[j]).alias("col1"), F.lit(cols[i]).alias("col2"), F.lit(j).alias("i"), F.lit(i).alias("j"), v.alias("correlation")))
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    sh = [F.coalesce(F.col(c).cast("double") - F.lit(float(means[f"m{i}"] or 0.0)), F.lit(0.0)) for i, c in enumerate(cols)]
+    here = [F.col(c).isNotNull().cast("double") for c in cols]
+    sums = gram(df, [*here, *sh, *[x * x for x in sh]])
+
+    def pairs(batches):
+        for b in batches:
+            for flat in b.column(0).to_pylist():
+                g = np.array(flat).reshape(3 * p, 3 * p)
+                n, s, ss, ab = g[:p, :p], g[p : 2 * p, :p], g[2 * p :, :p], g[p : 2 * p, p : 2 * p]
+                with np.errstate(all="ignore"):
+                    mean, var = s / n, ss / n - (s / n) ** 2
+                    r = (ab / n - mean * mean.T) / (np.sqrt(np.where(var > 0, var, np.nan)) * np.sqrt(np.where(var.T > 0, var.T, np.nan)))
+                i, j = np.divmod(np.arange(p * p), p)
+                # one value for both orders of a pair
+                v = np.where(i <= j, r.ravel(), r.T.ravel())
+                yield pa.record_batch([pa.array([cols[k] for k in i]), pa.array([cols[k] for k in j]), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+                                       pa.array(v)], names=["col1", "col2", "i", "j", "r"])
+
+    out = sums.select("_P").mapInArrow(pairs, "col1 string, col2 string, i int, j int, r double")
+    value = F.coalesce(F.nanvl(rnd(F.nanvl("r", F.lit(None).cast("double")), digits), F.lit(None).cast("double")), F.lit(0.0))
+    return out.select("col1", "col2", "i", "j", value.alias("correlation"))
 
 
 def strength(abs_r: Column) -> Column:
@@ -84,11 +80,18 @@ def correlation_focus(matrix: DataFrame, threshold: float, focus: str) -> DataFr
     return keep.join(F.broadcast(rel.withColumnRenamed("c", "col2")), "col2", "left_semi").select("col1", "col2", "correlation")
 
 
+def _key_number(key: str) -> Column:
+    """A key as a number: integers as they are, other values by 12 hex digits of their md5, NULL as 0."""
+    text = F.col(key).cast("string")
+    digest = F.conv(F.substring(F.md5(text), 1, 12), 16, 10)
+    return F.coalesce(text.try_cast("long"), digest.cast("long"), F.lit(0).cast("long"))
+
+
 def deterministic_order(keys: Sequence[str], seed: int = 42) -> Column:
-    """Reproducible pseudo-random order from integer keys (same arithmetic in SQL)."""
+    """Reproducible pseudo-random order from key columns of any type (same arithmetic in SQL); never NULL."""
     h = F.lit(seed).cast("long")
     for k in keys:
-        h = F.pmod(h * 1000003 + F.col(k).cast("long"), F.lit(2147483647))
+        h = F.pmod(h * 1000003 + F.pmod(_key_number(k), F.lit(2147483647)), F.lit(2147483647))
     return h
 
 
@@ -109,7 +112,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, group: Sequen
         F.sum(e * e).alias("_sse"),
         (F.var_pop(y) * F.count(F.lit(1))).alias("_sst"),  # numerically stable
         F.avg(F.abs(e)).alias("mae"),
-        (F.avg(F.abs(e) / F.when(y == 0, F.lit(1.0)).otherwise(y)) * 100).alias("mape"),
+        (F.avg(F.abs(e / F.when(y == 0, F.lit(1.0)).otherwise(y))) * 100).alias("mape"),
     ]
     g = d.groupBy(*group).agg(*aggs) if group else d.agg(*aggs)
     return g.select(*group, "n_rows", (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2"), "mae", "mape")

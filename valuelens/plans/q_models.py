@@ -46,7 +46,7 @@ _CV_SQL = (
     "m AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f JOIN d ON d.fold <> f.k GROUP BY k), "
     "p AS (SELECT y, a + b * x AS pred FROM d JOIN m ON d.fold = m.k) "
     f"SELECT count(*) AS n_rows, {sql_rnd('1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*))', 6)} AS r2, "
-    f"{sql_rnd('avg(abs(y - pred))', 4)} AS mae, {sql_rnd('avg(abs(y - pred) / CASE WHEN y = 0 THEN 1.0 ELSE y END) * 100', 4)} AS mape FROM p"
+    f"{sql_rnd('avg(abs(y - pred))', 4)} AS mae, {sql_rnd('avg(abs((y - pred) / CASE WHEN y = 0 THEN 1.0 ELSE y END)) * 100', 4)} AS mape FROM p"
 )
 
 

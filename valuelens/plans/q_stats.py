@@ -159,7 +159,7 @@ def _brand_median_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH lp AS (SELECT l_extendedprice AS y, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey), "
     "m AS (SELECT p_brand, median(y) AS pred FROM lp GROUP BY p_brand), d AS (SELECT y, pred FROM lp JOIN m USING (p_brand)) "
     f"SELECT count(*) AS n_rows, {sql_rnd('1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*))', 6)} AS r2, "
-    f"{sql_rnd('avg(abs(y - pred))', 4)} AS mae, {sql_rnd('avg(abs(y - pred) / CASE WHEN y = 0 THEN 1.0 ELSE y END) * 100', 4)} AS mape FROM d"))
+    f"{sql_rnd('avg(abs(y - pred))', 4)} AS mae, {sql_rnd('avg(abs((y - pred) / CASE WHEN y = 0 THEN 1.0 ELSE y END)) * 100', 4)} AS mape FROM d"))
 def q_regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 with the brand median as the prediction."""
     m = ST.regression_metrics(_brand_median_pred(spark, sf_dir), "l_extendedprice", "pred")

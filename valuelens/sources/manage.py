@@ -70,8 +70,8 @@ def toggle(excluded: Sequence[str], source: str) -> list[str]:
 
 
 def remove_source(df: DataFrame, source: str) -> DataFrame:
-    """Drop a source's rows (partition pruning when stored partitioned by _source)."""
-    return df.where(F.col("_source") != source)
+    """Drop a source's rows; untagged rows stay."""
+    return df.where(~F.col("_source").eqNullSafe(source))
 
 
 def set_weight(df: DataFrame, source: str, weight: float) -> DataFrame:
