@@ -151,3 +151,86 @@ def test_privacy_fixture(spark):
     assert [r.email for r in out] == [None, "HIDDEN", ""]
     assert [r.photo_count for r in out] == [3.0, 5.0, 7.0]  # numbers pass through
     assert mask(df, False).collect() == df.collect()
+
+
+# ------------------------------------------------------------------ round 2
+def test_mape_of_negative_actuals(spark):
+    from valuelens.operators.stats import regression_metrics
+
+    df = spark.createDataFrame([(-100.0, -50.0), (100.0, 50.0)], "y double, p double")
+    assert regression_metrics(df, "y", "p").first()["mape"] == 50.0
+
+
+def test_untagged_rows_stay(spark):
+    from valuelens.operators import filters as FL
+    from valuelens.sources import manage as MG
+
+    df = spark.createDataFrame([("A", 1), ("N", 2), (None, 3)], "_source string, v int")
+    for kept in (MG.remove_source(df, "N"), FL.exclude_sources(df, ["N"]), FL.source_split(df, "", "N")[0]):
+        assert sorted(r.v for r in kept.collect()) == [1, 3]
+
+
+def test_keys_of_any_type_have_a_fold(spark):
+    from valuelens.operators.linear import fold_column
+
+    df = spark.createDataFrame([("R2912345",), (None,), ("7",), ("x",)], "k string")
+    folds = [r.f for r in df.select(fold_column(["k"], 5).alias("f")).collect()]
+    assert all(f is not None and 0 <= f < 5 for f in folds)
+
+
+def test_comps_without_city_keep_one(spark):
+    from valuelens.operators.similar import comps
+
+    q = spark.createDataFrame([("q", "D1", None, "s0", 100.0, "House", 500.0)],
+                              "query_id string, district string, city string, street string, floor_area_sqft double, property_type string, actual_price double")
+    c = spark.createDataFrame([(1, "D1", "C", "s1", 100.0, "House", 510.0), (2, "D2", "C", "s2", 100.0, "House", 505.0)],
+                              "k int, district string, city string, street string, floor_area_sqft double, property_type string, sold_price double")
+    got = comps(q, c, "sold_price", ["k"]).collect()
+    assert [(r.k, r.level) for r in got] == [(1, 1)]
+
+
+def test_moments_match_numpy_with_many_columns(spark):
+    import numpy as np
+
+    from valuelens.operators.linear import moments
+
+    x = np.random.default_rng(0).normal(5, 2, (200, 60))
+    df = spark.createDataFrame([(int(i % 3), *map(float, r)) for i, r in enumerate(x)], ["g"] + [f"c{i}" for i in range(60)])
+    for r in moments(df, [f"c{i}" for i in range(59)], "c59", ["g"]).collect():
+        own = x[np.arange(200) % 3 == r["g"]]
+        assert r["_n"] == len(own)
+        assert np.allclose(r["_mean"], own.mean(0)) and np.allclose(np.array(r["_C"]).reshape(60, 60), np.cov(own.T, bias=True))
+
+
+def test_bad_byte_late_in_a_file(spark, tmp_path):
+    from valuelens.sources.csv import read_csv
+
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"a,b\n" + b"1,x\n" * 12_000 + b"2,caf\xe9\n" + b"3,y\n" * 3_000)
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    df, enc = read_csv(spark, str(path))
+    assert enc != "utf-8" and df.where("a = '2'").first()["b"][:3] == "caf" and "�" not in df.where("a = '2'").first()["b"]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+
+
+def test_many_candidates(spark):
+    from itertools import combinations
+
+    from valuelens.operators.search import feature_subsets
+
+    names = [f"f{i}" for i in range(60)]
+    got = feature_subsets(spark, names, min_features=1, max_features=2).orderBy("subset_idx").collect()
+    assert [tuple(r.features) for r in got] == [c for n in (1, 2) for c in combinations(names, n)]
+    assert feature_subsets(spark, names, min_features=3, max_features=3).count() == 34_220
+
+
+def test_cache_key_knows_parameters_and_data(spark):
+    from pyspark.sql import functions as F
+
+    from valuelens.sources import cache as CA
+
+    def key(**kw):
+        return spark.range(1).select(CA.cache_key(F.lit(5), ["a"], F.array(F.lit("a")), "rf", True, True, **kw).alias("k")).first().k
+
+    assert len({key(), key(extra=(10,)), key(extra=(200,))}) == 3
+    assert CA.fingerprint(spark.createDataFrame([(1,), (2,)], "a int")) != CA.fingerprint(spark.createDataFrame([(1,), (3,)], "a int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "valuelens") -> SparkSession:
@@ -31,7 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a private temp folder is set.
+    Only on a local master without such a setting a private temp folder is set; on a
+    cluster that would be another folder on every machine, so it is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     local = tempfile.mkdtemp(prefix="valuelens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -62,6 +65,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/valuelens-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh shared table and read back, so that it is computed once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

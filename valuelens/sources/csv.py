@@ -1,8 +1,8 @@
 """CSV sources and sinks.
 
 Delimiter sniffing reads only the first line of the file through Spark
-(``limit(1)``); the encoding fallback probes a bounded sample of decoded
-values for U+FFFD (Spark replaces undecodable bytes instead of failing).
+(``limit(1)``); the encoding fallback looks for U+FFFD in all decoded values
+(Spark replaces undecodable bytes instead of failing).
 Everything is read as strings; typing is C1's data-driven decision.
 """
 
@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import IllegalArgumentException, SparkRuntimeException, UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valuelens.session import cut
+
 # Fixed values from the reference: encoding fallback chains.
 PRIMARY_ENCODINGS = ("utf-8", "utf-8-sig", "cp1251", "latin-1")
 EXTRA_ENCODINGS = ("utf-8", "latin-1")
 _JAVA_CHARSET = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "windows-1251", "latin-1": "ISO-8859-1"}
 DELIMITERS = (",", ";", "\t", "|")
-PROBE_ROWS = 10_000
 
 
 def sniff_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] = DELIMITERS) -> str:
@@ -36,33 +38,45 @@ def _read(spark: SparkSession, path: str, sep: str, charset: str) -> DataFrame:
 
 
 def _has_replacement(df: DataFrame) -> bool:
-    cols = df.columns
-    if not cols:
+    """Whether any value of the whole file, or a column name, holds U+FFFD."""
+    if any("�" in c for c in df.columns):
+        return True
+    if not df.columns:
         return False
-    probe = df.limit(PROBE_ROWS).select(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in cols]).alias("_r"))
-    return probe.where(F.col("_r").contains("�")).limit(1).count() > 0
+    hit = F.lit(False)
+    for c in df.columns:
+        hit = hit | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
+    return bool(df.agg(F.max(hit)).first()[0])
 
 
 def read_csv(spark: SparkSession, path: str, *, sep: str | None = None, encodings: Sequence[str] = PRIMARY_ENCODINGS) -> tuple[DataFrame, str]:
     """S1+S2: read a CSV with sniffed delimiter and the first encoding that decodes cleanly.
 
     Returns (all-string DataFrame, encoding used).  windows-1251 needs Spark's
-    legacy charset switch, which is enabled only for that attempt.
+    legacy charset switch: it is on only while that attempt is read into a shared
+    table, and has its old value afterwards.
     """
     sep = sep or sniff_delimiter(spark, path)
     last = None
     for enc in encodings:
         charset = _JAVA_CHARSET.get(enc, enc)
         legacy = charset not in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16")
-        if legacy:
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
         try:
+            if legacy:
+                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
             df = _read(spark, path, sep, charset)
+            df = cut(df, "csv") if legacy else df
             last = (df, enc)
             if not _has_replacement(df):
                 return df, enc
-        except Exception:  # noqa: BLE001 - an unusable charset moves on to the next one
-            continue
+        except (IllegalArgumentException, UnsupportedOperationException, SparkRuntimeException):
+            continue  # this charset cannot be used
+        finally:
+            if legacy and before is None:
+                spark.conf.unset("spark.sql.legacy.javaCharsets")
+            elif legacy:
+                spark.conf.set("spark.sql.legacy.javaCharsets", before)
     if last is None:
         raise ValueError(f"could not parse {path}")
     return last

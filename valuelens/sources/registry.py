@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,9 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
     """Registry rows, newest id first."""
     try:
         d = spark.read.json(f"{root.rstrip('/')}/*/meta")
-    except Exception:  # noqa: BLE001 - empty registry
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], "id string, name string")
     return d.drop("specs").orderBy(F.desc("id"))
 
