@@ -234,3 +234,17 @@ def test_cache_key_knows_parameters_and_data(spark):
 
     assert len({key(), key(extra=(10,)), key(extra=(200,))}) == 3
     assert CA.fingerprint(spark.createDataFrame([(1,), (2,)], "a int")) != CA.fingerprint(spark.createDataFrame([(1,), (3,)], "a int"))
+
+
+@pytest.mark.parametrize("model_type", ["linear", "rf_fast", "gradient_boosting", "stacking"])
+def test_every_model_kind_reloads(spark, model_type):
+    from valuelens.operators import models as MD
+    from valuelens.session import scratch_dir
+    from valuelens.sources import registry as RG
+
+    df = spark.createDataFrame([(i, float(i % 17), ["a", "b", "c"][i % 3], float(3 * (i % 17) + i % 3 + 10)) for i in range(120)], "k int, x double, c string, y double")
+    m = MD.train_model(df, "y", ["x", "c"], ["k"], model_type=model_type, trees=3, max_depth=3)
+    root = scratch_dir(spark, "registry-test")
+    again = RG.load_model(spark, root, RG.save_model(spark, root, m))
+    first, second = (sorted((r.k, round(r.prediction, 6)) for r in x.predict(df).select("k", "prediction").collect()) for x in (m, again))
+    assert first == second

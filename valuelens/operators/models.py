@@ -66,7 +66,7 @@ class TrainedModel:
 
 
 def _cap_depth(depth: int | None) -> int:
-    return min(depth or 12, 30)
+    return min(depth or 30, 30)  # the engine's limit; the reference has none
 
 
 def _forest(trees: int, min_leaf: int, seed: int = 42, max_depth: int | None = None, label: str = "_yfit") -> RandomForestRegressor:
@@ -92,7 +92,8 @@ def _fit_kind(kind: str, preset: dict, train: DataFrame, xcols: list[str], max_d
     # stacking: forest + gbt base models, out-of-fold base predictions -> linear meta model (M4)
     k = preset.get("cv", 5)
     base = {"rf": _forest(n_trees, 2, max_depth=max_depth), "gb": _gbt({**PRESETS["gradient_boosting"], "trees": n_trees})}
-    t = train.withColumn("_sfold", F.pmod(F.col("_fold") + 1, F.lit(k)))
+    # inner folds from the rows' own values: independent of the outer folds, equal rows together
+    t = train.withColumn("_sfold", F.pmod(F.xxhash64(F.lit("inner"), *xcols, "_yfit"), F.lit(k)))
     oof = None
     for i in range(k):
         tr, te = t.where(F.col("_sfold") != i), t.where(F.col("_sfold") == i)

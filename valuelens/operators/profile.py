@@ -137,25 +137,28 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """C11: one row per column: position, kind, null rate, distinct count, row count.
+    """C11: one row per column: position, kind, null rate, distinct count (categorical columns), row count.
 
-    One scan: every column is unpivoted to (column, typed value) and counted per
-    value (map-side combine, so frequent values collapse early); null rate,
-    distinct count and row count per column come from those counts.
+    Null counts are one map-side aggregate.  Only categorical columns are unpivoted to
+    (column, value) and counted per value, as the reference asks for no other distinct
+    count; for numeric columns it is NULL.
     """
     cols = df.columns
+    text = [c for c in cols if not is_numeric(df, c)]
     kinds = df.sparkSession.createDataFrame(
-        [(c, i, "numeric" if is_numeric(df, c) else "categorical") for i, c in enumerate(cols)],
+        [(c, i, "numeric" if c not in text else "categorical") for i, c in enumerate(cols)],
         "column_name string, position int, kind string",
     )
-    vc = _long_typed(df, cols).groupBy("column_name", "value", "_isnull").agg(F.count(F.lit(1)).alias("_c"))
-    per = vc.groupBy("column_name").agg(
-        F.sum("_c").alias("n_rows"),
-        F.sum(F.when(F.col("_isnull"), F.col("_c")).otherwise(0)).alias("_nulls"),
-        F.count(F.when(~F.col("_isnull"), 1)).alias("n_distinct"),
-    )
-    per = per.select("column_name", rnd(F.col("_nulls") / F.col("n_rows"), 3).alias("null_rate"), "n_distinct", "n_rows")
-    return kinds.join(F.broadcast(per), "column_name")  # one row per column
+    n = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+    filled = n.select("n_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(cols)])).alias("x"))
+    rate = filled.select("x.column_name", "n_rows", rnd((F.col("n_rows") - F.col("x.filled")) / F.col("n_rows"), 3).alias("null_rate"))
+    out = kinds.join(F.broadcast(rate), "column_name")  # one row per column
+    if not text:
+        return out.withColumn("n_distinct", F.lit(None).cast("long"))
+    values = _long_typed(df, text).where(~F.col("_isnull")).groupBy("column_name", "value").count()
+    distinct = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
+    out = out.join(F.broadcast(distinct), "column_name", "left")  # one row per column
+    return out.withColumn("n_distinct", F.when(F.col("kind") == "categorical", F.coalesce("_d", F.lit(0)))).drop("_d")
 
 
 def typical_numeric(df: DataFrame, columns: Sequence[str], max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:

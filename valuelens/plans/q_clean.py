@@ -192,7 +192,7 @@ def _profile_sql(cols: list[str], numeric: set[str]) -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {i}::INTEGER AS position, '{'numeric' if c in numeric else 'categorical'}' AS kind, "
         f"{sql_rnd(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)', 3)}::DOUBLE AS null_rate, "
-        f"count(DISTINCT CAST({c} AS VARCHAR)) AS n_distinct FROM listing"
+        f"{'NULL::BIGINT' if c in numeric else f'count(DISTINCT CAST({c} AS VARCHAR))'} AS n_distinct FROM listing"
         for i, c in enumerate(cols)
     )
     return with_listing(f"SELECT p.*, (SELECT count(*) FROM listing) AS n_rows FROM ({parts}) p")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuelens.operators import encode as E
-from valuelens.operators.models import TrainedModel
+from valuelens.operators.models import PRESETS, TrainedModel
 
 
 def _fs(spark: SparkSession, path: str):
@@ -29,7 +29,7 @@ def save_model(spark: SparkSession, root: str, m: TrainedModel, name: str = "",
     base = f"{root.rstrip('/')}/{mid}"
     specs = []
     for i, s in enumerate(m.encoders.specs):
-        d = {k: getattr(s, k) for k in ("name", "kind", "out", "classes", "vocab", "fill_fit", "fill_score", "vmin", "vmax", "global_median", "has_ppsf")}
+        d = {k: getattr(s, k) for k in ("name", "kind", "out", "classes", "vocab", "fill_fit", "fill_score", "vmin", "vmax", "global_median", "has_ppsf", "area_col")}
         if s.stats is not None:
             s.stats.write.mode("overwrite").parquet(f"{base}/stats_{i}")
         specs.append(d)
@@ -37,6 +37,8 @@ def save_model(spark: SparkSession, root: str, m: TrainedModel, name: str = "",
         m.coefs.write.mode("overwrite").parquet(f"{base}/coefs")
     if m.ml_model is not None:
         m.ml_model.write().overwrite().save(f"{base}/ml")
+    for part, fitted in [*m.stack.get("base", {}).items(), *([("meta", m.stack["meta"])] if m.stack else [])]:
+        fitted.write().overwrite().save(f"{base}/stack_{part}")
     meta = {"id": mid, "name": name or f"Model {mid}", "model_type": m.model_type, "target_col": m.target, "feature_cols": m.features,
             "use_log": m.use_log, "r2_cv": m.metrics.get("r2_cv"), "mae_cv": m.metrics.get("mae_cv"), "r2_score": m.metrics.get("r2"),
             "train_source": m.train_source, "created": _dt.datetime.now().strftime("%Y-%m-%d %H:%M"), "specs": json.dumps(specs)}
@@ -74,8 +76,13 @@ def load_model(spark: SparkSession, root: str, mid: str) -> TrainedModel:
     if fs.exists(p):
         from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 
-        cls = RandomForestRegressionModel if "forest" in m.model_type or m.model_type.startswith("rf") else GBTRegressionModel
+        cls = RandomForestRegressionModel if PRESETS[m.model_type]["kind"] == "forest" else GBTRegressionModel
         m.ml_model = cls.load(f"{base}/ml")
+    if PRESETS[m.model_type]["kind"] == "stacking":
+        from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
+
+        m.stack = {"base": {"rf": RandomForestRegressionModel.load(f"{base}/stack_rf"), "gb": GBTRegressionModel.load(f"{base}/stack_gb")},
+                   "meta": LinearRegressionModel.load(f"{base}/stack_meta")}
     m.metrics = {"r2_cv": meta.get("r2_cv"), "mae_cv": meta.get("mae_cv"), "r2": meta.get("r2_score")}
     return m
 
