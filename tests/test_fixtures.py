@@ -248,3 +248,13 @@ def test_every_model_kind_reloads(spark, model_type):
     again = RG.load_model(spark, root, RG.save_model(spark, root, m))
     first, second = (sorted((r.k, round(r.prediction, 6)) for r in x.predict(df).select("k", "prediction").collect()) for x in (m, again))
     assert first == second
+
+
+def test_weighted_fit_is_repetition(spark):
+    from valuelens.operators.linear import fit_linear
+
+    rows = [(1.0, 2.0, 1.0), (2.0, 3.0, 2.0), (3.0, 7.0, 1.0), (9.0, 9.0, 0.0), (9.0, 9.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, w double")
+    many = spark.createDataFrame([rows[0], rows[1], rows[1], rows[2]], "x double, y double, w double")
+    a, b = fit_linear(df, ["x"], "y", weight="w").first(), fit_linear(many, ["x"], "y").first()
+    assert abs(a["_intercept"] - b["_intercept"]) < 1e-9 and abs(a["_coef"][0] - b["_coef"][0]) < 1e-9 and a["_n_train"] == b["_n_train"]

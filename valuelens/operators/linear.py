@@ -37,9 +37,12 @@ def fold_column(keys: Sequence[str], k: int, seed: int = 42) -> Column:
 
 
 def moments(df: DataFrame, xcols: Sequence[str], y: str, group: Sequence[str] = (), fold: str | None = None,
-            shift: Sequence[float] | None = None) -> DataFrame:
+            shift: Sequence[float] | None = None, weight: str | None = None) -> DataFrame:
     """Per (group, fold): _n, _mean (array) and _C (q x q population co-moments, row by row) of (x..., y).
 
+    With ``weight`` (S9) all three are weighted: _n is the sum of the weights, and rows
+    without a positive weight do not count.
+
     One pass of packed cross products (``gram``) over values shifted by ``shift`` - by default
     the column means from one cheap ``avg`` pass - so the products never suffer
     from cancellation: cov = S_ij/n - (S_i/n)(S_j/n) with S on shifted values.
@@ -51,8 +54,16 @@ def moments(df: DataFrame, xcols: Sequence[str], y: str, group: Sequence[str] =
         shift = [float(m[f"_s{i}"] or 0.0) for i in range(len(v))]
     sh = [F.col(c).cast("double") - F.lit(float(shift[i])) for i, c in enumerate(v)]
     keys = list(group) + ([fold] if fold else [])
-    raw = gram(d, sh, keys)
     n, q = F.col("_n").cast("double"), len(v)
+    if weight is None:
+        raw = gram(d, sh, keys)
+    else:
+        # products with sqrt(w) in front: w, w * x_i and w * x_i * x_j
+        root = F.sqrt(F.col(weight).cast("double"))
+        both = gram(d.where(F.col(weight) > 0), [root, *[root * s for s in sh]], keys)
+        size = q + 1
+        cross = F.transform(F.sequence(F.lit(0), F.lit(q * q - 1)), lambda k: F.element_at("_P", (F.floor(k / q).cast("int") + 1) * size + (k % q).cast("int") + 2))
+        raw = both.select(*keys, F.element_at("_P", 1).alias("_n"), F.slice("_P", 2, q).alias("_S"), cross.alias("_P"))
     base = F.array(*[F.lit(float(s)) for s in shift])
     mean = F.transform("_S", lambda s: s / n)
     cov = F.transform("_P", lambda p, k: p / n - F.element_at("_S", F.floor(k / q).cast("int") + 1) / n * F.element_at("_S", (k % q).cast("int") + 1) / n)
@@ -147,9 +158,9 @@ def predict(df: DataFrame, coefs: DataFrame, xcols: Sequence[str], group: Sequen
     return j.withColumn(out, F.col("_intercept") + dot).drop("_fold_j", "_intercept", "_coef", "_n_train")
 
 
-def fit_linear(df: DataFrame, xcols: Sequence[str], y: str, group: Sequence[str] = (), fold: str | None = None) -> DataFrame:
-    """Coefficient table for OLS with intercept (per group; per held-out fold)."""
-    return solve_folds(moments(df, xcols, y, group, fold), len(xcols), group, fold)
+def fit_linear(df: DataFrame, xcols: Sequence[str], y: str, group: Sequence[str] = (), fold: str | None = None, weight: str | None = None) -> DataFrame:
+    """Coefficient table for (weighted) least squares with intercept (per group; per held-out fold)."""
+    return solve_folds(moments(df, xcols, y, group, fold, weight=weight), len(xcols), group, fold)
 
 
 def importances(coef: Sequence[float], names: Sequence[str]) -> list[tuple[str, float]]:

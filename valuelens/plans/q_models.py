@@ -80,6 +80,22 @@ def q_linear_log_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("n_test", "use_log", rnd("r2", 6).alias("r2"), rnd("mae", 4).alias("mae"))
 
 
+_WEIGHTED_SQL = (
+    "WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, CASE WHEN l_returnflag = 'R' THEN 3.0 ELSE 1.0 END AS w FROM lineitem), "
+    "m AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM d), "
+    "b AS (SELECT sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope FROM d, m) "
+    f"SELECT {sql_rnd('my - slope * mx', 4)} AS intercept, {sql_rnd('slope', 6)} AS slope, (SELECT sum(w) FROM d)::BIGINT AS weight FROM b, m"
+)
+
+
+@query("linear_fit_weighted", "M1 S9", _WEIGHTED_SQL)
+def q_linear_fit_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 with sample weights (S9): sold rows count three times."""
+    d = _li(spark, sf_dir).withColumn("_sample_weight", F.when(F.col("l_returnflag") == "R", 3.0).otherwise(1.0))
+    c = L.fit_linear(d, ["l_quantity"], "l_extendedprice", weight="_sample_weight")
+    return c.select(rnd("_intercept", 4).alias("intercept"), rnd(F.element_at("_coef", 1), 6).alias("slope"), F.col("_n_train").alias("weight"))
+
+
 # ------------------------------------------------------------------ E1-E9
 _ENC_FEATURES = ["p_type", "p_brand", "p_name_multi", "p_size", "p_container_null"]
 
