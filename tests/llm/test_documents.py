@@ -129,6 +129,15 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=repr) == sorted(components_brute(rows), key=repr)
 
 
+def test_one_document_of_each_group(spark):
+    rows = corpus(8, 28)
+    got = [(r["doc_id"], r["text"]) for r in partenum.keep_first(frame(spark, rows)).collect()]
+    want = {c for i, _, c in components_brute(rows) if i is not None and c is not None}
+    assert sorted(i for i, _ in got if i is not None) == sorted(want)
+    assert sum(i is None for i, _ in got) == sum(i is None for i, _ in rows)
+    assert all((i, t) in rows for i, t in got)
+
+
 def test_signatures_lose_no_link():
     r = np.random.default_rng(2)
     tried = 0

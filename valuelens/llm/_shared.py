@@ -1,31 +1,19 @@
-"""Session helpers of the operators: cuts in the lineage, checked broadcasts, the read of a table."""
+"""Helpers of the operators: checked broadcasts, the read of a table, and the session's cut in the lineage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuelens.session import scratch_dir, ship_package
+from valuelens.session import cut, ship_package
 
-__all__ = ["cut", "ship_package", "sized_broadcast", "table", "total_cores"]
+__all__ = ["cut", "ship_package", "sized_broadcast", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table in the shared folder and read it back: later jobs start there."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def total_cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
 def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if a count (capped just over the bound) proves it small, else unmarked."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -303,9 +303,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) with one document of each component: the one that gives it its name.
 
-    Rows with a null id stay.  Of rows with equal ids and texts one stays.
+    Rows with a null id stay.  Of rows that share an id the one with the least text hash stays.
     """
     named = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = cut(named, "kept")
     few = named.count() <= MAX_BROADCAST_IDS
     kept = docs.join(F.broadcast(named) if few else named, docs["doc_id"] == named["kept_id"], "left_semi")
+    shared = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared_id"))
+    shared = cut(shared, "shared")
+    n = shared.count()
+    if n:
+        side = F.broadcast(shared) if n <= MAX_BROADCAST_IDS else shared
+        alone = kept.join(side, kept["doc_id"] == side["shared_id"], "left_anti")
+        several = kept.join(side, kept["doc_id"] == side["shared_id"], "left_semi")
+        least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+        kept = alone.union(several.groupBy(F.col("doc_id").alias("own_id")).agg(least.alias("row")).select("row.*"))
     return kept.union(docs.where("doc_id is null"))
