@@ -8,12 +8,14 @@ long document in pieces, so memory follows the longest single document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: bytes of words `[^\x20\x09-\x0D]+`
@@ -108,8 +110,20 @@ def spans(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(e) + 1, np.searchsorted(starts, bounds)
 
 
+def release() -> None:
+    """Hand freed memory back to the machine: a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, text bytes, document bounds) for runs of rows with about ``limit`` bytes; null text is empty."""
+    yield from _slices(batches, column, limit)
+    release()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         if col.null_count:

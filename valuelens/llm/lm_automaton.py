@@ -36,11 +36,10 @@ from pyspark.sql import functions as F
 
 from valuelens.llm import _words as W
 from valuelens.llm._shared import cut, ship_package
-from valuelens.session import scratch_dir
 
 ORDER, BLOCK_ARCS = 6, 4_000_000
 BATCH_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
-FLUSH_GRAMS = 1_500_000
+FLUSH_GRAMS, OUT_ROWS = 1_000_000, 20_000
 SPACE, BEGIN, END, SYMBOLS = 32, 256, 257, 258
 ROWS = "kind int, batch long, number int, word binary, n long, doc_id long, held_out boolean, score double, tokens binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -224,7 +223,9 @@ def _numbered(automaton: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterat
             left = pa.nulls(m, kind) if w is None else pa.array(w, kind)
             right = pa.nulls(n_docs, kind) if d is None else d.cast(kind) if isinstance(d, pa.Array) else pa.array(d, kind)
             columns.append(pa.concat_arrays([left, right]))
-        yield pa.record_batch(columns, names=[x.split()[0] for x in ROWS.split(", ")])
+        out = pa.record_batch(columns, names=[x.split()[0] for x in ROWS.split(", ")])
+        for at in range(0, out.num_rows, OUT_ROWS):
+            yield out.slice(at, OUT_ROWS)
 
 
 def _score(n: int, v: int):
@@ -270,9 +271,7 @@ def score(docs: DataFrame) -> DataFrame:
         automaton = Automaton(*_arrays(own), low, k, blocks)
         scored = scored.mapInArrow(_traverse(automaton), given.schema) if k < blocks - 1 else scored.mapInArrow(_number(automaton), ROWS)
 
-    path = scratch_dir(spark, "tokens")
-    scored.write.partitionBy("kind").parquet(path)
-    numbered = spark.read.schema(ROWS).parquet(path)
+    numbered = cut(scored, "tokens")  # each kind leaves the other's columns null, which take no space
     asked = numbered.where("kind = 0").select("batch", "number", "word", "n")
     by_word = Window.partitionBy("word")
     counted = cut(

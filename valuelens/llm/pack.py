@@ -115,6 +115,7 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer(path)[1][:] = [{}, {}]  # nothing is kept from task to task
         end = np.array([END_ID], "<u4").tobytes()
         for rows, data, bounds in W.slices(batches):
             data, bounds = _part(data, bounds)
@@ -133,6 +134,8 @@ def _pieces(path: str, capacity: int):
                 [rows.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=[x.split()[0] for x in PIECES.split(", ")],
             )
+        tokenizer(path)[1][:] = [{}, {}]
+        W.release()
 
     return run
 
