@@ -1,12 +1,15 @@
 """N-gram Jaccard join with PartEnum signatures, and its connected components.
 
-A document's set holds the hashes of its distinct 3-word shingles.  Sets are put in bands
-of sizes within the similarity of each other; linked sets lie in one band or two
+A document's set holds the hashes of its distinct shingles; their length and the least
+similarity of linked sets are a ``Rule``, from which bands, differences and signatures
+follow.  Sets are put in bands of sizes within the similarity of each other; linked sets lie in one band or two
 neighbouring ones and differ in at most k elements, k given by the band.  The feature
 domain is cut by hash into first-level parts, each into second-level parts; with k
 differences some first-level part holds at most ``K2`` of them, so among the subsets of
 its ``N2`` second-level parts that leave out ``K2`` one is untouched: each such subset is a
-signature, and linked sets share one.  No link is lost.
+signature, and linked sets share one.  No link is lost.  A signature of no element at all
+would tie every set that has it: it is split by the elements of the set's prefix, the least
+ones by hash, of which linked sets share one too.
 
 Work per signature is kept linear: a signature's members are tied to one centre (first to
 one of their own batch, the centres then to one of all batches), not to each other, and
@@ -16,12 +19,12 @@ skips what is already connected; only links that connect come out, at most one p
 Groups of more than ``BLOCK`` elements are cut into blocks that meet two by two, as far as
 their bands are equal or neighbours.  Equal sets are one node from the start.
 
-Scale: signatures are one shuffle of about a quarter as many rows as shingles, combined
-per batch before it, so a signature that a third of all documents share reaches the
+Scale: signatures are one shuffle of about a quarter as many rows as shingles at 9/10 and
+more at 4/5, combined per batch before it, so a signature that a third of all documents share reaches the
 shuffle once per batch.  Sets travel once, and only those that share a signature.
 
 Cases: null text and texts without words have the empty set, linked with nothing; texts of
-one or two words have one shingle, the whole sequence; rows that share a doc_id are one
+fewer words than a shingle have one shingle, the whole sequence; rows that share a doc_id are one
 node; a null doc_id is never a component's name: its row gets the component of its set, or
 null; an empty table gives none; other columns are ignored.
 """
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,17 @@ from valuelens.llm import _words as W
 from valuelens.llm._shared import cut, ship_package
 from valuelens.llm.components import components
 
-SHINGLE = 3
-NUM, DEN = 9, 10  # linked from 9/10
+
+class Rule(NamedTuple):
+    """Words of a shingle and the similarity ``num / den`` from which sets are linked."""
+
+    shingle: int = 3
+    num: int = 9
+    den: int = 10
+
+
+#: the contract of query op5
+OP5 = Rule()
 N2, K2 = 2, 1
 BLOCK = 1_000_000
 MAX_BROADCAST_IDS = 2_000_000
@@ -50,12 +63,12 @@ _SEEDS = tuple(W.mix(np.arange(11, 16, dtype=np.uint64)))
 _ORDERS = W.mix(np.arange(101, 105, dtype=np.uint64))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, rule: Rule = OP5) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * common >= NUM * (len(a) + len(b) - common)
+    return rule.den * common >= rule.num * (len(a) + len(b) - common)
 
 
-def document_sets(data: np.ndarray, bounds: np.ndarray, hasher: W.Hasher) -> list[np.ndarray]:
+def document_sets(data: np.ndarray, bounds: np.ndarray, hasher: W.Hasher, rule: Rule = OP5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document."""
     data = W.LOWER[data]
     starts, ends, first = W.spans(data, bounds, W.PLAIN)
@@ -63,46 +76,49 @@ def document_sets(data: np.ndarray, bounds: np.ndarray, hasher: W.Hasher) -> lis
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         own = h[a:b]
-        out.append(np.unique(W.windows(own, SHINGLE)) if b - a >= SHINGLE else W.windows(own, b - a) if b > a else own)
+        out.append(np.unique(W.windows(own, rule.shingle)) if b - a >= rule.shingle else W.windows(own, b - a) if b > a else own)
     return out
 
 
-def bands(most: int) -> np.ndarray:
+def bands(most: int, rule: Rule = OP5) -> np.ndarray:
     """Upper sizes of the bands that reach ``most``: band i holds sizes above u[i-1] up to u[i]."""
     u = [0]
     while u[-1] < most:
-        u.append((u[-1] + 1) * DEN // NUM)
+        u.append((u[-1] + 1) * rule.den // rule.num)
     return np.array(u, np.int64)
 
 
-def differences(upper: np.ndarray) -> np.ndarray:
+def differences(upper: np.ndarray, rule: Rule = OP5) -> np.ndarray:
     """Most elements in which a set of at most ``upper`` and a linked one can differ."""
-    both = upper + upper * DEN // NUM
-    return both * (DEN - NUM) // (DEN + NUM)
+    both = upper + upper * rule.den // rule.num
+    return both * (rule.den - rule.num) // (rule.den + rule.num)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], rule: Rule = OP5) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set index) of all sets; equal sets need none and sizes with k = 0 have none."""
     size = np.array([len(s) for s in sets], np.int64)
     if not size.sum():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    u = bands(int(size.max()))
+    u = bands(int(size.max()), rule)
     band = np.searchsorted(u, size)  # band 0: empty
     values = np.concatenate(sets)
+    begin = np.cumsum(size) - size
+    prefix = size + (-rule.num * size) // rule.den + 1  # linked sets share one of their so many least elements
     owner = np.repeat(np.arange(len(sets)), size)
     place, weight = W.mix(values ^ _SEEDS[2]), W.mix(values ^ _SEEDS[3])
     low, high = (weight & np.uint64(0xFFFFFFFF)).astype(np.float64), (weight >> np.uint64(32)).astype(np.float64)
     sig, who = [], []
     for below in (0, 1):
         key = band - below
-        k = np.where(key > 0, differences(u[np.maximum(key, 0)]), 0)
-        use = (size > 0) & (key > 0) & (k > 0) & ((below == 0) | (NUM * size <= DEN * u[np.maximum(key, 0)]))
+        k = np.where(key > 0, differences(u[np.maximum(key, 0)], rule), 0)
+        use = (size > 0) & (key > 0) & (k > 0) & ((below == 0) | (rule.num * size <= rule.den * u[np.maximum(key, 0)]))
         n1 = np.where(use, k // (K2 + 1) + 1, 0)
         base = np.concatenate([[0], np.cumsum(n1 * N2)])
         on = use[owner]
         d = owner[on]
         cell = base[d] + (place[on] % (n1[d] * N2).astype(np.uint64)).astype(np.int64)
         sums = [np.bincount(cell, w[on], base[-1]) for w in (low, high)]
+        filled = np.bincount(cell, minlength=base[-1]).reshape(-1, N2)
         with np.errstate(over="ignore"):
             digest = W.mix(sums[0].astype(np.uint64) + (sums[1].astype(np.uint64) << np.uint64(32)) + _SEEDS[4])
             digest = digest.reshape(-1, N2)  # first-level part x second-level part
@@ -112,8 +128,14 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
                 x = W.mix(key[part_owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (part * 64 + s).astype(np.uint64))
                 for c in subset:
                     x = W.mix(x * np.uint64(3) + digest[:, c])
-                sig.append(x)
-                who.append(part_owner)
+                some = filled[:, subset].any(axis=1)
+                sig.append(x[some])
+                who.append(part_owner[some])
+                bare = part_owner[~some]
+                n = prefix[bare]
+                at = np.repeat(begin[bare] - (n.cumsum() - n), n) + np.arange(int(n.sum()))
+                sig.append(W.mix(np.repeat(x[~some], n) ^ values[at]))
+                who.append(np.repeat(bare, n))
     return np.concatenate(sig), np.concatenate(who)
 
 
@@ -122,24 +144,24 @@ def _digests(sets: list[np.ndarray], seed: int) -> np.ndarray:
         return np.array([W.mix(s ^ _SEEDS[seed]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     hasher = W.Hasher()
     for rows, data, bounds in W.slices(batches):
-        sets = document_sets(data, bounds, hasher)
+        sets = document_sets(data, bounds, hasher, rule)
         size = np.array([len(s) for s in sets], np.int64)
-        band = np.searchsorted(bands(int(size.max())), size)
+        band = np.searchsorted(bands(int(size.max()), rule), size)
         yield pa.record_batch(
             [rows.column(0), pa.array(size), pa.array(band), pa.array(_digests(sets, 0)), pa.array(_digests(sets, 1))],
             names=["doc_id", "n_shingles", "band", "d1", "d2"],
         )
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """(sig, node, centre): one row with a null centre per signature of a batch, and its other members under it."""
     hasher = W.Hasher()
     for _, data, bounds in W.slices(batches):
-        sets = document_sets(data, bounds, hasher)
-        sig, who = signatures(sets)
+        sets = document_sets(data, bounds, hasher, rule)
+        sig, who = signatures(sets, rule)
         node = _digests(sets, 0).view(np.uint64)[who] ^ _ORDERS[(sig & np.uint64(3)).astype(np.int64)]
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
@@ -181,16 +203,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x[new]), pa.array(y[new])], names=["node", "centre"])
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blobs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     hasher = W.Hasher()
     for rows, data, bounds in W.slices(batches):
-        sets = document_sets(data, bounds, hasher)
+        sets = document_sets(data, bounds, hasher, rule)
         size = np.array([len(s) for s in sets], np.int64)
-        band = np.searchsorted(bands(int(size.max())), size)
+        band = np.searchsorted(bands(int(size.max()), rule), size)
         yield pa.record_batch([rows.column(0), pa.array(band), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "band", "shingles"])
 
 
-def _inside(key: tuple, t: pa.Table) -> pa.Table:
+def _inside(key: tuple, t: pa.Table, rule: Rule) -> pa.Table:
     """Links that connect members of the left side with members of the right one."""
     node, left, right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "is_left", "is_right"))
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
@@ -209,7 +231,7 @@ def _inside(key: tuple, t: pa.Table) -> pa.Table:
     found = []
     right_at = np.flatnonzero(right)
     for p in np.flatnonzero(left).tolist():
-        fits = right_at[(NUM * size[right_at] <= DEN * size[p]) & (NUM * size[p] <= DEN * size[right_at])]
+        fits = right_at[(rule.num * size[right_at] <= rule.den * size[p]) & (rule.num * size[p] <= rule.den * size[right_at])]
         r = find(p)
         other = np.array([q for q in fits.tolist() if find(q) != r], np.int64)
         if not len(other):
@@ -219,7 +241,7 @@ def _inside(key: tuple, t: pa.Table) -> pa.Table:
         at = np.searchsorted(sets[p], values)
         at[at == len(sets[p])] = 0
         common = np.add.reduceat((sets[p][at] == values).astype(np.int64), n.cumsum() - n)
-        for q in other[DEN * common >= NUM * (n + size[p] - common)].tolist():
+        for q in other[rule.den * common >= rule.num * (n + size[p] - common)].tolist():
             if find(q) != find(p):
                 root[find(q)] = find(p)
                 found.append((int(node[p]), int(node[q])))
@@ -261,12 +283,12 @@ def _meetings(groups: DataFrame) -> DataFrame:
     return one.union(each("own", 0, True)).union(each("above", 1, True)).union(each("below", 1, False))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id; documents link at a Jaccard similarity of 9/10 or more."""
+def jaccard_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
+    """doc_id, n_shingles, component_id; documents link at the rule's Jaccard similarity or more."""
     spark = docs.sparkSession
     ship_package(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = cut(given.mapInArrow(_sizes, "doc_id long, n_shingles long, band long, d1 long, d2 long"), "sets")
+    sizes = cut(given.mapInArrow(lambda b: _sizes(b, rule), "doc_id long, n_shingles long, band long, d1 long, d2 long"), "sets")
     # equal sets are one node, named by its smallest id
     reps = cut(
         sizes.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("band").alias("band")), "reps"
@@ -275,7 +297,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x != y")
     same_id = sizes.join(shared.select("doc_id"), "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    signed = given.where("text is not null").mapInArrow(_signed, "sig long, node long, centre long")
+    signed = given.where("text is not null").mapInArrow(lambda b: _signed(b, rule), "sig long, node long, centre long")
     to = F.when(F.col("centre").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "node"))
     ties = signed.repartition(to).sortWithinPartitions("sig", "node").mapInArrow(_runs, "node long, centre long")
     ties = cut(ties.distinct(), "ties")
@@ -292,20 +314,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     groups = cut(groups.join(sized, "node"), "groups")
     few = groups.count() <= MAX_BROADCAST_IDS
     wanted = groups.select(F.col("node").alias("wanted")).distinct()
-    sets = given.join(F.broadcast(wanted) if few else wanted, given["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(_blobs, "node long, band long, shingles binary")
-    met = _meetings(groups).join(sets, ["node", "band"]).groupBy("meeting").applyInArrow(_inside, "a long, b long")
+    sets = given.join(F.broadcast(wanted) if few else wanted, given["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(lambda b: _blobs(b, rule), "node long, band long, shingles binary")
+    met = _meetings(groups).join(sets, ["node", "band"]).groupBy("meeting").applyInArrow(lambda key, t: _inside(key, t, rule), "a long, b long")
     named = components(met.union(same_id))
     by_set = reps.join(named, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     own = sizes.where("n_shingles > 0").join(by_set, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return own.union(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """``docs`` (all columns) with one document of each component: the one that gives it its name.
 
     Rows with a null id stay.  Of rows that share an id the one with the least text hash stays.
     """
-    named = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = jaccard_components(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = cut(named, "kept")
     few = named.count() <= MAX_BROADCAST_IDS
     kept = docs.join(F.broadcast(named) if few else named, docs["doc_id"] == named["kept_id"], "left_semi")

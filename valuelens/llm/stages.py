@@ -12,6 +12,8 @@ from valuelens.llm.q_pack import vocabulary
 written = cut
 #: a document whose best language has less than this mean probability is rejected
 LEAST_SCORE = 0.5
+#: near duplicates share 4/5 of their 5-word shingles
+NEAR = partenum.Rule(5, 4, 5)
 
 
 def _with_text(rows: DataFrame, like: DataFrame, text: str) -> DataFrame:
@@ -30,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one with the smallest id."""
-    return partenum.keep_first(docs)
+    return partenum.keep_first(docs, NEAR)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
