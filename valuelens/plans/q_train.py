@@ -59,23 +59,23 @@ def q_predict_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("forest_fit", "M2 M10")
 def q_forest_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2: random forest (20 trees, min leaf 2, all features per split) -> importances + CV metrics."""
-    m = _train(spark, sf_dir, "random_forest", TREE_FEATURES, train_source="R", trees=20, max_depth=8)
+    """M2: random forest (200 trees, min leaf 2, all features per split) -> importances + CV metrics."""
+    m = _train(spark, sf_dir, "random_forest", TREE_FEATURES, train_source="R")
     imp = MD.importance_frame(m, spark)
     return imp.crossJoin(MD.metrics_frame(m, spark).select("r2_cv", "mae_cv"))
 
 
 @query("gbt_fit", "M3")
 def q_gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: gradient boosting (20 rounds, lr 0.1, depth 3)."""
-    m = _train(spark, sf_dir, "gradient_boosting", TREE_FEATURES, train_source="R", trees=20)
+    """M3: gradient boosting (200 rounds, lr 0.1, depth 3)."""
+    m = _train(spark, sf_dir, "gradient_boosting", TREE_FEATURES, train_source="R")
     return MD.metrics_frame(m, spark)
 
 
 @query("stacking_fit", "M4")
 def q_stacking_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: forest + boosting with out-of-fold base predictions and a linear meta model."""
-    m = _train(spark, sf_dir, "stacking", TREE_FEATURES, train_source="R", trees=8, max_depth=6, cv_folds=3)
+    m = _train(spark, sf_dir, "stacking", TREE_FEATURES, train_source="R")
     return MD.metrics_frame(m, spark)
 
 
@@ -84,7 +84,7 @@ def q_forest_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: per-listing spread of the individual tree predictions, with the stability band."""
     from valuelens.operators.valuation import stability
 
-    m = _train(spark, sf_dir, "random_forest", TREE_FEATURES, train_source="R", trees=20, max_depth=8)
+    m = _train(spark, sf_dir, "random_forest", TREE_FEATURES, train_source="R")
     lv = listing_with_features(spark, sf_dir).where(F.col("_source") == "A")
     s = MD.tree_spread(m, lv.select(*KEYS, *TREE_FEATURES))
     return s.select(*KEYS, rnd("pred_cv", 6).alias("pred_cv"), stability(F.col("pred_cv")).alias("stability"))
