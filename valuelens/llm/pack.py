@@ -4,12 +4,16 @@
    writes that narrow table.
 2. The histogram has one entry per length, at most ``capacity`` of them.  The
    configuration program (choose copies of patterns so that every length is covered, with
-   as few sequences as possible) is solved by multiplicative weights: each round prices
-   the best pattern under the current weights by knapsack dynamic programming, takes a
-   share of it and lowers the weights of the lengths it covers.  The shares are scaled to
-   the demand and rounded down; what is left is filled by best fit, one pattern and its
-   largest possible number of copies at a time.  All of it works on the histogram, so its
-   time does not depend on the number of pieces.
+   as few sequences as possible) is solved by multiplicative weights over whole lengths, in
+   whole copies: a length's weight falls with its cover.  Each round deals the uncovered
+   lengths to groups at random, with one of over half the capacity each while there are any,
+   and patterns with one go first; a knapsack dynamic program over all groups at once prices
+   the pattern of most weight among each group's fullest ones, and it takes ``STEP`` of its
+   scarcest length (one copy at least), never more than is uncovered.  A round takes only
+   patterns within ``SPARE`` of the fullest of the first round; the program ends when every
+   cover is 1 or ``IDLE`` rounds bring no such pattern.  Shares are whole, so none is lost
+   by rounding.  The few pieces left (README gives the share) are filled by best fit, one pattern and its
+   largest possible number of copies at a time.  All of it works on the histogram.
 3. A piece's number within its length class picks its slot: a closed form over the pattern
    table gives sequence and offset.  Numbers come from a window over (length, salt) with
    as many salts per length as its share of the rows asks for, plus the counts of the
@@ -33,7 +37,9 @@ from valuelens.llm import _words as W
 from valuelens.llm._shared import cut, ship_package
 
 CAPACITY, END_ID = 2048, 0
-ROUNDS, STEP = 120, 0.2
+STEP = 0.5
+#: lengths per group, free places (a part of the capacity) and rounds without a pattern at the program's end
+GROUP, SPARE, IDLE = 24, 1 / 256, 6
 CACHE = 250_000
 MARK = b"\x1e"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -169,36 +175,88 @@ def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, list[tuple[int, int]]]]:
+def bound(histogram: dict[int, int], capacity: int = CAPACITY) -> float:
+    """No packing has fewer sequences: a dual solution of the program, the lengths over the best pattern's sum."""
+    lengths = np.array(sorted(k for k, n in histogram.items() if n))
+    if not len(lengths):
+        return 0.0
+    best = int(lengths[price(lengths.astype(float), lengths, capacity)].sum())
+    return sum(k * n for k, n in histogram.items()) / best
+
+
+def _price_groups(values: np.ndarray, sizes: np.ndarray, capacity: int, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(taken, fill) for (group, item) arrays: the pattern of most value among each group's fullest (up to ``spare``), an item at most once."""
+    groups, items = sizes.shape
+    best = np.full((groups, 2 * capacity + 1), -np.inf)  # sums below 0 are out of reach
+    best[:, capacity] = 0
+    now, flat = best[:, capacity:], best.reshape(-1)
+    at = np.arange(groups)[:, None] * (2 * capacity + 1) + capacity + np.arange(capacity + 1)
+    better = np.zeros((items, groups, capacity + 1), bool)
+    for i in range(items):
+        value = flat[at - sizes[:, i : i + 1]] + values[:, i : i + 1]
+        better[i] = (value > now) & (sizes[:, i : i + 1] > 0)
+        np.copyto(now, value, where=better[i])
+    fullest = capacity - np.isfinite(now[:, ::-1]).argmax(1)
+    fill = np.where(np.arange(capacity + 1) >= (fullest - spare)[:, None], now, -np.inf).argmax(1)
+    c, taken = fill.copy(), np.zeros((groups, items), bool)
+    for i in range(items - 1, -1, -1):
+        taken[:, i] = better[i][np.arange(groups), c]
+        c -= np.where(taken[:, i], sizes[:, i], 0)
+    return taken, fill
+
+
+def program(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
+    """The program's patterns as (copies, [(length, times)...]) and the histogram of what they leave."""
+    lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), np.int64)
+    demand = np.array([histogram[int(k)] for k in lengths], np.int64)
+    left, spare = demand.copy(), int(capacity * SPARE)
+    share: dict[tuple[tuple[int, int], ...], int] = {}
+    order, floor, idle = np.random.default_rng(0), None, 0
+    while left.any() and idle < IDLE:
+        on = np.flatnonzero(left)
+        # a length that is due more than once a sequence is dealt as 1, 2, 4, ... copies
+        due = np.minimum(-(-left[on] * capacity // int((left * lengths).sum())), capacity // lengths[on])
+        due = np.minimum(due, left[on])
+        item, times, step = [], [], 1
+        while due.any():
+            item.append(on[due > 0])
+            times.append(np.minimum(due[due > 0], step))
+            due, step = np.maximum(due - step, 0), step * 2
+        item, times = np.concatenate(item), np.concatenate(times)
+        # weights start convex in the length
+        weight = (lengths / capacity) ** 2 * np.exp(left / demand - 1)
+        long = 2 * lengths[item] * times > capacity
+        dealt = np.array_split(order.permutation(np.flatnonzero(~long)), max(1, int((~long).sum()) // GROUP))
+        first = order.permutation(np.flatnonzero(long))[: len(dealt)]
+        at = np.full((len(dealt), max(map(len, dealt)) + 1), -1)
+        for g, own in enumerate(dealt):
+            at[g, 1 : len(own) + 1] = own
+        at[: len(first), 0] = first
+        value = np.where(at >= 0, weight[item[at]] * times[at], 0.0)
+        value[:, 0] += capacity  # long pieces first: shorter ones fit later too
+        sizes = np.where(at >= 0, lengths[item[at]] * times[at], 0)
+        taken, fill = _price_groups(value, sizes, capacity, np.where(at[:, 0] >= 0, spare, 0))
+        floor = int(fill.max()) - spare if floor is None else floor
+        idle += 1
+        good = fill >= floor
+        for g in np.flatnonzero(good & taken[:, 0] if (good & taken[:, 0]).any() else good):
+            picked = np.bincount(item[at[g][taken[g]]], times[at[g][taken[g]]], len(lengths)).astype(np.int64)
+            some = np.flatnonzero(picked)
+            copies = min(int((left[some] // picked[some]).min()), max(1, int((STEP * demand[some] / picked[some]).min())))
+            if copies > 0:
+                key = tuple((int(lengths[i]), int(picked[i])) for i in some)
+                share[key] = share.get(key, 0) + copies
+                left[some] -= copies * picked[some]
+                idle = 0
+    return [(n, list(key)) for key, n in share.items()], {int(k): int(n) for k, n in zip(lengths, left, strict=True) if n}
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns as (copies, [(length, times)...]) that hold every piece exactly once."""
-    left = {k: n for k, n in histogram.items() if n and k < capacity}
-    out: list[tuple[int, list[tuple[int, int]]]] = []
+    out, rest = program(histogram, capacity)
     if histogram.get(capacity):
-        out.append((histogram[capacity], [(capacity, 1)]))
-    if left:
-        lengths = np.array(sorted(left))
-        demand = np.array([left[int(k)] for k in lengths], float)
-        # weights start at the share of a sequence that a length takes, so long pieces come with what fills them
-        log_w = np.log(lengths / capacity)
-        share: dict[tuple[tuple[int, int], ...], float] = {}
-        cover = np.zeros(len(lengths))
-        for _ in range(rounds):
-            picked = np.bincount(price(np.exp(log_w - log_w.max()), lengths, capacity), minlength=len(lengths))
-            on = np.flatnonzero(picked)
-            step = STEP * float((demand[on] / picked[on]).min())
-            key = tuple((int(lengths[i]), int(picked[i])) for i in on)
-            share[key] = share.get(key, 0.0) + step
-            cover[on] += step * picked[on] / demand[on]
-            log_w[on] -= step * picked[on] / demand[on]
-        scale = 1.0 / max(1.0, cover.max())
-        for key, x in sorted(share.items(), key=lambda kv: -kv[1]):
-            copies = min(int(x * scale), *(left.get(k, 0) // m for k, m in key))
-            if copies > 0:
-                out.append((copies, list(key)))
-                for k, m in key:
-                    left[k] -= copies * m
-    # rounding leaves a rest: best fit, as many copies of each pattern as the rest allows
-    rest = {k: n for k, n in left.items() if n}
+        out.insert(0, (histogram[capacity], [(capacity, 1)]))
+    # what the program leaves: best fit, as many copies of each pattern as the rest allows
     while rest:
         sizes = sorted(rest, reverse=True)
         room, pattern = capacity, {}
