@@ -93,7 +93,7 @@ def rows_frame(spark, n=400):
     cols = ["a", "b", "c", "d"]
     edges = TR.bin_edges(df, cols)
     assert [len(e) for e in edges[::2]] == [39, 4] and all(len(e) < 64 for e in edges)
-    return TR.binned_rows(df.repartition(3), cols, "y", ["k"], F.pmod("k", F.lit(3)), F.pmod(F.col("k") / 3, F.lit(2)), edges), rows, edges
+    return TR.binned_rows(df.repartition(3), cols, "y", ["k"], F.pmod("k", F.lit(3)), F.pmod(F.col("k") / 3, F.lit(2)), edges, F.pmod("k", F.lit(4))), rows, edges
 
 
 FITS = [
@@ -109,23 +109,23 @@ def test_fits_equal_brute_force_in_a_task_and_by_levels(spark):
     large = TR.grow_fits(rows, 4, FITS, local_rows=40)
     a, b = ({(r["fit"], r["row"]): (r["y"], round(r["prediction"], 7)) for r in g.predictions().collect()} for g in (local, large))
     assert a == b
-    got = rows.select("row", "h", "k", "fold", "inner", "y", "bins").collect()
-    d = TR.Rows(*(np.array([r[c] for r in got]) for c in ("row", "h", "fold", "inner", "y")), np.frombuffer(b"".join(bytes(r["bins"]) for r in got), np.uint8).reshape(len(got), 4).T)
+    got = rows.select(*TR._OWN).collect()
+    d = TR.Rows(*(np.array([r[c] for r in got]) for c in ("row", "h", "fold", "inner", "y", "weight")), np.frombuffer(b"".join(bytes(r["bins"]) for r in got), np.uint8).reshape(len(got), 4).T)
     for k, fit in enumerate(FITS[:2]):
         train, score = d.learned(fit), np.flatnonzero(d.scored(fit))
         total = np.zeros(len(score))
         for t in range(fit.trees):
-            w = TR.tree_weights(fit, d.h, t) * train
+            w = TR.tree_weights(fit, d.h, t) * train * d.weight
             on = w > 0
             tree = brute_tree(d.bins[:, on], d.y[on], w[on], fit.columns, fit.min_leaf, fit.max_depth)
             total += [walk(tree, d.bins, r) for r in score]
         assert {x for f, x in a if f == k} == set(d.row[score].tolist())
         assert np.allclose([a[k, int(x)][1] for x in d.row[score]], total / fit.trees, atol=1e-6)
     fit = FITS[2]
-    train, score = d.learned(fit), np.flatnonzero(d.scored(fit))
-    now = np.full(len(d.y), d.y[train].mean())
+    train, score = d.learned(fit) & (d.weight > 0), np.flatnonzero(d.scored(fit))
+    now = np.full(len(d.y), np.average(d.y[train], weights=d.weight[train]))
     for _ in range(fit.trees):
-        tree = brute_tree(d.bins[:, train], (d.y - now)[train], np.ones(train.sum()), fit.columns, 1, fit.max_depth)
+        tree = brute_tree(d.bins[:, train], (d.y - now)[train], d.weight[train], fit.columns, 1, fit.max_depth)
         now = now + fit.rate * np.array([walk(tree, d.bins, r) for r in range(len(now))])
     assert np.allclose([a[2, int(x)][1] for x in d.row[score]], now[score], atol=1e-6)
     for g in (local, large):

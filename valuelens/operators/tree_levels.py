@@ -98,10 +98,9 @@ def _level(rows: DataFrame, p: int, fits: Sequence[TR.Fit], tops: list[Top], tar
             d = TR._rows_of(b, p)
             for k, tree, nodes, own in spec:
                 fit = fits[k]
-                train = np.flatnonzero(d.learned(fit))
-                w = TR.tree_weights(fit, d.h[train], tree)
-                on = np.flatnonzero(w)
-                train, w = train[on], w[on]
+                w = d.weights(fit, tree)
+                train = np.flatnonzero(w)
+                w = w[train]
                 if not own or not len(train):
                     continue
                 of_node = np.full(len(nodes.feature), -1, np.int64)
@@ -175,7 +174,7 @@ def _forest_group(rows: DataFrame, p: int, fits: Sequence[TR.Fit], tops: list[To
             d = TR._rows_of(b, p)
             for k, tree, nodes, own in spec:
                 fit = fits[k]
-                take = np.flatnonzero((d.learned(fit) & (TR.tree_weights(fit, d.h, tree) > 0)) | d.scored(fit))
+                take = np.flatnonzero((d.weights(fit, tree) > 0) | d.scored(fit))
                 if not len(take) or not own:
                     continue
                 at = TR.leaves(nodes, d.bins, take, np.zeros(1, np.int64))[0]
@@ -183,12 +182,12 @@ def _forest_group(rows: DataFrame, p: int, fits: Sequence[TR.Fit], tops: list[To
                 for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
                     if int(at[part[0]]) in own:
                         r = take[part]
-                        yield TR._unit_rows(own[int(at[part[0]])], TR.Rows(*(x[r] for x in d[:5]), d.bins[:, r]))
+                        yield TR._unit_rows(own[int(at[part[0]])], TR.Rows(*(x[r] for x in d[:6]), d.bins[:, r]))
 
     def below(t: pa.Table) -> pa.Table:
         k, tree, i, depth = units[t.column("unit")[0].as_py()]
         fit, d = fits[k], TR._unit_table(t, p)
-        w = TR.tree_weights(fit, d.h, tree) * d.learned(fit)
+        w = d.weights(fit, tree)
         on, score = np.flatnonzero(w), np.flatnonzero(d.scored(fit))
         nodes = TR.grow(d.bins, d.y, on, np.zeros(len(on), np.int64), w[on], 1, fit.columns, fit.min_leaf, None if fit.max_depth is None else fit.max_depth - depth)
         out = [_raw_gains(k, tree, _gain_of(nodes, p))]
@@ -229,8 +228,8 @@ def _boosted(rows: DataFrame, p: int, fits: Sequence[TR.Fit], which: list[int])
             if b.num_rows:
                 d = TR._rows_of(b, p)
                 for c, fit in enumerate(spec):
-                    on = d.learned(fit)
-                    total[c] += on.sum(), d.y[on].sum()
+                    w = d.weights(fit._replace(subsample=1.0), 0)
+                    total[c] += w.sum(), (w * d.y).sum()
         yield pa.record_batch([pa.array(np.arange(len(spec), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["c", "n", "s"])
 
     sums = {r["c"]: r for r in rows.mapInArrow(start, "c int, n double, s double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()}

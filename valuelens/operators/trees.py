@@ -37,6 +37,7 @@ ENTRIES = 2_000_000  # (tree, row) pairs grown together
 PASS_NODES = 4_096  # nodes whose sums a task holds in one pass
 UNITS = 512
 _POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
+_OWN = ("row", "h", "fold", "inner", "y", "weight", "bins")
 GROWN = "kind string, fit int, tree int, node long, feature int, bin int, left long, row long, y double, value double, n int"
 
 
@@ -103,24 +104,28 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def binned_rows(x: DataFrame, cols: Sequence[str], y: str, keys: Sequence[str], fold, inner, edges: list[np.ndarray]) -> DataFrame:
-    """(row, h, fold, inner, y, bins, keys...) written once; ``fold`` and ``inner`` are columns or None."""
+def binned_rows(x: DataFrame, cols: Sequence[str], y: str, keys: Sequence[str], fold, inner, edges: list[np.ndarray], weight=None) -> DataFrame:
+    """(row, h, fold, inner, y, weight, bins, keys...) written once; ``fold``, ``inner`` and ``weight`` are columns or None.
+
+    A row of weight 3 counts as three rows in every sum; rows without a positive weight are learned from by none.
+    """
     ship_package(x.sparkSession)
     h = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.xxhash64(*[F.col(c) for c in cols], y)
     given = x.select(
         F.monotonically_increasing_id().alias("row"), h.alias("h"), (F.lit(-1) if fold is None else fold).cast("int").alias("fold"),
         (F.lit(-1) if inner is None else inner).cast("int").alias("inner"), F.col(y).cast("double").alias("y"),
-        F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), *[F.col(k) for k in dict.fromkeys(keys) if k not in ("row", "h", "fold", "inner", "y", "bins")],
+        (F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))).alias("weight"),
+        F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), *[F.col(k) for k in dict.fromkeys(keys) if k not in _OWN],
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = np.ascontiguousarray(_bin(_matrix(b.column(5), len(cols)), edges).T)
-            yield pa.record_batch([*b.columns[:5], pa.array([r.tobytes() for r in bins], pa.binary()), *b.columns[6:]], names=[*b.schema.names[:5], "bins", *b.schema.names[6:]])
+            bins = np.ascontiguousarray(_bin(_matrix(b.column(6), len(cols)), edges).T)
+            yield pa.record_batch([*b.columns[:6], pa.array([r.tobytes() for r in bins], pa.binary()), *b.columns[7:]], names=[*b.schema.names[:6], "bins", *b.schema.names[7:]])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*given.schema.fields[:5], T.StructField("bins", T.BinaryType()), *given.schema.fields[6:]])
+    schema = T.StructType([*given.schema.fields[:6], T.StructField("bins", T.BinaryType()), *given.schema.fields[7:]])
     return cut(given.mapInArrow(run, schema), "binned")
 
 
@@ -238,8 +243,13 @@ class Rows(NamedTuple):
     fold: np.ndarray
     inner: np.ndarray
     y: np.ndarray
+    weight: np.ndarray
     bins: np.ndarray  # (columns, rows)
 
+    def weights(self, fit: Fit, tree: int) -> np.ndarray:
+        """What each row counts in a tree of the fit; 0 if it is held out or not drawn."""
+        return tree_weights(fit, self.h, tree) * np.maximum(self.weight, 0.0) * self.learned(fit)
+
     def learned(self, fit: Fit) -> np.ndarray:
         """Which rows the fit learns from."""
         return (self.fold != fit.held if fit.held >= 0 else np.ones(len(self.row), bool)) & (self.inner != fit.inner if fit.inner >= 0 else True)
@@ -253,7 +263,7 @@ class Rows(NamedTuple):
 
 def _out(kind: str, fit: int, size: int, /, **cols) -> pa.RecordBatch:
     kinds = {"tree": pa.int32(), "node": pa.int64(), "feature": pa.int32(), "bin": pa.int32(), "left": pa.int64(), "row": pa.int64(), "y": pa.float64(), "value": pa.float64(), "n": pa.int32()}
-    arrays = [pa.array([kind] * size), pa.array(np.full(size, fit, np.int32))]
+    arrays = [pa.array([kind] * size, pa.string()), pa.array(np.full(size, fit, np.int32))]
     arrays += [pa.nulls(size, t) if c not in cols else pa.array(np.asarray(cols[c]) if np.ndim(cols[c]) else np.full(size, cols[c])).cast(t) for c, t in kinds.items()]
     return pa.record_batch(arrays, names=["kind", "fit", *kinds])
 
@@ -266,16 +276,16 @@ def _node_rows(k: int, nodes: Nodes, first_tree: int, shift: int = 0, first_id:
 
 def _run_forest(k: int, fit: Fit, low: int, high: int, d: Rows) -> Iterator[pa.RecordBatch]:
     """Trees low .. high - 1 of a forest on rows that fit."""
-    train, score = np.flatnonzero(d.learned(fit)), np.flatnonzero(d.scored(fit))
+    score = np.flatnonzero(d.scored(fit))
     sums, gains = np.zeros(len(score)), np.zeros(len(d.bins))
-    step = max(1, ENTRIES // max(1, len(train)))
+    step = max(1, ENTRIES // max(1, len(d.y)))
     for a in range(low, high, step):
         b = min(a + step, high)
         parts = []
         for t in range(a, b):
-            w = tree_weights(fit, d.h[train], t)
+            w = d.weights(fit, t)
             on = np.flatnonzero(w)
-            parts.append((train[on], np.full(len(on), t - a), w[on]))
+            parts.append((on, np.full(len(on), t - a), w[on]))
         row, tree, w = (np.concatenate(x) for x in zip(*parts, strict=True))
         nodes = grow(d.bins, d.y, row, tree, w, b - a, fit.columns, fit.min_leaf, fit.max_depth)
         gains += importances(nodes, b - a, len(d.bins))
@@ -291,15 +301,16 @@ def _run_forest(k: int, fit: Fit, low: int, high: int, d: Rows) -> Iterator[pa.R
 def _run_boosting(k: int, fit: Fit, d: Rows) -> Iterator[pa.RecordBatch]:
     """All rounds of a boosted model on rows that fit; node values are scaled by the rate, tree -1 is the mean."""
     train, score = np.flatnonzero(d.learned(fit)), np.flatnonzero(d.scored(fit))
-    mean = float(d.y[train].mean()) if len(train) else 0.0
+    whole = d.weights(fit._replace(subsample=1.0), 0)
+    mean = float(np.average(d.y, weights=whole)) if whole.any() else 0.0
     now, gains = np.full(len(d.y), mean), np.zeros(len(d.bins))
     both = np.concatenate([train, score])
     if fit.keep:
         yield _out("node", k, 1, tree=-1, node=0, feature=-1, bin=0, left=-1, value=mean)
     for t in range(fit.trees):
-        w = tree_weights(fit, d.h[train], t)
+        w = d.weights(fit, t)
         on = np.flatnonzero(w)
-        nodes = grow(d.bins, d.y - now, train[on], np.zeros(len(on), np.int64), w[on], 1, fit.columns, fit.min_leaf, fit.max_depth)
+        nodes = grow(d.bins, d.y - now, on, np.zeros(len(on), np.int64), w[on], 1, fit.columns, fit.min_leaf, fit.max_depth)
         gains += importances(nodes, 1, len(d.bins))
         nodes = nodes._replace(value=nodes.value * fit.rate)
         now[both] += nodes.value[leaves(nodes, d.bins, both, np.zeros(1, np.int64))[0]]
@@ -311,29 +322,29 @@ def _run_boosting(k: int, fit: Fit, d: Rows) -> Iterator[pa.RecordBatch]:
 
 
 # ------------------------------------------------------------------ units: blocks of models on one copy of the rows
-UNIT = "unit long, row array<long>, h array<long>, fold array<int>, inner array<int>, y array<double>, bins binary"
+UNIT = "unit long, row array<long>, h array<long>, fold array<int>, inner array<int>, y array<double>, weight array<double>, bins binary"
 
 
 def _unit_rows(unit: int, d: Rows) -> pa.RecordBatch:
     """Rows of a unit as one record."""
     one = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v).cast(t))
     return pa.record_batch(
-        [pa.array([unit], pa.int64()), one(d.row, pa.int64()), one(d.h, pa.int64()), one(d.fold, pa.int32()), one(d.inner, pa.int32()), one(d.y, pa.float64()), pa.array([d.bins.T.tobytes()], pa.binary())],
-        names=["unit", "row", "h", "fold", "inner", "y", "bins"],
+        [pa.array([unit], pa.int64()), one(d.row, pa.int64()), one(d.h, pa.int64()), one(d.fold, pa.int32()), one(d.inner, pa.int32()), one(d.y, pa.float64()), one(d.weight, pa.float64()), pa.array([d.bins.T.tobytes()], pa.binary())],
+        names=["unit", *_OWN],
     )
 
 
 def _rows_of(b: pa.RecordBatch, p: int) -> Rows:
     """Rows of a batch of ``binned_rows``."""
-    row, h, fold, inner, y = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-    return Rows(row, h, fold, inner, y, np.ascontiguousarray(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(row), p).T))
+    plain = [b.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+    return Rows(*plain, np.ascontiguousarray(np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(b.num_rows, p).T))
 
 
 def _unit_table(t: pa.Table, p: int) -> Rows:
-    row, h, fold, inner, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("row", "h", "fold", "inner", "y"))
-    order = np.argsort(row, kind="stable")  # sums in one order, whatever order the parts came in
-    bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(row), p)
-    return Rows(row[order], h[order], fold[order], inner[order], y[order], np.ascontiguousarray(bins[order].T))
+    plain = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in _OWN[:6]]
+    order = np.argsort(plain[0], kind="stable")  # sums in one order, whatever order the parts came in
+    bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(order), p)
+    return Rows(*(x[order] for x in plain), np.ascontiguousarray(bins[order].T))
 
 
 def _units(fits: Sequence[Fit]) -> list[list[tuple[int, int, int]]]:
@@ -373,7 +384,7 @@ def _grow_units(rows: DataFrame, p: int, fits: Sequence[Fit]) -> DataFrame:
             out += list(_run_boosting(k, fits[k], d) if fits[k].rate else _run_forest(k, fits[k], low, high, d))
         return pa.Table.from_batches(out)
 
-    dealt = rows.select("row", "h", "fold", "inner", "y", "bins").mapInArrow(deal, UNIT)
+    dealt = rows.select(*_OWN).mapInArrow(deal, UNIT)
     return dealt.repartition(min(len(units), UNITS), "unit").groupBy("unit").applyInArrow(run, GROWN)
 
 
