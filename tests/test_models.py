@@ -1,6 +1,7 @@
 """Encoders, linear moments core, trees, privacy, search properties."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from valuelens.operators import encode as E
@@ -52,24 +53,110 @@ def test_rank_deficient_design_is_min_norm(spark):
     assert np.allclose(r._coef, [1.5, 1.5]) and abs(r._intercept - 1) < 1e-9
 
 
-def test_forest_tree_mean_equals_prediction(spark):
+def test_forest_tree_mean_equals_prediction(spark, monkeypatch):
+    from dataclasses import replace
+
     from valuelens.operators import models as MD
+    from valuelens.operators import tree_model as TM
 
     rows = [(i, float(i % 7), float(i % 5), float((i % 7) * 3 + (i % 5))) for i in range(300)]
     df = spark.createDataFrame(rows, "k long, a double, b double, y double")
     m = MD.train_model(df, "y", ["a", "b"], ["k"], "random_forest", trees=5, max_depth=4, use_log=False, remove_outliers=False, cv_folds=2)
-    x = m.encoders.assemble(m.encoders.transform(df, "score"))
-    cols = []
-    for i, t in enumerate(m.ml_model.trees):
-        x = t.copy().setPredictionCol(f"t{i}").transform(x)
-        cols.append(f"t{i}")
-    x = m.ml_model.copy().setPredictionCol("p").transform(x)
-    diff = x.select(F.max(F.abs(sum(F.col(c) for c in cols) / len(cols) - F.col("p")))).first()[0]
-    assert diff < 1e-9
+    own = m.trees["forest"]
+    x = m.encoders.transform(df, "score")
+    p = {r.k: r.prediction for r in m.predict(df).collect()}
+    each = [{r.k: r._t1 for r in TM.tree_sums(x, replace(own, nodes=own.nodes.where(F.col("tree") == t)), False).collect()} for t in range(5)]
+    assert max(abs(sum(e[k] for e in each) / 5 - p[k]) for k in p) < 1e-9
+    spread = {r.k: r.pred_cv for r in MD.tree_spread(m, df).collect()}
+    for k in p:
+        v = np.array([e[k] for e in each])
+        assert abs(spread[k] - v.std() / (abs(v.mean()) + 1)) < 1e-9
+    # blocks of nodes add up
+    monkeypatch.setattr(TM, "BLOCK_NODES", 20)
+    assert all(abs(r.prediction - p[r.k]) < 1e-9 for r in m.predict(df).collect())
     s = MD.tree_spread(m, df).select(F.min("pred_cv"), F.max("pred_cv")).first()
     assert s[0] >= 0.0
 
 
+def _priced(spark, n=240):
+    r = np.random.default_rng(7)
+    rows = [(i, float(a := r.integers(1, 40)), ["a", "b", "c"][i % 3], float(round(100 + 8 * a + 30 * (i % 3) + r.normal(), 2)), 1.0 + 2 * (i % 2)) for i in range(n)]
+    return spark.createDataFrame(rows, "k long, a double, c string, y double, w double")
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boosting", "stacking"])
+def test_presets_run_and_predict(spark, kind):
+    from valuelens.operators import models as MD
+    from valuelens.session import scratch_dir
+    from valuelens.sources import registry as RG
+
+    df = _priced(spark)
+    m = MD.train_model(df, "y", ["a", "c"], ["k"], kind, remove_outliers=False, trees=None if kind == "random_forest" else 40)
+    assert m.metrics["r2"] > 0.9 and m.metrics["r2_cv"] > 0.9 and len(m.sample) == min(50, m.metrics["test_size"])
+    assert m.metrics["train_size"] + m.metrics["test_size"] == 240 and m.importance[0][0] == "a"
+    assert abs(sum(v for _, v in m.importance) - 1) < 1e-6
+    # the stored model is the holdout's: its predictions of the test rows are the sample
+    got = {round(r.y, 2): round(r.prediction, 2) for r in m.predict(df).collect()}
+    assert all(abs(got[y] - p) < 0.011 for y, p in m.sample)
+    root = scratch_dir(spark, "registry-test")
+    mid = RG.save_model(spark, root, m, "first")
+    RG.rename_model(spark, root, mid, "second")
+    assert [(r.id, r.name) for r in RG.list_models(spark, root).collect()] == [(mid, "second")]
+    again = RG.load_model(spark, root, mid)
+    a, b = ({r.k: r.prediction for r in x.predict(df).collect()} for x in (m, again))
+    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    spread = MD.tree_spread(m, df).agg(F.min("pred_cv"), F.max("pred_cv"), F.count("pred_cv")).first()
+    assert spread[2] == (0 if kind == "gradient_boosting" else 240)
+
+
+@pytest.mark.parametrize("n", [5, 12, 29])
+def test_small_tables_use_folds_of_their_size(spark, n):
+    from valuelens.operators import models as MD
+
+    m = MD.train_model(_priced(spark, n), "y", ["a"], ["k"], "random_forest", remove_outliers=False, trees=5)
+    assert m.metrics["train_size"] == m.metrics["test_size"] == n and m.metrics["r2"] == m.metrics["r2_cv"]
+
+
+@pytest.mark.parametrize("kind", ["linear", "gradient_boosting"])
+def test_weight_three_is_three_copies(spark, kind):
+    from valuelens.operators import models as MD
+
+    df = _priced(spark, 90)
+    # copies share their key, so they share fold and draws
+    copies = df.select("*", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).drop("copy")
+    one = MD.train_model(df, "y", ["a"], ["k"], kind, remove_outliers=False, trees=10, weight="w")
+    many = MD.train_model(copies, "y", ["a"], ["k"], kind, remove_outliers=False, trees=10)
+    a, b = ({r.k: r.prediction for r in m.predict(df).collect()} for m in (one, many))
+    assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_ablation_under_linear_and_trees(spark):
+    df = _priced(spark).withColumn("noise", F.pmod(F.col("k") * 7919, F.lit(101)).cast("double")).withColumn("flat", F.lit(1.0))
+    for kind in ("linear", "random_forest"):
+        got = SR.feature_ablation(df, "y", ["a", "c", "noise", "flat", "y"], ["a", "noise"], ["k"], model_type=kind, trees=20).collect()
+        by = {r.feature: r for r in got}
+        assert set(by) == {"a", "c", "noise", "flat"} and by["a"].recommendation == "keep — critical" and by["a"].in_baseline
+        assert by["c"].delta_r2 > 0 and not by["c"].in_baseline and by["flat"].corr is None and by["a"].corr > 0.9
+        deltas = [r.delta_r2 for r in got]
+        assert deltas == sorted(deltas, reverse=True)
+    alone = SR.feature_ablation(df, "y", ["a", "c"], ["a"], ["k"]).collect()
+    assert {r.feature: r.recommendation for r in alone}["a"] == "unknown"
+    few = SR.feature_ablation(df.limit(4), "y", ["a", "c"], None, ["k"]).collect()
+    assert {r.delta_r2 for r in few} == {None}
+
+
+def test_linear_subsets_in_blocks_give_the_same(spark, monkeypatch):
+    df = _priced(spark)
+    subs = SR.feature_subsets(spark, ["a", "c"], min_features=1, max_features=2)
+    whole = SR.subset_search(df, "y", ["a", "c"], subs, ["k"]).drop("r2_raw").orderBy("subset_idx").collect()
+    monkeypatch.setattr(SR, "broadcast_limit_rows", lambda s: 1)
+    assert SR.subset_search(df, "y", ["a", "c"], subs, ["k"]).drop("r2_raw").orderBy("subset_idx").collect() == whole
+    trees = SR.subset_search(df, "y", ["a", "c"], subs, ["k"], model_type="rf_fast", trees=6).drop("r2_raw").orderBy("subset_idx").collect()
+    monkeypatch.setattr(SR, "FITS_AT_ONCE", 5)
+    assert SR.subset_search(df, "y", ["a", "c"], subs, ["k"], model_type="rf_fast", trees=6).drop("r2_raw").orderBy("subset_idx").collect() == trees
+    assert abs(sum(trees[2].importance.values()) - 100) < 0.2
+
+
 def test_alias_table_is_a_bijection(spark):
     df = spark.createDataFrame([("Main St", "Vancouver"), ("Oak St", "Burnaby"), ("Main St", None), ("", "Vancouver")], "street string, city string")
     a = PV.alias_table(df).collect()

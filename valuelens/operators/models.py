@@ -1,9 +1,9 @@
 """Model training, evaluation and scoring.
 
 Linear models come from the moments core (one aggregate pass, fold fits
-solved per group in a bounded pandas call).  Tree ensembles are Spark ML
-estimators on the assembled vector (their fits are distributed aggregation
-jobs); k-fold loops are k fits on ``where(fold != k)`` of one cached frame.
+solved per group in a bounded pandas call).  Forests, boosting and the bases of
+stacking are histogram trees (``trees``): the fits of all folds, and in stacking of all inner
+folds, grow together, and their out-of-fold predictions come out of the same job.
 Folds and the 80/20 holdout come from integer key arithmetic, so they are
 reproducible and independent of partitioning.
 """
@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuelens.operators import encode as E
 from valuelens.operators import filters as FL
 from valuelens.operators import linear as L
+from valuelens.operators import tree_model as TM
+from valuelens.operators import trees as TR
 from valuelens.operators.stats import regression_metrics
 
 HOLDOUT_MIN_ROWS = 30  # fixed values from the reference
@@ -35,9 +36,17 @@ PRESETS = {
     "gradient_boosting": {"kind": "gbt", "trees": 200, "lr": 0.1, "depth": 3, "min_leaf": 1, "subsample": 1.0},
     "gb": {"kind": "gbt", "trees": 200, "lr": 0.1, "depth": 3, "min_leaf": 1, "subsample": 1.0},
     "gb_deep": {"kind": "gbt", "trees": 300, "lr": 0.05, "depth": 4, "min_leaf": 3, "subsample": 0.8},
-    "stacking": {"kind": "stacking", "trees": 200, "cv": 5},
     "linear": {"kind": "linear"},
 }
+
+
+def _stacking(trees: int, cv: int) -> dict:
+    return {"kind": "stacking", "cv": cv, "base": {"forest": PRESETS["random_forest"] | {"trees": trees}, "gbt": PRESETS["gb"] | {"trees": trees}}}
+
+
+PRESETS["stacking"] = _stacking(200, 5)
+#: the feature search stacks smaller models
+SEARCH_PRESETS = PRESETS | {"stacking": _stacking(100, 3)}
 LABELS = {"forest": "Random Forest", "gbt": "Grad. Boosting", "linear": "Linear", "stacking": "Stacking"}
 
 
@@ -49,8 +58,7 @@ class TrainedModel:
     encoders: E.Encoders
     use_log: bool
     coefs: DataFrame | None = None  # linear: one row, _fold = -1
-    ml_model: object | None = None  # Spark ML model (forest / gbt / stacking parts)
-    stack: dict = field(default_factory=dict)
+    trees: dict[str, TM.TreeModel] = field(default_factory=dict)  # by kind; stacking has two and the meta model in ``coefs``
     metrics: dict = field(default_factory=dict)
     importance: list[tuple[str, float]] = field(default_factory=list)
     train_source: str = ""
@@ -65,64 +73,15 @@ class TrainedModel:
         return raw.withColumn(out, pred).drop("_raw")
 
 
-def _cap_depth(depth: int | None) -> int:
-    return min(depth or 30, 30)  # the engine's limit; the reference has none
-
-
-def _forest(trees: int, min_leaf: int, seed: int = 42, max_depth: int | None = None, label: str = "_yfit") -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, minInstancesPerNode=min_leaf,
-                                 featureSubsetStrategy="all", maxDepth=_cap_depth(max_depth), maxBins=64, seed=seed, subsamplingRate=1.0,
-                                 bootstrap=True)
-
-
-def _gbt(p: dict, seed: int = 42, label: str = "_yfit") -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=p["trees"], stepSize=p["lr"], maxDepth=p["depth"],
-                        minInstancesPerNode=p.get("min_leaf", 1), subsamplingRate=p.get("subsample", 1.0), seed=seed, maxBins=64)
-
-
-def _fit_kind(kind: str, preset: dict, train: DataFrame, xcols: list[str], max_depth: int | None, trees: int | None):
-    """Fit one model on the encoded frame (label column _yfit). Returns (coefs, ml_model, stack)."""
-    if kind == "linear":
-        return L.fit_linear(train, xcols, "_yfit"), None, {}
-    n_trees = trees or preset["trees"]
-    if kind == "forest":
-        return None, _forest(n_trees, preset["min_leaf"], max_depth=max_depth).fit(train), {}
-    if kind == "gbt":
-        return None, _gbt({**preset, "trees": n_trees}).fit(train), {}
-    # stacking: forest + gbt base models, out-of-fold base predictions -> linear meta model (M4)
-    k = preset.get("cv", 5)
-    base = {"rf": _forest(n_trees, 2, max_depth=max_depth), "gb": _gbt({**PRESETS["gradient_boosting"], "trees": n_trees})}
-    # inner folds from the rows' own values: independent of the outer folds, equal rows together
-    t = train.withColumn("_sfold", F.pmod(F.xxhash64(F.lit("inner"), *xcols, "_yfit"), F.lit(k)))
-    oof = None
-    for i in range(k):
-        tr, te = t.where(F.col("_sfold") != i), t.where(F.col("_sfold") == i)
-        part = te
-        for name, est in base.items():
-            part = est.copy().setPredictionCol(f"_b_{name}").fit(tr).transform(part)
-        part = part.select("_yfit", "_b_rf", "_b_gb")
-        oof = part if oof is None else oof.unionByName(part)
-    meta = LinearRegression(featuresCol="_meta", labelCol="_yfit", solver="normal", regParam=0.0)
-    from pyspark.ml.feature import VectorAssembler
-
-    meta_model = meta.fit(VectorAssembler(inputCols=["_b_rf", "_b_gb"], outputCol="_meta").transform(oof))
-    fitted = {name: est.fit(train) for name, est in base.items()}
-    return None, None, {"base": fitted, "meta": meta_model}
-
-
 def _predict_raw(m: TrainedModel, x: DataFrame, out: str) -> DataFrame:
-    kind = PRESETS[m.model_type]["kind"]
-    if kind == "linear":
+    if not m.trees:
         return L.predict(x, m.coefs, m.encoders.columns, out=out)
-    x = m.encoders.assemble(x)
-    if kind in ("forest", "gbt"):
-        return m.ml_model.copy().setPredictionCol(out).transform(x).drop("features")
-    from pyspark.ml.feature import VectorAssembler
-
-    for name, bm in m.stack["base"].items():
-        x = bm.copy().setPredictionCol(f"_b_{name}").transform(x)
-    x = VectorAssembler(inputCols=["_b_rf", "_b_gb"], outputCol="_meta").transform(x)
-    return m.stack["meta"].copy().setPredictionCol(out).transform(x).drop("features", "_meta", "_b_rf", "_b_gb")
+    if len(m.trees) == 1:
+        return TM.predict_trees(x, next(iter(m.trees.values())), out)
+    for part, own in m.trees.items():
+        x = TM.predict_trees(x, own, f"_b_{part}")
+    names = [f"_b_{part}" for part in m.trees]
+    return L.predict(x, m.coefs, names, out=out).drop(*names)
 
 
 def _importance(m: TrainedModel) -> list[tuple[str, float]]:
@@ -133,11 +92,8 @@ def _importance(m: TrainedModel) -> list[tuple[str, float]]:
     if kind == "linear":
         coef = m.coefs.where(F.col("_fold") == L.FULL).first()["_coef"]
         raw = [v for _, v in L.importances(coef, cols)]
-    elif kind in ("forest", "gbt"):
-        raw = list(m.ml_model.featureImportances.toArray())
     else:
-        arrs = [list(b.featureImportances.toArray()) for b in m.stack["base"].values()]
-        raw = [sum(a[i] for a in arrs) / len(arrs) for i in range(len(cols))]
+        raw = [sum(own) / len(own) for own in zip(*(t.importance for t in m.trees.values()), strict=True)]
     agg: dict[str, float] = {}
     for c, v in zip(cols, raw):
         agg[base_of[c]] = agg.get(base_of[c], 0.0) + float(v)
@@ -158,9 +114,13 @@ def train_model(
     trees: int | None = None,
     max_depth: int | None = None,
     cv_folds: int = 5,
+    weight: str | None = None,
 ) -> TrainedModel:
     """M8: split, leakage guard, clean target, fence, encode, fit, holdout + CV, importances.
 
+    ``weight`` (S9) names a column: a row of weight 3 counts as three in the fits.  Below 30 rows there are
+    min(folds, rows) folds.
+
     ``metrics`` holds r2/mae (holdout, or CV below 30 rows), r2_cv/mae_cv/mape_cv
     (k-fold over all rows), train/test sizes, outliers removed and, with an
     eval source of at least 5 rows, eval_r2/eval_mae/eval_n (M9).
@@ -169,7 +129,7 @@ def train_model(
     kind = preset["kind"]
     train_df, eval_df = FL.source_split(df, train_source, eval_source)
     feats, leaked = FL.leakage_guard([f for f in features if f not in ("_source", "_file_type", "_sample_weight")], target)
-    base = FL.numeric_target(train_df.select(*dict.fromkeys([*keys, *feats, target])), target).persist()
+    base = FL.numeric_target(train_df.select(*dict.fromkeys([*keys, *feats, target, *([weight] if weight else [])])), target).persist()
     n0 = base.count()
     d = FL.outlier_fence(base, target, 3.0, min_rows=OUTLIER_MIN_ROWS) if remove_outliers else base
     d = d.persist()
@@ -181,31 +141,15 @@ def train_model(
     x = enc.transform(d, "fit")
     log = bool(use_log and y_min is not None and y_min > 0)
     yfit = F.log1p(F.col(target)) if log else F.col(target).cast("double")
-    x = x.withColumn("_yfit", yfit).withColumn("_fold", L.fold_column(list(keys), cv_folds))
-    if kind != "linear":
-        x = enc.assemble(x)
-    x = x.persist()
+    k = cv_folds if n >= HOLDOUT_MIN_ROWS else min(cv_folds, n)
+    wide = [*dict.fromkeys([*keys, target, *([weight] if weight else [])]), *enc.columns]
+    x = x.withColumn("_yfit", yfit).withColumn("_fold", L.fold_column(list(keys), k)).select(*wide, "_yfit", "_fold").persist()
     m = TrainedModel(model_type, target, feats, enc, log, train_source=train_source, leaked_removed=leaked)
 
-    def evaluate(train: DataFrame, test: DataFrame):
-        coefs, ml, stack = _fit_kind(kind, preset, train, enc.columns, max_depth, trees)
-        tmp = TrainedModel(model_type, target, feats, enc, log, coefs=coefs, ml_model=ml, stack=stack)
-        if kind == "linear":
-            p = L.predict(test, coefs, enc.columns, out="_raw")
-        elif kind in ("forest", "gbt"):
-            p = ml.copy().setPredictionCol("_raw").transform(test)
-        else:
-            p = _predict_raw(tmp, test.drop("features"), "_raw")
-        return tmp, p.withColumn("_pred", F.expm1("_raw") if log else F.col("_raw"))
-
-    def metrics_of(p: DataFrame) -> dict:
-        r = regression_metrics(p, target, "_pred").first()
-        return {"r2": r["r2"], "mae": r["mae"], "mape": r["mape"], "n": r["n_rows"]}
-
     if kind == "linear":
         # one moments pass: every leave-fold-out fit; the 80/20 holdout is fold 0 of the same folds,
         # so its model is the leave-fold-0-out fit and one scoring pass yields both metric sets
-        coefs = L.fit_linear(x, enc.columns, "_yfit", fold="_fold")
+        coefs = L.fit_linear(x, enc.columns, "_yfit", fold="_fold", weight=weight)
         oof = L.predict(x, coefs, enc.columns, fold="_fold", out="_raw")
         oof = oof.withColumn("_pred", F.expm1("_raw") if log else F.col("_raw"))
         both = _two_metrics(oof, target, F.col("_fold") == 0).first()
@@ -220,31 +164,34 @@ def train_model(
         else:
             hold, train_n, test_n = cv, n, n
             stored = coefs.where(F.col("_fold") == L.FULL)
-        m_fit = TrainedModel(model_type, target, feats, enc, log, coefs=stored.persist())
+        m.coefs = stored.persist()
+        m.coefs.count()
     else:
-        if n >= HOLDOUT_MIN_ROWS:
-            # 80/20 holdout; the stored model is the one fitted on the 80 %
-            m_fit, p = evaluate(x.where(F.col("_fold") != 0), x.where(F.col("_fold") == 0))
-            hold = metrics_of(p)
-            sample = [(round(float(r[0]), 2), round(float(r[1]), 2))
-                      for r in p.orderBy(*keys).limit(SAMPLE_ROWS).select(target, "_pred").collect()]  # <= 50 rows
-            test_n = hold["n"]
-            train_n = n - test_n
-        else:
-            m_fit, _ = evaluate(x, x.limit(0))
-            hold, train_n, test_n = None, n, n
-            sample = []
-        parts = []
-        for k in range(cv_folds):
-            _, pk = evaluate(x.where(F.col("_fold") != k), x.where(F.col("_fold") == k))
-            parts.append(pk.select(target, "_pred"))
-        oof = parts[0]
-        for pk in parts[1:]:
-            oof = oof.unionByName(pk)
-        cv = metrics_of(oof)
-        if hold is None:
-            hold = cv
-    m.coefs, m.ml_model, m.stack = m_fit.coefs, m_fit.ml_model, m_fit.stack
+        stored = 0 if n >= HOLDOUT_MIN_ROWS else -1  # the holdout's model is that of fold 0
+        edges = TR.bin_edges(x, enc.columns)
+        inner = F.pmod(F.xxhash64(F.lit("inner"), *enc.columns, "_yfit"), F.lit(preset["cv"])) if kind == "stacking" else None
+        rows = TR.binned_rows(x, enc.columns, "_yfit", list(keys), F.col("_fold"), inner, edges, F.col(weight) if weight else None)
+        folds = [*range(k), *([-1] if stored < 0 else [])]
+        slots, fits = zip(*TM.plan_fits(0, preset, range(len(enc.columns)), folds, trees, max_depth, keep=stored), strict=True)
+        grown = TR.grow_fits(rows, len(enc.columns), fits)
+        oof, meta = TM.out_of_fold(grown, slots, kind == "stacking")
+        back = F.expm1 if log else (lambda c: F.col(c))
+        oof = oof.select("fold", "row", back("y").alias(target), back("raw").alias("_pred"))
+        both = _two_metrics(oof, target, F.col("fold") == 0).first()
+        cv, hold = ({"r2": both[f"r2_{t}"], "mae": both[f"mae_{t}"], "mape": both[f"mape_{t}"], "n": both[f"n_{t}"]} for t in ("all", "sub"))
+        train_n, test_n = (n - hold["n"], hold["n"]) if stored == 0 else (n, n)
+        shown = rows.where("fold = 0") if stored == 0 else rows
+        first = shown.orderBy(*keys).limit(SAMPLE_ROWS).select("row", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])  # <= 50 rows
+        pairs = oof.join(F.broadcast(first), "row").orderBy(*[f"_k{i}" for i in range(len(keys))]).collect()
+        sample = [(round(float(r[target]), 2), round(float(r["_pred"]), 2)) for r in pairs]
+        hold = hold if stored == 0 else cv
+        parts = ("forest", "gbt") if kind == "stacking" else (kind,)
+        m.trees = {part: TM.kept_model(grown, slots, fits, stored, part, enc.columns, edges) for part in parts}
+        if meta is not None:
+            m.coefs = meta.where(F.col("fold") == stored).select("_fold", "_intercept", "_coef", "_n_train").persist()
+            m.coefs.count()
+    for used in (x, d, base):
+        used.unpersist()
     m.sample = sample
     m.metrics = {
         "r2": hold["r2"], "mae": hold["mae"], "r2_cv": cv["r2"], "mae_cv": cv["mae"], "mape_cv": cv["mape"],
@@ -307,16 +254,17 @@ def tree_spread(m: TrainedModel, df: DataFrame, out: str = "pred_cv") -> DataFra
         return df.withColumn(out, F.lit(0.0))
     if kind == "gbt":
         return df.withColumn(out, F.lit(None).cast("double"))
-    x = m.encoders.assemble(m.encoders.transform(df, "score"))
-    models = list(m.ml_model.trees) if kind == "forest" else list(m.stack["base"].values())
-    names = []
-    for i, t in enumerate(models):
-        c = f"_tp{i}"
-        x = t.copy().setPredictionCol(c).transform(x)
-        names.append(c)
-    vals = F.array(*[(F.expm1(c) if m.use_log else F.col(c)) for c in names])
-    n = float(len(names))
-    mean = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v * v) / n - mean * mean
+    x = m.encoders.transform(df, "score")
+    if kind == "forest":
+        own = m.trees["forest"]
+        x, n = TM.tree_sums(x, own, m.use_log), float(own.trees)
+        mean = F.col("_t2") / n
+        var = F.col("_t3") / n - mean * mean
+    else:
+        for part, own in m.trees.items():
+            x = TM.predict_trees(x, own, f"_b_{part}")
+        vals = [F.expm1(f"_b_{part}") if m.use_log else F.col(f"_b_{part}") for part in m.trees]
+        mean = (vals[0] + vals[1]) / 2
+        var = ((vals[0] - vals[1]) / 2) ** 2
     x = x.withColumn(out, F.sqrt(F.greatest(var, F.lit(0.0))) / (F.abs(mean) + 1))
-    return x.drop("features", *names, *m.encoders.columns)
+    return x.drop("_t1", "_t2", "_t3", *[f"_b_{part}" for part in m.trees], *m.encoders.columns)

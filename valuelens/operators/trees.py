@@ -234,7 +234,7 @@ def importances(nodes: Nodes, n_trees: int, p: int) -> np.ndarray:
     inner = nodes.feature >= 0
     share = np.bincount(nodes.tree[inner] * p + nodes.feature[inner], nodes.gain[inner], n_trees * p).reshape(n_trees, p)
     whole = share.sum(1, keepdims=True)
-    return np.divide(share, whole, out=np.zeros_like(share), where=whole > 0).sum(0)
+    return np.divide(share, whole, out=np.zeros(share.shape), where=whole > 0).sum(0)
 
 
 class Rows(NamedTuple):

@@ -2,7 +2,7 @@
 
 A model is a folder on the shared store: ``meta`` (one JSON row: id, name,
 type, target, features, metrics, encoder metadata), the encoder statistics
-tables and either the linear coefficients or the Spark ML model.
+tables, the linear coefficients (or stacking's meta model) and the nodes of its trees.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuelens.operators import encode as E
-from valuelens.operators.models import PRESETS, TrainedModel
+from valuelens.operators.models import TrainedModel
+from valuelens.operators.tree_model import TreeModel
 
 
 def _fs(spark: SparkSession, path: str):
@@ -35,13 +36,14 @@ def save_model(spark: SparkSession, root: str, m: TrainedModel, name: str = "",
         specs.append(d)
     if m.coefs is not None:
         m.coefs.write.mode("overwrite").parquet(f"{base}/coefs")
-    if m.ml_model is not None:
-        m.ml_model.write().overwrite().save(f"{base}/ml")
-    for part, fitted in [*m.stack.get("base", {}).items(), *([("meta", m.stack["meta"])] if m.stack else [])]:
-        fitted.write().overwrite().save(f"{base}/stack_{part}")
+    trees = {}
+    for part, own in m.trees.items():
+        own.nodes.write.mode("overwrite").parquet(f"{base}/trees_{part}")
+        trees[part] = {"columns": own.columns, "edges": own.edges, "boosted": own.boosted, "trees": own.trees, "importance": own.importance}
     meta = {"id": mid, "name": name or f"Model {mid}", "model_type": m.model_type, "target_col": m.target, "feature_cols": m.features,
             "use_log": m.use_log, "r2_cv": m.metrics.get("r2_cv"), "mae_cv": m.metrics.get("mae_cv"), "r2_score": m.metrics.get("r2"),
-            "train_source": m.train_source, "created": _dt.datetime.now().strftime("%Y-%m-%d %H:%M"), "specs": json.dumps(specs)}
+            "train_source": m.train_source, "created": _dt.datetime.now().strftime("%Y-%m-%d %H:%M"), "specs": json.dumps(specs),
+            "trees": json.dumps(trees), "version": 0}
     spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").json(f"{base}/meta")
     return mid
 
@@ -54,12 +56,18 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], "id string, name string")
-    return d.drop("specs").orderBy(F.desc("id"))
+    last = d.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct("*"), "version").alias("m"))
+    return last.select("m.*").drop("specs", "trees", "version").orderBy(F.desc("id"))
+
+
+def _meta(spark: SparkSession, base: str) -> dict:
+    """The last row written to a model's ``meta``."""
+    return spark.read.json(f"{base}/meta").orderBy(F.desc("version")).first().asDict()
 
 
 def load_model(spark: SparkSession, root: str, mid: str) -> TrainedModel:
     base = f"{root.rstrip('/')}/{mid}"
-    meta = spark.read.json(f"{base}/meta").first().asDict()
+    meta = _meta(spark, base)
     enc = E.Encoders(meta["target_col"])
     for i, d in enumerate(json.loads(meta["specs"])):
         s = E.FeatureSpec(**d)
@@ -72,30 +80,23 @@ def load_model(spark: SparkSession, root: str, mid: str) -> TrainedModel:
     fs, p = _fs(spark, f"{base}/coefs")
     if fs.exists(p):
         m.coefs = spark.read.parquet(f"{base}/coefs")
-    fs, p = _fs(spark, f"{base}/ml")
-    if fs.exists(p):
-        from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-
-        cls = RandomForestRegressionModel if PRESETS[m.model_type]["kind"] == "forest" else GBTRegressionModel
-        m.ml_model = cls.load(f"{base}/ml")
-    if PRESETS[m.model_type]["kind"] == "stacking":
-        from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
-
-        m.stack = {"base": {"rf": RandomForestRegressionModel.load(f"{base}/stack_rf"), "gb": GBTRegressionModel.load(f"{base}/stack_gb")},
-                   "meta": LinearRegressionModel.load(f"{base}/stack_meta")}
+    for part, own in json.loads(meta["trees"]).items():
+        m.trees[part] = TreeModel(nodes=spark.read.parquet(f"{base}/trees_{part}"), **own)
     m.metrics = {"r2_cv": meta.get("r2_cv"), "mae_cv": meta.get("mae_cv"), "r2": meta.get("r2_score")}
     return m
 
 
 def rename_model(spark: SparkSession, root: str, mid: str, new_name: str) -> None:
+    """Give a model another name: one more row in its ``meta``, of which the last one written counts.
+
+    The new row is a file that a reader sees whole or not at all, and nothing is deleted: a
+    crash at any point leaves the old name or the new one.
+    """
     base = f"{root.rstrip('/')}/{mid}"
-    meta = spark.read.json(f"{base}/meta").first().asDict()
+    meta = _meta(spark, base)
     meta["name"] = new_name.strip() or meta["name"]
-    tmp = f"{base}/meta_new"
-    spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").json(tmp)
-    fs, p = _fs(spark, f"{base}/meta")
-    fs.delete(p, True)
-    fs.rename(_fs(spark, tmp)[1], p)
+    meta["version"] = (meta.get("version") or 0) + 1
+    spark.createDataFrame([meta]).coalesce(1).write.mode("append").json(f"{base}/meta")
 
 
 def delete_model(spark: SparkSession, root: str, mid: str) -> None:
