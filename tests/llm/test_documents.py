@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from valuelens.llm import line_rules, partenum, recompress, suffix_match
 from valuelens.llm import _words as W
 
+from test_near import components_brute as near_brute
+
 SCHEMA = "doc_id long, text string, kept_row string, sig long, n_words string"
 
 
@@ -106,13 +108,12 @@ def components_brute(rows):
     for a in range(len(rows)):
         for b in range(a):
             n = len(sets[a] & sets[b])
-            same = rows[a][0] is not None and rows[a][0] == rows[b][0]
-            if (sets[a] and sets[b]) and (same or 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n)):
+            if (sets[a] and sets[b]) and 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n):
                 root[find(a)] = find(b)
     out = []
     for k, (i, _) in enumerate(rows):
         ids = [rows[m][0] for m in range(len(rows)) if find(m) == find(k) and rows[m][0] is not None]
-        out.append((i, len(sets[k]), min(ids) if ids and sets[k] else i))
+        out.append((i, len(sets[k]), min(ids, default=None) if sets[k] else i))
     return out
 
 
@@ -129,13 +130,42 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=repr) == sorted(components_brute(rows), key=repr)
 
 
+def test_null_ids_link_like_others(spark):
+    """Two documents that only a row without an id connects, and rows of one id with unlike texts."""
+    w = [f"w{k}" for k in range(100)]
+    near = [" ".join(w), " ".join([*w[:-3], "x1", "x2", "x3"]), " ".join([*w[:-6], "y1", "y2", "y3", "x1", "x2", "x3"])]
+    rows = [(9, near[0]), (None, near[1]), (4, near[2]), (None, "alone and nameless here"), (None, "alone and nameless here"), (7, "one text of seven here"), (7, "another one of seven there"), (None, near[1])]
+    assert [c for _, _, c in components_brute(rows)] == [4, 4, 4, None, None, 7, 7, 4]
+    got = partenum.jaccard_components(frame(spark, rows).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(components_brute(rows), key=repr)
+    kept = sorted(((r["doc_id"], r["text"]) for r in partenum.keep_first(frame(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(4, near[2]), (None, "alone and nameless here"), (7, "one text of seven here"), (7, "another one of seven there")], key=repr)
+
+
 def test_one_document_of_each_group(spark):
     rows = corpus(8, 28)
     got = [(r["doc_id"], r["text"]) for r in partenum.keep_first(frame(spark, rows)).collect()]
-    want = {c for i, _, c in components_brute(rows) if i is not None and c is not None}
-    assert sorted(i for i, _ in got if i is not None) == sorted(want)
-    assert sum(i is None for i, _ in got) == sum(i is None for i, _ in rows)
-    assert all((i, t) in rows for i, t in got)
+    sets = [frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else tuple(w) for w in ((t or "").lower().split() for _, t in rows)]
+    empty = [r for r, x in zip(rows, sets) if not x]
+    assert sorted((r for r in got if not (r[1] or "").split()), key=repr) == sorted(empty, key=repr)
+    full = [r for r in got if (r[1] or "").split()]
+    # one of each component: brute force by the sets of rows, whatever their ids
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and type(sets[a]) is type(sets[b]):
+                x, y = set(sets[a]), set(sets[b])
+                if (sets[a] == sets[b]) if isinstance(sets[a], tuple) else 10 * len(x & y) >= 9 * len(x | y):
+                    root = [root[b] if v == root[a] else v for v in root]
+    groups = collections.defaultdict(list)
+    for k, r in enumerate(rows):
+        if sets[k]:
+            groups[root[k]].append(r)
+    assert len(full) == len(groups)
+    for members in groups.values():
+        mine = [r for r in full if r in members]
+        ids = [i for i, _ in members if i is not None]
+        assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
 
 
 def test_signatures_lose_no_link():
@@ -251,7 +281,8 @@ def test_stages(spark, tmp_path):
         if name == "language_id":
             assert {i for i, _ in rows} - set(got) == {300, 301}
         elif name == "ngram_jaccard_join":
-            assert set(got) == {c for _, _, c in components_brute(rows)}
+            # the stage's own rule: five-word shingles, 4/5
+            assert set(got) == set(near_brute(rows, 5, 0.8))
         elif name == "substring_dedup":
             want = {i: (n, k, h) for i, n, k, h in repeats_brute(rows)}
             assert set(got) == set(want)

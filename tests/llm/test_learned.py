@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from valuelens.llm import byte_cnn, lm_automaton, pack, resample, toxicity, url_rules
+from valuelens.llm import _words as W
 from valuelens.llm.q_pack import vocabulary
 from valuelens.llm.queries import ORACLES, QUERIES
 
@@ -51,9 +52,24 @@ def test_chunks_encode_like_whole_texts():
     letters = list("abE é́.,;'s 1\n\t  <|>KKǰJ̌")
     texts = ["".join(r.choice(letters, 60)) for _ in range(300)]
     data = [t.encode() for t in texts]
-    blob, bounds = pack._part(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
-    got = pack.encode([blob[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], vocabulary())
-    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    blob, bounds = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    want = [np.array([*tok.encode(t, add_special_tokens=False).ids, pack.END_ID], "<u4") for t in texts]
+    chunks, hashers = pack.Chunks(vocabulary()), (W.Hasher(), W.Hasher(2))
+    for again in range(2):  # the second time from what is kept
+        ids, begin = pack.encode(blob, bounds, chunks, hashers)
+        assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [w.tolist() for w in want]
+    assert pack.encode(blob, bounds, chunks, (flat := Flat(), flat))[0].tolist() == ids.tolist()
+
+
+class Flat:
+    """A hasher that tells no words apart but by its second use."""
+
+    def __init__(self):
+        self.used = 0
+
+    def words(self, data, starts, ends):
+        self.used += 1
+        return np.zeros(len(starts), np.uint64) if self.used == 1 else W.Hasher(3).words(data, starts, ends)
 
 
 def test_configuration_program():

@@ -1,6 +1,7 @@
 """The near-duplicate stage against brute force of its own rule: five-word shingles, 4/5 and more."""
 
 import numpy as np
+import pytest
 
 from valuelens.llm import partenum, stages
 
@@ -65,3 +66,26 @@ def test_sets_without_a_common_element_share_no_signature():
     sig, who = partenum.signatures(sets, partenum.Rule(5, 4, 5))
     pairs = np.unique(np.stack([sig, who.astype(np.uint64)], 1), axis=0)
     assert len(np.unique(pairs[:, 0])) == len(pairs)
+
+
+@pytest.mark.parametrize(("rule", "most"), [(partenum.Rule(5, 4, 5), 1.5), (partenum.OP5, 1.5)])
+def test_rows_of_signatures_follow_the_shingles(rule, most):
+    """Signature rows per shingle are as many for long documents as for short ones."""
+    r = np.random.default_rng(4)
+    per = {}
+    for n in (200, 2_000, 20_000):
+        sets = [np.unique(r.integers(0, 2**63, n + int(k), dtype=np.uint64)) for k in r.integers(0, n // 3, 60 if n < 20_000 else 12)]
+        per[n] = len(partenum.signatures(sets, rule)[0]) / sum(map(len, sets))
+    assert max(per.values()) <= most * per[200] and per[200] < 1.5
+
+
+def test_long_sets_lose_no_link():
+    r = np.random.default_rng(6)
+    for rule in (partenum.Rule(5, 4, 5), partenum.OP5):
+        for n in (1_500, 6_000, 20_000):
+            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            most = n * (rule.den - rule.num) // (rule.den + rule.num)
+            b = np.unique(np.concatenate([a[r.permutation(n)[most:]], r.integers(0, 2**63, most, dtype=np.uint64)]))
+            assert partenum.linked(a, b, rule)
+            sig, who = partenum.signatures([a, b], rule)
+            assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())

@@ -8,8 +8,11 @@ domain is cut by hash into first-level parts, each into second-level parts; with
 differences some first-level part holds at most ``K2`` of them, so among the subsets of
 its ``N2`` second-level parts that leave out ``K2`` one is untouched: each such subset is a
 signature, and linked sets share one.  No link is lost.  A signature of no element at all
-would tie every set that has it: it is split by the elements of the set's prefix, the least
-ones by hash, of which linked sets share one too.
+would tie every set that has it, so it is not sent: a band has ``slack`` more parts than it
+takes, so linked sets share more than ``slack`` signatures, and one that is not bare if either set has
+at most ``slack`` bare ones.  Only the few sets with more split these by the
+elements of their prefix, the least ones by hash, of which linked sets share one too.  The
+slack of a band is the one that makes its rows fewest.
 
 Work per signature is kept linear: a signature's members are tied to one centre (first to
 one of their own batch, the centres then to one of all batches), not to each other, and
@@ -17,21 +20,25 @@ the ties' components are the candidate groups.  All links lie inside them.  A gr
 meet in one task, which verifies candidates on the whole sets of 64-bit shingle hashes and
 skips what is already connected; only links that connect come out, at most one per member.
 Groups of more than ``BLOCK`` elements are cut into blocks that meet two by two, as far as
-their bands are equal or neighbours.  Equal sets are one node from the start.
+their bands are equal or neighbours.  Equal sets are one node from the start, and a node's
+number says nothing about its documents' ids.
 
-Scale: signatures are one shuffle of about a quarter as many rows as shingles at 9/10 and
-more at 4/5, combined per batch before it, so a signature that a third of all documents share reaches the
+Scale: signatures are one shuffle of rows in proportion to the shingles, whatever the texts' lengths,
+combined per batch before it, so a signature that a third of all documents share reaches the
 shuffle once per batch.  Sets travel once, and only those that share a signature.
 
 Cases: null text and texts without words have the empty set, linked with nothing; texts of
-fewer words than a shingle have one shingle, the whole sequence; rows that share a doc_id are one
-node; a null doc_id is never a component's name: its row gets the component of its set, or
-null; an empty table gives none; other columns are ignored.
+fewer words than a shingle have one shingle, the whole sequence; rows are linked by their
+sets alone, so rows of one id with other texts are documents of their own; a row with a null
+doc_id links others like any row, but is never a component's name: without a named
+one its component is null; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from typing import NamedTuple
 
@@ -57,7 +64,7 @@ class Rule(NamedTuple):
 OP5 = Rule()
 N2, K2 = 2, 1
 BLOCK = 1_000_000
-MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_IDS = 1_000_000
 _SEEDS = tuple(W.mix(np.arange(11, 16, dtype=np.uint64)))
 #: centres are the least nodes under one of four orders, picked by the signature
 _ORDERS = W.mix(np.arange(101, 105, dtype=np.uint64))
@@ -94,6 +101,37 @@ def differences(upper: np.ndarray, rule: Rule = OP5) -> np.ndarray:
     return both * (rule.den - rule.num) // (rule.den + rule.num)
 
 
+def _at_least(k: int, mean: float) -> float:
+    """Chance that a Poisson number of this mean is ``k`` or more (normal beyond 200)."""
+    if k <= 0:
+        return 1.0
+    if mean > 200:
+        return 0.5 * math.erfc((k - 0.5 - mean) / math.sqrt(2 * mean))
+    term = total = math.exp(-mean)
+    for i in range(1, k):
+        term *= mean / i
+        total += term
+    return max(0.0, 1.0 - total)
+
+
+@lru_cache(maxsize=4096)
+def slack(least: int, k: int, rule: Rule) -> int:
+    """How many parts more than needed make the rows of a band fewest: its sets have ``least`` elements or more and ``k`` differences."""
+    prefix = least - -(-rule.num * least // rule.den) + 1
+
+    def rows(extra: int) -> float:
+        cells = N2 * (k // (K2 + 1) + 1 + extra)
+        bare = cells * math.exp(-least / cells)
+        return cells + prefix * bare * _at_least(extra, bare)
+
+    best, step = 0, 1
+    while step <= k + 8:  # a grid that grows by an eighth
+        if rows(step) < rows(best):
+            best = step
+        step += 1 + step // 8
+    return best
+
+
 def signatures(sets: list[np.ndarray], rule: Rule = OP5) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set index) of all sets; equal sets need none and sizes with k = 0 have none."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -112,13 +150,18 @@ def signatures(sets: list[np.ndarray], rule: Rule = OP5) -> tuple[np.ndarray, np
         key = band - below
         k = np.where(key > 0, differences(u[np.maximum(key, 0)], rule), 0)
         use = (size > 0) & (key > 0) & (k > 0) & ((below == 0) | (rule.num * size <= rule.den * u[np.maximum(key, 0)]))
-        n1 = np.where(use, k // (K2 + 1) + 1, 0)
+        spare = np.zeros(len(size), np.int64)
+        for b in np.unique(key[use]).tolist():
+            spare[key == b] = slack(int(u[b - 1]) + 1, int(differences(u[b], rule)), rule)
+        n1 = np.where(use, k // (K2 + 1) + 1 + spare, 0)
         base = np.concatenate([[0], np.cumsum(n1 * N2)])
         on = use[owner]
         d = owner[on]
         cell = base[d] + (place[on] % (n1[d] * N2).astype(np.uint64)).astype(np.int64)
         sums = [np.bincount(cell, w[on], base[-1]) for w in (low, high)]
         filled = np.bincount(cell, minlength=base[-1]).reshape(-1, N2)
+        empty = np.bincount(np.repeat(np.arange(len(sets)), n1), (filled == 0).sum(axis=1), len(sets))
+        beyond = empty * math.comb(N2 - 1, N2 - K2 - 1) > spare  # bare signatures are at most so many
         with np.errstate(over="ignore"):
             digest = W.mix(sums[0].astype(np.uint64) + (sums[1].astype(np.uint64) << np.uint64(32)) + _SEEDS[4])
             digest = digest.reshape(-1, N2)  # first-level part x second-level part
@@ -131,10 +174,11 @@ def signatures(sets: list[np.ndarray], rule: Rule = OP5) -> tuple[np.ndarray, np
                 some = filled[:, subset].any(axis=1)
                 sig.append(x[some])
                 who.append(part_owner[some])
-                bare = part_owner[~some]
+                split = ~some & beyond[part_owner]
+                bare = part_owner[split]
                 n = prefix[bare]
                 at = np.repeat(begin[bare] - (n.cumsum() - n), n) + np.arange(int(n.sum()))
-                sig.append(W.mix(np.repeat(x[~some], n) ^ values[at]))
+                sig.append(W.mix(np.repeat(x[split], n) ^ values[at]))
                 who.append(np.repeat(bare, n))
     return np.concatenate(sig), np.concatenate(who)
 
@@ -151,8 +195,8 @@ def _sizes(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
         size = np.array([len(s) for s in sets], np.int64)
         band = np.searchsorted(bands(int(size.max()), rule), size)
         yield pa.record_batch(
-            [rows.column(0), pa.array(size), pa.array(band), pa.array(_digests(sets, 0)), pa.array(_digests(sets, 1))],
-            names=["doc_id", "n_shingles", "band", "d1", "d2"],
+            [rows.column(0), rows.column(1), pa.array(size), pa.array(band), pa.array(_digests(sets, 0)), pa.array(_digests(sets, 1))],
+            names=["doc_id", "key", "n_shingles", "band", "d1", "d2"],
         )
 
 
@@ -204,16 +248,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """(node, band, shingles): repeated rows of a slice once."""
     hasher = W.Hasher()
     for rows, data, bounds in W.slices(batches):
         sets = document_sets(data, bounds, hasher, rule)
-        size = np.array([len(s) for s in sets], np.int64)
-        band = np.searchsorted(bands(int(size.max()), rule), size)
-        yield pa.record_batch([rows.column(0), pa.array(band), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "band", "shingles"])
+        node = rows.column(0).to_numpy(zero_copy_only=False)
+        once = np.unique(node, return_index=True)[1]
+        yield pa.record_batch([pa.array(node[once]), rows.column(1).take(pa.array(once)), pa.array([sets[k].tobytes() for k in once], pa.binary())], names=["node", "band", "shingles"])
 
 
 def _inside(key: tuple, t: pa.Table, rule: Rule) -> pa.Table:
     """Links that connect members of the left side with members of the right one."""
+    t = t.take(pa.array(np.unique(t.column("node").to_numpy(), return_index=True)[1]))  # repeated rows came from several slices
     node, left, right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "is_left", "is_right"))
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
     size = np.array([len(s) for s in sets])
@@ -283,61 +329,80 @@ def _meetings(groups: DataFrame) -> DataFrame:
     return one.union(each("own", 0, True)).union(each("above", 1, True)).union(each("below", 1, False))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
-    """doc_id, n_shingles, component_id; documents link at the rule's Jaccard similarity or more."""
+class _Found(NamedTuple):
+    rows: DataFrame  # doc_id, key, n_shingles, band, d1, d2 of each document
+    sets: DataFrame  # d1, d2, component: the distinct sets that are not empty
+
+
+def _find(docs: DataFrame, rule: Rule) -> _Found:
+    """Sets of all rows and the components of the distinct ones; ``key`` is a digest of a row's text."""
     spark = docs.sparkSession
     ship_package(spark)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = cut(given.mapInArrow(lambda b: _sizes(b, rule), "doc_id long, n_shingles long, band long, d1 long, d2 long"), "sets")
-    # equal sets are one node, named by its smallest id
-    reps = cut(
-        sizes.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("band").alias("band")), "reps"
-    )
-    # rows that share an id are one node too
-    shared = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x != y")
-    same_id = sizes.join(shared.select("doc_id"), "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    signed = given.where("text is not null").mapInArrow(lambda b: _signed(b, rule), "sig long, node long, centre long")
+    text = F.col("text").cast("string")
+    key = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
+    rows = cut(given.mapInArrow(lambda b: _sizes(b, rule), "doc_id long, key binary, n_shingles long, band long, d1 long, d2 long"), "sets")
+    # equal sets are one node; one of its rows stands for it
+    reps = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.max("n_shingles").alias("n"), F.max("band").alias("band"))
+    reps = cut(reps.select("d1", "d2", "rep", "n", "band", F.monotonically_increasing_id().alias("node")), "reps")
+
+    signed = given.where("text is not null").select("doc_id", "text").mapInArrow(lambda b: _signed(b, rule), "sig long, node long, centre long")
     to = F.when(F.col("centre").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "node"))
     ties = signed.repartition(to).sortWithinPartitions("sig", "node").mapInArrow(_runs, "node long, centre long")
     ties = cut(ties.distinct(), "ties")
 
-    by_node = reps.where("rep is not null").select(F.col("d1").alias("node"), "rep")
+    by_digest = reps.select("d1", F.col("node").alias("rep"))
     pairs = (
-        ties.join(by_node, "node")
+        ties.join(by_digest, F.col("node") == F.col("d1"))
         .select(F.col("rep").alias("a"), F.col("centre").alias("node"))
-        .join(by_node, "node")
+        .join(by_digest, F.col("node") == F.col("d1"))
         .select("a", F.col("rep").alias("b"))
     )
     groups = components(pairs).select(F.col("component").alias("group"), "node")
-    sized = reps.where("rep is not null").groupBy(F.col("rep").alias("node"), "band").agg(F.max("n").alias("n"))
-    groups = cut(groups.join(sized, "node"), "groups")
+    groups = cut(groups.join(reps.select("node", "band", "n", "rep"), "node"), "groups")
+    wanted = groups.select(F.col("rep.doc_id").alias("w_id"), F.col("rep.key").alias("w_key"), "node", "band")
     few = groups.count() <= MAX_BROADCAST_IDS
-    wanted = groups.select(F.col("node").alias("wanted")).distinct()
-    sets = given.join(F.broadcast(wanted) if few else wanted, given["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(lambda b: _blobs(b, rule), "node long, band long, shingles binary")
-    met = _meetings(groups).join(sets, ["node", "band"]).groupBy("meeting").applyInArrow(lambda key, t: _inside(key, t, rule), "a long, b long")
-    named = components(met.union(same_id))
-    by_set = reps.join(named, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    own = sizes.where("n_shingles > 0").join(by_set, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return own.union(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    met = given.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")))
+    sets = met.select("node", "band", "text").mapInArrow(lambda b: _blobs(b, rule), "node long, band long, shingles binary")
+    links = _meetings(groups.drop("rep")).join(sets, ["node", "band"]).groupBy("meeting").applyInArrow(lambda key, t: _inside(key, t, rule), "a long, b long")
+    linked_nodes = components(links).select(F.col("node").alias("l_node"), "component")
+    named = reps.join(linked_nodes, F.col("node") == F.col("l_node"), "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    return _Found(rows, cut(named, "components"))
+
+
+def jaccard_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
+    """doc_id, n_shingles, component_id; documents link at the rule's Jaccard similarity or more."""
+    rows, sets = _find(docs, rule)
+    of_set = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
+    names = sets.join(of_set, ["d1", "d2"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = sets.join(names, "component").select("d1", "d2", "component_id")
+    own = rows.where("n_shingles > 0").join(by_set, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
+    return own.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
-    """``docs`` (all columns) with one document of each component: the one that gives it its name.
+    """``docs`` (all columns) with one row of each component, and all rows whose set is empty.
 
-    Rows with a null id stay.  Of rows that share an id the one with the least text hash stays.
+    It is the row of the smallest id (a null one only if there is no other), of several the
+    one of the least text digest, and of rows equal in both the least in all columns.
     """
-    named = jaccard_components(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = cut(named, "kept")
-    few = named.count() <= MAX_BROADCAST_IDS
-    kept = docs.join(F.broadcast(named) if few else named, docs["doc_id"] == named["kept_id"], "left_semi")
-    shared = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared_id"))
-    shared = cut(shared, "shared")
-    n = shared.count()
-    if n:
-        side = F.broadcast(shared) if n <= MAX_BROADCAST_IDS else shared
-        alone = kept.join(side, kept["doc_id"] == side["shared_id"], "left_anti")
-        several = kept.join(side, kept["doc_id"] == side["shared_id"], "left_semi")
-        least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-        kept = alone.union(several.groupBy(F.col("doc_id").alias("own_id")).agg(least.alias("row")).select("row.*"))
-    return kept.union(docs.where("doc_id is null"))
+    rows, sets = _find(docs, rule)
+    of_set = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first"))
+    chosen = sets.join(of_set, ["d1", "d2"]).groupBy("component").agg(F.min("first").alias("first"))
+    chosen = cut(chosen.select(F.col("first.doc_id").alias("c_id"), F.col("first.key").alias("c_key"), F.lit(1).alias("c_one")), "chosen")
+    empty = rows.where("n_shingles = 0").select(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key"), F.lit(0).alias("c_one")).distinct()
+    side = chosen.union(empty)
+    n = side.count()
+    text = F.col("text").cast("string")
+    key = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("r_id"), key.alias("r_key"))
+    kept = held.join(F.broadcast(side) if n <= MAX_BROADCAST_IDS else side, F.col("r_id").eqNullSafe(F.col("c_id")) & (F.col("r_key") == F.col("c_key")))
+    # rows that repeat id and text: only one of them stays
+    again = cut(rows.where("n_shingles > 0").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key")), "again")
+    n = again.count()
+    if not n:
+        return kept.select("row.*")
+    side = F.broadcast(again) if n <= MAX_BROADCAST_IDS else again
+    on = F.col("r_id").eqNullSafe(F.col("a_id")) & (F.col("r_key") == F.col("a_key"))
+    once = kept.join(side, on, "left_semi").groupBy("r_id", "r_key").agg(F.min("row").alias("row"))
+    return kept.join(side, on, "left_anti").select("row.*").union(once.select("row.*"))
