@@ -7,17 +7,19 @@ States and arcs.  A state is a seen context of up to ``ORDER - 1`` symbols.  Eve
 an arc that carries its log10 probability; a context's failure arc carries its smoothing weight
 (Witten-Bell) and leads to the context without its first symbol, in the end to equal shares
 of all symbols.  A text is read once from left to right; as the state before a symbol is
-its ``ORDER - 1`` predecessors, the states of a whole batch are laid out side by side and
-arcs and failure arcs are followed for all of them at once.  The weights of a state add up
+its ``ORDER - 1`` predecessors, the states of a whole batch are laid out side by side, and
+arcs (by a hash table) and failure arcs (once per distinct n-gram) are followed for all of them at once.  The weights of a state add up
 to one, so scores are log10 probabilities over all texts.
 
 Scale.  n-grams are counted per task before the shuffle.  The automaton is broadcast in
 blocks of about ``BLOCK_ARCS`` arcs, split by the two symbols before an arc's last; each
-block adds its part in a chain of maps, so any number of n-grams is handled alike.  For the
+block adds its part to scores that are written before the next one, so any number of n-grams is
+handled alike and the driver and a task hold one block.  For the
 base score a map task turns each batch of texts into token numbers local to that batch and
 asks for the counts of its distinct words, with its own training counts.  One shuffle by
 word adds them up, one by batch brings them back: what moves is a row per distinct word and
-batch, not one per token, and no vocabulary is broadcast.
+batch, not one per token, and no vocabulary is broadcast.  The commonest word has one row
+per batch, of the batch's some 200,000, so no word outweighs a task's share of the rows.
 
 Cases: null text is empty: one token, the end; a null id is not held out; without training
 texts all symbols have equal shares; words of any length and bytes are handled; repeated
@@ -45,33 +47,36 @@ ROWS = "kind int, batch long, number int, word binary, n long, doc_id long, held
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol strings of a batch of texts side by side, and where each text begins."""
-    size = ends - starts
-    docs = len(first) - 1
-    doc = np.repeat(np.arange(docs), np.diff(first))
-    begin = np.concatenate([[0], (size + 1).cumsum()]).astype(np.int64)
-    at = begin[:-1] + doc  # one end symbol per text before
-    out = np.full(int(begin[-1]) + docs, SPACE, np.int16)
-    place = np.repeat(at - starts, size)
-    inside = np.repeat(starts - (size.cumsum() - size), size) + np.arange(int(size.sum()))
-    out[place + inside] = data[inside]
-    text_begin = begin[first] + np.arange(docs + 1)
-    out[text_begin[1:] - 1] = END
-    return out, text_begin
+def symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol strings of a batch of (lowered) texts side by side, and where each text begins."""
+    word = W.PLAIN[data]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # the first white space behind a word
+    starts = bounds[:-1][bounds[:-1] < len(data)]
+    keep[starts] = word[starts]
+    kept = np.concatenate([[0], keep.cumsum()])[bounds]
+    some = np.flatnonzero(np.diff(bounds))
+    bare = np.zeros(len(bounds) - 1, bool)  # texts that end in a word: its space is still missing
+    bare[some] = word[bounds[some + 1] - 1]
+    more = np.concatenate([[0], (1 + bare).cumsum()])
+    begin = kept + more
+    out = np.full(int(begin[-1]), SPACE, np.int16)
+    out[np.arange(int(kept[-1])) + np.repeat(more[:-1], np.diff(kept))] = np.where(word, data, SPACE)[keep]
+    out[begin[1:] - 1] = END
+    return out, begin
 
 
 def grams(s: np.ndarray, text_begin: np.ndarray) -> np.ndarray:
     """Code of the ORDER-gram that ends at each symbol; begin symbols stand before each text."""
-    n = len(s)
-    code = np.zeros(n, np.int64)
-    padded = np.full((ORDER - 1) * (len(text_begin) - 1) + n, BEGIN, np.int64)
-    shift = np.repeat(np.arange(1, len(text_begin)) * (ORDER - 1), np.diff(text_begin))
-    place = np.arange(n) + shift
+    n, pad = len(s), ORDER - 1
+    padded = np.full(pad * (len(text_begin) - 1) + n, BEGIN, np.int64)
+    place = np.arange(n) + np.repeat(np.arange(1, len(text_begin)) * pad, np.diff(text_begin))
     padded[place] = s
-    for j in range(ORDER - 1, -1, -1):
-        code = code * SYMBOLS + padded[place - j]
-    return code
+    code = np.zeros(max(0, len(padded) - pad), np.int64)
+    for j in range(pad, -1, -1):
+        code *= SYMBOLS
+        code += padded[pad - j : len(padded) - j]
+    return code[place - pad]
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for _, raw, bounds in W.slices(batches, limit=SLICE_BYTES):
         data = W.LOWER[raw]
-        parts.append(np.unique(grams(*symbols(data, *W.spans(data, bounds, W.PLAIN))), return_counts=True))
+        parts.append(np.unique(grams(*symbols(data, bounds)), return_counts=True))
         if sum(len(p[0]) for p in parts) > FLUSH_GRAMS:
             parts[:] = [_merge(parts)]
             if len(parts[0][0]) > FLUSH_GRAMS // 2:
@@ -106,6 +111,43 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
+class Table:
+    """Values by code in open addressing: a look-up costs a probe or two, not a search."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray) -> None:
+        bits = max(4, (2 * len(code)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.code, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        todo, slot = np.arange(len(code)), self._slot(code)
+        while len(todo):
+            free = todo[self.code[slot[todo]] < 0]
+            self.code[slot[free]] = code[free]  # one of those that want a place gets it
+            own = self.code[slot[todo]] == code[todo]
+            self.value[slot[todo[own]]] = value[todo[own]]
+            todo = todo[~own]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, value)."""
+        slot = self._slot(code)
+        at = self.code[slot]
+        known = at == code
+        value = np.where(known, self.value[slot], 0.0)
+        todo = np.flatnonzero(~known & (at >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            at = self.code[slot[todo]]
+            hit = at == code[todo]
+            known[todo[hit]] = True
+            value[todo[hit]] = self.value[slot[todo[hit]]]
+            todo = todo[~hit & (at >= 0)]
+        return known, value
+
+
 def block_of(code: np.ndarray, blocks: int) -> np.ndarray:
     """Block of an n-gram: by the two symbols before its last."""
     return code // SYMBOLS % SYMBOLS**2 % blocks
@@ -148,18 +190,29 @@ class Automaton:
         out[todo] -= np.log10(SYMBOLS)  # below the last failure arc: equal shares
         return out
 
-
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """This block's part of the log10 probability of each (lowered) text."""
-        s, begin = symbols(data, *W.spans(data, bounds, W.PLAIN))
-        sums = np.concatenate([[0.0], self.weights(grams(s, begin)).cumsum()])
+    def table(self) -> Table:
+        """The arcs of full order by code."""
+        return Table(*self.arcs[-1])
+
+    def scores(self, data: np.ndarray, bounds: np.ndarray, table: Table) -> np.ndarray:
+        """This block's part of the log10 probability of each (lowered) text.
+
+        Arcs of full order are looked up for each symbol; failure arcs are followed once per distinct n-gram.
+        """
+        s, begin = symbols(data, bounds)
+        code = grams(s, begin)
+        known, weight = table.find(code)
+        rest, at = np.unique(code[~known], return_inverse=True)
+        weight[~known] = self.weights(rest)[at]
+        sums = np.concatenate([[0.0], weight.cumsum()])
         return sums[begin[1:]] - sums[begin[:-1]]
 
 
 def _traverse(automaton: Automaton):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = automaton.table()
         for rows, raw, bounds in W.slices(batches, limit=SLICE_BYTES):
-            part = automaton.scores(W.LOWER[raw], bounds)
+            part = automaton.scores(W.LOWER[raw], bounds, table)
             yield pa.record_batch([*rows.columns[:3], pa.array(part + rows.column(3).to_numpy())], names=rows.schema.names)
 
     return run
@@ -188,8 +241,9 @@ def _number(automaton: Automaton):
 
 def _numbered(automaton: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, other, base = W.Hasher(), W.Hasher(2), TaskContext.get().partitionId() << 24
+    table = automaton.table()
     for i, (rows, raw, bounds) in enumerate(W.slices(batches, limit=BATCH_BYTES)):
-        part = np.concatenate([automaton.scores(W.LOWER[r], b) for _, r, b in W.slices(iter([rows]), limit=SLICE_BYTES)])
+        part = np.concatenate([automaton.scores(W.LOWER[r], b, table) for _, r, b in W.slices(iter([rows]), limit=SLICE_BYTES)])
         data = W.LOWER[raw]
         starts, ends, first = W.spans(data, bounds, W.PLAIN)
         number, words = _unique_words(data, starts, ends, hasher, other)
@@ -269,7 +323,8 @@ def score(docs: DataFrame) -> DataFrame:
     for k in range(blocks):
         own = arcs.where(F.expr(f"(code div {SYMBOLS}) % {SYMBOLS**2} % {blocks} = {k}"))  # about BLOCK_ARCS rows
         automaton = Automaton(*_arrays(own), low, k, blocks)
-        scored = scored.mapInArrow(_traverse(automaton), given.schema) if k < blocks - 1 else scored.mapInArrow(_number(automaton), ROWS)
+        # between blocks the scores are written, so that only one block is held at a time
+        scored = cut(scored.mapInArrow(_traverse(automaton), given.schema), "scores") if k < blocks - 1 else scored.mapInArrow(_number(automaton), ROWS)
 
     numbered = cut(scored, "tokens")  # each kind leaves the other's columns null, which take no space
     asked = numbered.where("kind = 0").select("batch", "number", "word", "n")
