@@ -1,85 +1,34 @@
 """CSV sources and sinks.
 
-Delimiter sniffing reads only the first line of the file through Spark
-(``limit(1)``); the encoding fallback looks for U+FFFD in all decoded values
-(Spark replaces undecodable bytes instead of failing).
-Everything is read as strings; typing is C1's data-driven decision.
+Files are read by byte ranges whatever is inside their quotes (``csv_scan``): delimiter and encoding come from
+the same first scan.  Everything is read as strings; typing is C1's data-driven decision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import IllegalArgumentException, SparkRuntimeException, UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuelens.session import cut
+from valuelens.sources.csv_scan import read_files
 
 # Fixed values from the reference: encoding fallback chains.
 PRIMARY_ENCODINGS = ("utf-8", "utf-8-sig", "cp1251", "latin-1")
 EXTRA_ENCODINGS = ("utf-8", "latin-1")
-_JAVA_CHARSET = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "windows-1251", "latin-1": "ISO-8859-1"}
-DELIMITERS = (",", ";", "\t", "|")
-
-
-def sniff_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] = DELIMITERS) -> str:
-    """The candidate occurring most often in the header line (',' on ties/none)."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    counts = [(line.count(c), -i, c) for i, c in enumerate(candidates)]
-    best = max(counts)
-    return best[2] if best[0] > 0 else ","
-
-
-def _read(spark: SparkSession, path: str, sep: str, charset: str) -> DataFrame:
-    return (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("encoding", charset).option("inferSchema", False).csv(path))
-
-
-def _has_replacement(df: DataFrame) -> bool:
-    """Whether any value of the whole file, or a column name, holds U+FFFD."""
-    if any("�" in c for c in df.columns):
-        return True
-    if not df.columns:
-        return False
-    hit = F.lit(False)
-    for c in df.columns:
-        hit = hit | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
-    return bool(df.agg(F.max(hit)).first()[0])
 
 
 def read_csv(spark: SparkSession, path: str, *, sep: str | None = None, encodings: Sequence[str] = PRIMARY_ENCODINGS) -> tuple[DataFrame, str]:
-    """S1+S2: read a CSV with sniffed delimiter and the first encoding that decodes cleanly.
+    """S1+S2: read a CSV (a file, or a folder of files) with sniffed delimiter and the first encoding that decodes cleanly.
 
-    Returns (all-string DataFrame, encoding used).  windows-1251 needs Spark's
-    legacy charset switch: it is on only while that attempt is read into a shared
-    table, and has its old value afterwards.
+    Returns (all-string DataFrame, encoding used; of several files the first one's).
     """
-    sep = sep or sniff_delimiter(spark, path)
-    last = None
-    for enc in encodings:
-        charset = _JAVA_CHARSET.get(enc, enc)
-        legacy = charset not in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16")
-        before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
-        try:
-            if legacy:
-                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-            df = _read(spark, path, sep, charset)
-            df = cut(df, "csv") if legacy else df
-            last = (df, enc)
-            if not _has_replacement(df):
-                return df, enc
-        except (IllegalArgumentException, UnsupportedOperationException, SparkRuntimeException):
-            continue  # this charset cannot be used
-        finally:
-            if legacy and before is None:
-                spark.conf.unset("spark.sql.legacy.javaCharsets")
-            elif legacy:
-                spark.conf.set("spark.sql.legacy.javaCharsets", before)
-    if last is None:
+    tables, _ = read_files(spark, path, "cp1251" if "cp1251" in encodings else "latin-1", sep=sep, strict=False)
+    if not tables:
         raise ValueError(f"could not parse {path}")
-    return last
+    frames = [t.rows.select(*[f"`{n}`" for n in t.names]) for t in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), tables[0].files[0].encoding
 
 
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", encoding: str = "UTF-8", mode: str = "overwrite") -> None:
