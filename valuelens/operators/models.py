@@ -243,28 +243,35 @@ def holdout_linear(df: DataFrame, xcols: Sequence[str], y: str, keys: Sequence[s
     return m.select(F.col("n_rows").alias("n_test"), F.lit(log).alias("use_log"), "r2", "mae", "mape")
 
 
-def tree_spread(m: TrainedModel, df: DataFrame, out: str = "pred_cv") -> DataFrame:
-    """V3: per-row population std / (|mean| + 1) of the individual tree predictions.
+def score_with_spread(m: TrainedModel, df: DataFrame, out: str = "prediction", spread: str = "pred_cv") -> DataFrame:
+    """M11 and V3 in one pass over the trees: the prediction, and per row the population std / (|mean| + 1) of
+    the single trees' prices.
 
     Forest: over its trees (expm1 per tree for a log target); stacking: over the
     base models; linear: 0 (always 'stable'); boosting: NULL ('unstable').
     """
     kind = PRESETS[m.model_type]["kind"]
-    if kind == "linear":
-        return df.withColumn(out, F.lit(0.0))
-    if kind == "gbt":
-        return df.withColumn(out, F.lit(None).cast("double"))
+    if kind in ("linear", "gbt"):
+        return m.predict(df, out=out).withColumn(spread, F.lit(0.0 if kind == "linear" else None).cast("double")).drop(*m.encoders.columns)
+    price = F.expm1 if m.use_log else F.col
     x = m.encoders.transform(df, "score")
     if kind == "forest":
         own = m.trees["forest"]
         x, n = TM.tree_sums(x, own, m.use_log), float(own.trees)
+        x = x.withColumn("_raw", F.col("_t1") / n)
         mean = F.col("_t2") / n
         var = F.col("_t3") / n - mean * mean
     else:
         for part, own in m.trees.items():
             x = TM.predict_trees(x, own, f"_b_{part}")
-        vals = [F.expm1(f"_b_{part}") if m.use_log else F.col(f"_b_{part}") for part in m.trees]
+        x = L.predict(x, m.coefs, [f"_b_{part}" for part in m.trees], out="_raw")
+        vals = [price(f"_b_{part}") for part in m.trees]
         mean = (vals[0] + vals[1]) / 2
         var = ((vals[0] - vals[1]) / 2) ** 2
-    x = x.withColumn(out, F.sqrt(F.greatest(var, F.lit(0.0))) / (F.abs(mean) + 1))
-    return x.drop("_t1", "_t2", "_t3", *[f"_b_{part}" for part in m.trees], *m.encoders.columns)
+    x = x.withColumn(out, price("_raw")).withColumn(spread, F.sqrt(F.greatest(var, F.lit(0.0))) / (F.abs(mean) + 1))
+    return x.drop("_raw", "_t1", "_t2", "_t3", *[f"_b_{part}" for part in m.trees], *m.encoders.columns)
+
+
+def tree_spread(m: TrainedModel, df: DataFrame, out: str = "pred_cv") -> DataFrame:
+    """V3: ``df`` and the spread of ``score_with_spread``."""
+    return score_with_spread(m, df, "_unused", out).drop("_unused")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from valuelens.functions.exprs import rnd, sql_rnd
 from valuelens.operators import models as MD
+from valuelens.operators import segment_fit as SF
 from valuelens.operators import segments as SG
 from valuelens.operators.features import add_derived_features
 from valuelens.plans.listing import KEYS, listing_view, table
@@ -135,3 +136,25 @@ def q_segment_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = rep.select("segment", rnd("r2", 6).alias("r2"), rnd("mae", 4).alias("mae"))
     out = SG.segment_predict(d, "p_type", ["l_quantity"], model, rep)
     return out.select(*LK, "segment", rnd("prediction", 2).alias("prediction"), "model_r2", "model_mae")
+
+
+SEG_FEATURES = ["floor_area_sqft", "rooms", "district", "interior_features"]
+
+
+def _segment_forests(spark: SparkSession, sf_dir: str):
+    lv = listing_with_features(spark, sf_dir).where(F.col("_source") == "R")
+    return lv, SF.fit_segments(lv, "city", "sold_price", SEG_FEATURES, KEYS, "random_forest")
+
+
+@query("segment_forest", "M12 M2")
+def q_segment_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 with the default model type: a forest per city on numbers, labels and one-hot tokens."""
+    _, m = _segment_forests(spark, sf_dir)
+    return m.report().select("segment", "n_rows", "method", rnd("r2", 6).alias("r2"), rnd("mae", 2).alias("mae"), rnd("mean_price", 2).alias("mean_price"))
+
+
+@query("segment_forest_predict", "M13 M2")
+def q_segment_forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sold listing scored by its city's forest."""
+    lv, m = _segment_forests(spark, sf_dir)
+    return SF.predict_segments(lv, m).select(*KEYS, "segment", rnd("prediction", 2).alias("prediction"), rnd("model_r2", 6).alias("model_r2"), rnd("model_mae", 2).alias("model_mae"))
