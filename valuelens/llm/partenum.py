@@ -14,18 +14,21 @@ at most ``slack`` bare ones.  Only the few sets with more split these by the
 elements of their prefix, the least ones by hash, of which linked sets share one too.  The
 slack of a band is the one that makes its rows fewest.
 
-Work per signature is kept linear: a signature's members are tied to one centre (first to
-one of their own batch, the centres then to one of all batches), not to each other, and
-the ties' components are the candidate groups.  All links lie inside them.  A group's sets
+Sets that share a signature are candidates.  A sketch of each set, its elements counted
+by hash in about a fifth as many bins, bounds the common elements of two sets from above, so it rejects
+candidates without loss.  Inside a signature's group the sketches are searched from member to member for
+those that still may be linked; what this connects is tied, not pair by pair but along the search, and the
+ties' components are the candidate groups.  All links lie inside them.  A group's sets
 meet in one task, which verifies candidates on the whole sets of 64-bit shingle hashes and
 skips what is already connected; only links that connect come out, at most one per member.
 Groups of more than ``BLOCK`` elements are cut into blocks that meet two by two, as far as
 their bands are equal or neighbours.  Equal sets are one node from the start, and a node's
 number says nothing about its documents' ids.
 
-Scale: signatures are one shuffle of rows in proportion to the shingles, whatever the texts' lengths,
-combined per batch before it, so a signature that a third of all documents share reaches the
-shuffle once per batch.  Sets travel once, and only those that share a signature.
+Scale: signatures travel packed, about ten bytes each and in proportion to the shingles whatever the texts'
+lengths, to buckets whose number follows the shingles, so a task sorts a bounded number of them; a set that
+many documents have is sent once per slice.  Groups of the same members count once.  Whole sets travel only for candidates
+that the sketches leave.
 
 Cases: null text and texts without words have the empty set, linked with nothing; texts of
 fewer words than a shingle have one shingle, the whole sequence; rows are linked by their
@@ -66,8 +69,8 @@ N2, K2 = 2, 1
 BLOCK = 1_000_000
 MAX_BROADCAST_IDS = 1_000_000
 _SEEDS = tuple(W.mix(np.arange(11, 16, dtype=np.uint64)))
-#: centres are the least nodes under one of four orders, picked by the signature
-_ORDERS = W.mix(np.arange(101, 105, dtype=np.uint64))
+#: signatures of a bucket, about, and elements per bin of a sketch
+BUCKET_ROWS, BIN_ELEMENTS = 1_500_000, 5
 
 
 def linked(a: np.ndarray, b: np.ndarray, rule: Rule = OP5) -> bool:
@@ -188,6 +191,17 @@ def _digests(sets: list[np.ndarray], seed: int) -> np.ndarray:
         return np.array([W.mix(s ^ _SEEDS[seed]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's elements by their leading bits, in a power of two of bins; no count is above 255."""
+    bits = max(3, (len(s) // BIN_ELEMENTS).bit_length())
+    h = W.mix(s ^ _SEEDS[4])
+    while True:
+        count = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if count.max() < 256:
+            return count.astype(np.uint8).tobytes()
+        bits += 1
+
+
 def _sizes(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     hasher = W.Hasher()
     for rows, data, bounds in W.slices(batches):
@@ -195,56 +209,132 @@ def _sizes(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
         size = np.array([len(s) for s in sets], np.int64)
         band = np.searchsorted(bands(int(size.max()), rule), size)
         yield pa.record_batch(
-            [rows.column(0), rows.column(1), pa.array(size), pa.array(band), pa.array(_digests(sets, 0)), pa.array(_digests(sets, 1))],
-            names=["doc_id", "key", "n_shingles", "band", "d1", "d2"],
+            [rows.column(0), rows.column(1), pa.array(size), pa.array(band), pa.array(_digests(sets, 0)), pa.array(_digests(sets, 1)), pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())],
+            names=["doc_id", "key", "n_shingles", "band", "d1", "d2", "sketch"],
         )
 
 
-def _signed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(sig, node, centre): one row with a null centre per signature of a batch, and its other members under it."""
+def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, packed): a slice's signatures by their remainder, as 6 bytes each, a 4-byte place in the list of nodes, and this list."""
     hasher = W.Hasher()
-    for _, data, bounds in W.slices(batches):
+    for _, data, bounds in W.slices(batches, limit=2 * W.SLICE_BYTES):
         sets = document_sets(data, bounds, hasher, rule)
-        sig, who = signatures(sets, rule)
-        node = _digests(sets, 0).view(np.uint64)[who] ^ _ORDERS[(sig & np.uint64(3)).astype(np.int64)]
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
-        head = np.ones(len(sig), bool)
-        head[1:] = sig[1:] != sig[:-1]
-        centre = node[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))] if len(sig) else node
-        yield pa.record_batch(
-            [pa.array(sig.view(np.int64)), pa.array(node.view(np.int64)), pa.array(centre.view(np.int64), mask=head)], names=["sig", "node", "centre"]
-        )
+        node, once = np.unique(_digests(sets, 0), return_index=True)
+        sig, who = signatures([sets[k] for k in once], rule)
+        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sig, who, bucket = sig[order], who[order], bucket[order]
+        start = np.searchsorted(bucket, np.arange(buckets + 1))
+        named, packed = [], []
+        for b in np.unique(bucket).tolist():
+            own, short = np.unique(who[start[b] : start[b + 1]], return_inverse=True)
+            tail = (W.mix(sig[start[b] : start[b + 1]]).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            places = short.astype("<u4" if len(own) > 65_536 else "<u2")
+            named.append(b)
+            packed.append(np.array([len(short), len(own)], "<u4").tobytes() + tail + places.tobytes() + node[own].tobytes())
+        yield pa.record_batch([pa.array(named, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+
+def _members(t: pa.Table) -> pa.Table:
+    """(group, node) of a bucket's signatures that several nodes share; groups of equal members once."""
+    sig, node = [], []
+    for x in t.column("packed"):
+        raw = memoryview(x.as_py())
+        n, m = np.frombuffer(raw[:8], "<u4").tolist()
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw[8 : 8 + 6 * n], np.uint8).reshape(n, 6)
+        kind, at = ("<u4", 4) if m > 65_536 else ("<u2", 2)
+        places = np.frombuffer(raw[8 + 6 * n : 8 + (6 + at) * n], kind)
+        sig.append(wide.view("<u8").ravel())
+        node.append(np.frombuffer(raw[8 + (6 + at) * n :], "<i8")[places])
+    sig, node = np.concatenate(sig), np.concatenate(node)
+    # of most signatures there is one: only the others are sorted by node
+    order = np.argsort(sig)
+    sig, node = sig[order], node[order]
+    same = sig[1:] == sig[:-1]
+    shared = np.zeros(len(sig), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    sig, node = sig[shared], node[shared]
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[new], node[new]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(sig)))
+    with np.errstate(over="ignore"):
+        name = np.add.reduceat(W.mix(node.view(np.uint64) ^ _SEEDS[2]), start) if len(start) else np.empty(0, np.uint64)
+        name = W.mix(name + size.astype(np.uint64))
+    first = np.unique(name, return_index=True)[1]
+    first = first[size[first] > 1]
+    pick = np.repeat(start[first] - (size[first].cumsum() - size[first]), size[first]) + np.arange(int(size[first].sum()))
+    return pa.table({"group": np.repeat(name[first], size[first]).view(np.int64), "node": node[pick]})
+
+
+def _folded(raw: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one width, that of the shortest."""
+    width = min(map(len, raw))
+    out = np.empty((len(raw), width), np.int32)
+    for n in set(map(len, raw)):
+        at = [k for k, x in enumerate(raw) if len(x) == n]
+        out[at] = np.frombuffer(b"".join(raw[k] for k in at), np.uint8).reshape(len(at), width, n // width).sum(2)
+    return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, node) to distinct (node, centre) ties in plain node ids; a run's first node is its centre."""
-    last_sig = last_centre = None
+def may_link(common: np.ndarray, n: np.ndarray, m: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether sets of these sizes with at most so many common elements can be linked."""
+    return (rule.num + rule.den) * common >= rule.num * (n + m)
+
+
+def _searched(node: np.ndarray, n: np.ndarray, raw: list[bytes], rule: Rule) -> list[tuple[int, int]]:
+    """Ties that connect the members of a group which a chain of possible links connects."""
+    h, out = _folded(raw), []
+    free = np.arange(len(node))
+    while len(free):
+        todo, free = [free[0]], free[1:]
+        while todo and len(free):
+            k = todo.pop()
+            hit = may_link(np.minimum(h[free], h[k]).sum(1), n[free], n[k], rule)
+            todo += free[hit].tolist()
+            out += [(int(node[k]), int(node[x])) for x in free[hit]]
+            free = free[~hit]
+    return out
+
+
+def _ties(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows (group, node, n, sketch) sorted by group."""
+
+    def tied(t: pa.Table) -> pa.RecordBatch:
+        group, node, n = (t.column(c).to_numpy() for c in ("group", "node", "n"))
+        raw = t.column("sketch").to_pylist()
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(start, len(group)))
+        out: list[tuple[int, int]] = []
+        two = start[size == 2]
+        wide = np.array([max(len(raw[k]), len(raw[k + 1])) for k in two], np.int64)
+        for w in np.unique(wide).tolist():  # pairs of one width at once
+            at = two[wide == w]
+            h = _folded([raw[k] for k in at] + [raw[k + 1] for k in at])
+            fit = at[may_link(np.minimum(h[: len(at)], h[len(at) :]).sum(1), n[at], n[at + 1], rule)]
+            out += zip(node[fit].tolist(), node[fit + 1].tolist(), strict=True)
+        for k, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            out += _searched(node[k : k + m], n[k : k + m], raw[k : k + m], rule)
+        return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    held = None
     for b in batches:
-        sig, node = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        given = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-        centre = b.column(2).fill_null(0).to_numpy(zero_copy_only=False).copy()
-        free = np.flatnonzero(~given)
-        s, n = sig[free], node[free]
-        if len(s):
-            head = np.ones(len(s), bool)
-            head[1:] = s[1:] != s[:-1]
-            if last_sig is not None and s[0] == last_sig:
-                head[0] = False
-            at = np.maximum.accumulate(np.where(head, np.arange(len(s)), -1))
-            centre[free] = np.where(at >= 0, n[np.maximum(at, 0)], last_centre if last_centre is not None else 0)
-            last_sig, last_centre = s[-1], centre[free[-1]]
-        tie = np.flatnonzero(node != centre)
-        mask = _ORDERS[(sig[tie].view(np.uint64) & np.uint64(3)).astype(np.int64)].view(np.int64)
-        x, y = node[tie] ^ mask, centre[tie] ^ mask
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        yield pa.record_batch([pa.array(x[new]), pa.array(y[new])], names=["node", "centre"])
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if not held.num_rows:
+            continue
+        group = held.column("group").to_numpy()
+        last = int(np.searchsorted(group, group[-1]))  # its rows may go on in the next batch
+        if last:
+            yield tied(held.slice(0, last))
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield tied(held)
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -341,23 +431,20 @@ def _find(docs: DataFrame, rule: Rule) -> _Found:
     text = F.col("text").cast("string")
     key = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
-    rows = cut(given.mapInArrow(lambda b: _sizes(b, rule), "doc_id long, key binary, n_shingles long, band long, d1 long, d2 long"), "sets")
+    rows = cut(given.mapInArrow(lambda b: _sizes(b, rule), "doc_id long, key binary, n_shingles long, band long, d1 long, d2 long, sketch binary"), "sets")
     # equal sets are one node; one of its rows stands for it
-    reps = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.max("n_shingles").alias("n"), F.max("band").alias("band"))
-    reps = cut(reps.select("d1", "d2", "rep", "n", "band", F.monotonically_increasing_id().alias("node")), "reps")
-
-    signed = given.where("text is not null").select("doc_id", "text").mapInArrow(lambda b: _signed(b, rule), "sig long, node long, centre long")
-    to = F.when(F.col("centre").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "node"))
-    ties = signed.repartition(to).sortWithinPartitions("sig", "node").mapInArrow(_runs, "node long, centre long")
-    ties = cut(ties.distinct(), "ties")
-
-    by_digest = reps.select("d1", F.col("node").alias("rep"))
-    pairs = (
-        ties.join(by_digest, F.col("node") == F.col("d1"))
-        .select(F.col("rep").alias("a"), F.col("centre").alias("node"))
-        .join(by_digest, F.col("node") == F.col("d1"))
-        .select("a", F.col("rep").alias("b"))
+    reps = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(
+        F.min(F.struct("doc_id", "key")).alias("rep"), F.max("n_shingles").alias("n"), F.max("band").alias("band"), F.max("sketch").alias("sketch")
     )
+    reps = cut(reps.select("d1", "d2", "rep", "n", "band", "sketch", F.monotonically_increasing_id().alias("node")), "reps")
+
+    shingles = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(16, -(-shingles // BUCKET_ROWS))
+    signed = given.where("text is not null").select("doc_id", "text").mapInArrow(lambda b: _signed(b, rule, buckets), "bucket long, packed binary")
+    shared = signed.repartition("bucket").groupBy("bucket").applyInArrow(_members, "group long, node long").distinct()
+    known = shared.join(reps.select("d1", F.col("node").alias("rep"), "n", "sketch"), F.col("node") == F.col("d1")).select("group", F.col("rep").alias("node"), "n", "sketch")
+    ties = known.repartition("group").sortWithinPartitions("group", "node").mapInArrow(lambda b: _ties(b, rule), "a long, b long")
+    pairs = ties.distinct()
     groups = components(pairs).select(F.col("component").alias("group"), "node")
     groups = cut(groups.join(reps.select("node", "band", "n", "rep"), "node"), "groups")
     wanted = groups.select(F.col("rep.doc_id").alias("w_id"), F.col("rep.key").alias("w_key"), "node", "band")
