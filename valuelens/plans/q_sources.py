@@ -51,6 +51,42 @@ def q_csv_quoted_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_numeric(df)
 
 
+@query("load_folders", "S3 O4 S1 C1", (
+    "SELECT 'listings' AS file_type, 1.0::DOUBLE AS weight, CAST(c_custkey AS DOUBLE) AS number, c_name AS name, CAST(NULL AS VARCHAR) AS reason FROM customer "
+    "UNION ALL SELECT 'listings', 1.0, CAST(p_partkey AS DOUBLE), p_name, NULL FROM part "
+    "UNION ALL SELECT 'sold', 3.0, CAST(s_suppkey AS DOUBLE), s_name || chr(10) || 'nation ' || CAST(s_nationkey AS VARCHAR), NULL FROM supplier "
+    "UNION ALL SELECT 'listings', NULL, NULL, NULL, 'a record has 3 fields, the header 2'"))
+def q_load_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: folders of CSV files with two headers, quoted newlines and one ragged file, read in one scan; the bad file is a row."""
+    from valuelens.sources.folders import load_folders
+
+    base = scratch_dir(spark, "folders")
+    parts = [("ads", "customer", "c_custkey", F.col("c_name")), ("ads", "part", "p_partkey", F.col("p_name")),
+             ("sold", "supplier", "s_suppkey", F.concat("s_name", F.lit("\nnation "), F.col("s_nationkey").cast("string")))]
+    for folder, name, key, label in parts:
+        rows = table(spark, sf_dir, name).select(F.col(key).alias(f"{name}_number"), label.alias("name"))
+        rows.write.mode("append").option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{base}/{folder}")
+    ragged = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("1,2,3").alias("a,b"))
+    ragged.coalesce(1).write.mode("append").option("header", True).option("quote", "").csv(f"{base}/ads")
+    got, problems = load_folders(spark, base, 2025)
+    number = F.coalesce(*[F.col(f"{name}_number") for _, name, _, _ in parts])
+    rows = got.select(F.col("_file_type").alias("file_type"), F.col("_sample_weight").alias("weight"), number.alias("number"), "name", F.lit(None).cast("string").alias("reason"))
+    null = F.lit(None)
+    return rows.union(problems.select(F.split("source", "/")[0].alias("file_type"), null.cast("double"), null.cast("double"), null.cast("string"), "reason"))
+
+
+@query("folder_reload", "S4 S1", "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, p_name, 'listings' AS file_type FROM part")
+def q_folder_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder watched twice while files arrive; the state holds each file's last version."""
+    from valuelens.streaming import folder_versions as FV
+
+    base, p = scratch_dir(spark, "reload"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    for half in (0, 1):
+        p.where(F.col("p_partkey") % 2 == half).write.mode("append").option("header", True).option("quoteAll", True).csv(f"{base}/ads")
+        FV.watch_once(spark, f"{base}/ads", f"{base}/state")
+    return FV.current(spark, f"{base}/state", ref_year=2025).select("p_partkey", "p_name", F.col("_file_type").alias("file_type"))
+
+
 @query("preview", "S14", with_listing(
     "SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in [*KEYS, "city", "view", "fireplace", "appliances"])
     + " FROM listing ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5"))
