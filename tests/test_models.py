@@ -179,6 +179,33 @@ def test_subsets_order_and_slices(spark):
     assert SR.count_subsets(5, 1, 3) == len(exp)
 
 
+def test_subsets_by_number(spark):
+    import time
+    from itertools import combinations
+
+    feats = [f"f{i}" for i in range(7)]
+    for need in ([], ["f5"], ["f0", "f3"]):
+        want = [list(c) for k in range(1, 6) for c in combinations(feats, k) if set(need) <= set(c)]
+        for workers in (1, 4):
+            got = {}
+            for w in range(workers):
+                for r in SR.feature_subsets(spark, feats, required=need, min_features=1, max_features=5, worker_id=w, n_workers=workers).collect():
+                    assert r.subset_idx % workers == w and r.n_features == len(r.features)
+                    assert r["mask"] == sum(1 << (6 - feats.index(f)) for f in r.features)
+                    got[r.subset_idx] = list(r.features)
+            assert [got[i] for i in range(len(got))] == want
+    assert SR.feature_subsets(spark, [], min_features=1).count() == 0
+    # a slice of millions, and numbers far beyond what could be listed
+    wide = [f"f{i}" for i in range(60)]
+    t = time.time()
+    rows = SR.feature_subsets(spark, wide, min_features=5, max_features=5, worker_id=7, n_workers=1000).collect()
+    assert len(rows) == 5462 and time.time() - t < 60
+    assert list(rows[0].features) == list(next(c for i, c in enumerate(combinations(wide, 5)) if i == 7))
+    assert list(rows[-1].features) == next(list(c) for i, c in enumerate(combinations(wide, 5)) if i == rows[-1].subset_idx)
+    far = SR.feature_subsets(spark, wide, min_features=30, max_features=30, worker_id=5, n_workers=2**50).orderBy("subset_idx").collect()
+    assert len(far) == -(-(SR.count_subsets(60, 30, 30) - 5) // 2**50) and len(set(map(tuple, (r.features for r in far)))) == len(far)
+
+
 def test_merge_rankings_idempotent(spark):
     r = spark.createDataFrame([(["a", "b"], "Linear", 80.0, 10.0), (["b", "a"], "Linear", 79.0, 11.0), (["c"], "Linear", 70.0, 12.0)],
                               "features array<string>, model string, r2 double, mae double")
