@@ -73,3 +73,17 @@ def test_source_management(spark):
     assert M.remove_source(u, "primary").count() == 1
     assert {r._sample_weight for r in M.set_weight(u, "sold/x.csv", 5.0).where("id = 2").collect()} == {5.0}
     assert M.toggle(M.toggle([], "a"), "a") == []
+
+
+def test_listing_fields(spark):
+    from valuelens.sources.pages import listing_fields
+
+    html = "<h2 class=x itemprop='address'> 12 Oak St , Kitsilano, Vancouver </h2><p>Floor Area: 1,850 sqft</p><td>Property taxes: $4,100 (2024)</td>"
+    pages = spark.createDataFrame([(1, html), (2, "<h2 itemprop=\"address\">Main St</h2>Property Taxes: $900"), (3, "<p>nothing</p>"), (4, None)], "page_id long, html string")
+    got = [tuple(r) for r in listing_fields(pages).orderBy("page_id").collect()]
+    assert got == [
+        (1, "12 Oak St", "Kitsilano", "Vancouver", 1850.0, "$4,100 (2024)", 2024),
+        (2, "Main St", None, None, None, "$900", None),
+        (3, None, None, None, None, None, None),
+        (4, None, None, None, None, None, None),
+    ]

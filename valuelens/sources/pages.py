@@ -50,3 +50,28 @@ def page_records(pages: DataFrame, html: str = "html", url: str = "url") -> Data
         first_number(article).alias("first_number"),
         F.size(F.regexp_extract_all(h, F.lit("<a href"), 0)).alias("n_links"),
     )
+
+
+def address_parts(address: Column) -> dict[str, Column]:
+    """street, district, city of "street, district, city"; NULL where a part is missing or blank."""
+    parts = F.split(address, ",")
+    return {name: F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")) for i, name in enumerate(("street", "district", "city"))}
+
+
+def tax_year(taxes: Column) -> Column:
+    """The year in brackets of "$4,100 (2024)"."""
+    return _extract(taxes, r"\((\d{4})\)").cast("int")
+
+
+def listing_fields(pages: DataFrame, html: str = "html") -> DataFrame:
+    """page_id, street, district, city, floor area (digits), property taxes and tax year of listing pages.
+
+    The address is the text of the heading marked ``itemprop="address"``; other fields follow their label.
+    """
+    h = F.col(html)
+    address = _extract(h, r"""(?s)<h2[^>]*itemprop=["']address["'][^>]*>(.*?)</h2>""")
+    taxes = F.trim(labelled(h, "Property Taxes"))
+    return pages.select(
+        "page_id", *[c.alias(n) for n, c in address_parts(address).items()],
+        digits_only(labelled(h, "Floor Area")).cast("double").alias("floor_area_sqft"), taxes.alias("property_taxes"), tax_year(taxes).alias("tax_year"),
+    )
