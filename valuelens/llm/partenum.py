@@ -356,20 +356,12 @@ def _inside(key: tuple, t: pa.Table, rule: Rule) -> pa.Table:
     # where each set's elements lie, for the right side
     elements = np.concatenate(sets)
     begin = np.concatenate([[0], size.cumsum()])
-    root = list(range(len(sets)))
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
+    label = np.arange(len(sets))  # what is connected has one label
     found = []
     right_at = np.flatnonzero(right)
     for p in np.flatnonzero(left).tolist():
-        fits = right_at[(rule.num * size[right_at] <= rule.den * size[p]) & (rule.num * size[p] <= rule.den * size[right_at])]
-        r = find(p)
-        other = np.array([q for q in fits.tolist() if find(q) != r], np.int64)
+        fits = (rule.num * size[right_at] <= rule.den * size[p]) & (rule.num * size[p] <= rule.den * size[right_at])
+        other = right_at[fits & (label[right_at] != label[p])]
         if not len(other):
             continue
         n = size[other]
@@ -377,10 +369,11 @@ def _inside(key: tuple, t: pa.Table, rule: Rule) -> pa.Table:
         at = np.searchsorted(sets[p], values)
         at[at == len(sets[p])] = 0
         common = np.add.reduceat((sets[p][at] == values).astype(np.int64), n.cumsum() - n)
-        for q in other[rule.den * common >= rule.num * (n + size[p] - common)].tolist():
-            if find(q) != find(p):
-                root[find(q)] = find(p)
-                found.append((int(node[p]), int(node[q])))
+        hit = other[rule.den * common >= rule.num * (n + size[p] - common)]
+        if len(hit):
+            labels, first = np.unique(label[hit], return_index=True)
+            found += [(int(node[p]), int(node[q])) for q in hit[first]]
+            label[np.isin(label, labels)] = label[p]
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
