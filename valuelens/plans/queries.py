@@ -9,3 +9,4 @@ from valuelens.plans import q_similar  # noqa: F401
 from valuelens.plans import q_search  # noqa: F401
 from valuelens.plans import q_sources  # noqa: F401
 from valuelens.plans import q_selection  # noqa: F401
+from valuelens.plans import q_single  # noqa: F401
