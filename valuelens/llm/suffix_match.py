@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valuelens.llm import _words as W
-from valuelens.llm._shared import ship_package
+from valuelens.llm._shared import cut, ship_package
 
 WINDOW = 10  # fixed by the contract
 BLOCK_BYTES = 4 << 20
@@ -191,6 +191,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False, block
         last = b == blocks - 1
         schema = T.StructType([f for f in fields if f.name != "text" or not last] + found)
         out = out.mapInArrow(_run(probe, b > 0, keep_row, last), schema)
+        if not last:  # written, so that only one block's probe is held at a time
+            out = cut(out, "matches")
     return out.drop("hit")
 
 

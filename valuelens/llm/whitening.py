@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valuelens.llm import _words as W
 from valuelens.llm._shared import cut, ship_package
 
 SCALE, SHIFT, LIMIT = 1024.0, 100_000, 2.0**52
