@@ -152,20 +152,15 @@ def fit_encoders(
     features: Sequence[str],
     target: str,
     *,
-    allow_target: bool = True,
     area_col: str = "sqft",
     max_vocab: int = 1000,
     multi_min_cells: int = MULTI_MIN_CELLS,
     max_label: int = MAX_LABEL_CLASSES,
     max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
 ) -> Encoders:
-    """Fit E1-E8 on ``df`` (target already numeric and non-null).
-
-    ``allow_target=False`` label-encodes high-cardinality columns instead, as the
-    per-segment models do.
-    """
+    """Fit E1-E8 on ``df`` (target already numeric and non-null)."""
     classes: dict[str, list[str]] = {}
-    plan = _plan(df, features, multi_min_cells, max_label if allow_target else 10**9, classes)
+    plan = _plan(df, features, multi_min_cells, max_label, classes)
     enc = Encoders(target)
     numeric = [f for f, (k, _, _) in plan.items() if k == "numeric"]
     fills: dict[str, tuple[float, float, float, float]] = {}
