@@ -130,6 +130,17 @@ def test_weight_three_is_three_copies(spark, kind):
     assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
 
+def test_weighted_encoders_are_those_of_copies(spark):
+    rows = [(i, f"c{i % 20}", None if i % 7 == 0 else float(i % 13), float(100 + (i * 37) % 91), float(1 + i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, cat string, a double, y double, w double")
+    copies = df.select("*", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy"))
+    one, many = E.fit_encoders(df, ["cat", "a"], "y", weight="w"), E.fit_encoders(copies, ["cat", "a"], "y")
+    assert [s.kind for s in one.specs] == ["target", "numeric"] == [s.kind for s in many.specs]
+    assert np.allclose([one.specs[1].fill_fit, one.specs[1].fill_score], [many.specs[1].fill_fit, many.specs[1].fill_score])
+    a, b = ({r._cat: (round(r._med, 9), round(r._mean, 9)) for r in e.specs[0].stats.collect()} for e in (one, many))
+    assert a == b and one.specs[0].global_median == many.specs[0].global_median
+
+
 def test_ablation_under_linear_and_trees(spark):
     df = _priced(spark).withColumn("noise", F.pmod(F.col("k") * 7919, F.lit(101)).cast("double")).withColumn("flat", F.lit(1.0))
     for kind in ("linear", "random_forest"):

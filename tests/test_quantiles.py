@@ -51,3 +51,18 @@ def test_leave_fold_out_quantiles_match_numpy(spark):
             assert r._n == len(x) and np.allclose([r.m, r.q], np.percentile(x, [50, 25]), rtol=1e-12)
     glob = {r._held: r.m for r in leave_fold_out_quantiles(df, [], "f", 4, "v", [0.5], ["m"]).collect()}
     assert all(np.isclose(glob[h], np.percentile([v for _, ff, v in rows if ff != h], 50)) for h in range(4))
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_weights_are_copies(spark, bound):
+    rng = np.random.RandomState(5)
+    rows = [(int(i % 3), float(np.round(rng.normal(), 2)), float(rng.randint(-1, 5))) for i in range(400)] + [(0, None, 2.0), (1, 5.0, None)]
+    df = spark.createDataFrame(rows, "g int, v double, w double")
+    got = {r.g: r for r in group_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], ["a", "b", "c"], extra={"m": "avg", "s": "sum", "lo": "min"}, max_group_rows=bound, weight="w").collect()}
+    for g in range(3):
+        x = np.concatenate([[v] * int(w) for k, v, w in rows if k == g and v is not None and w is not None and w > 0])
+        r = got[g]
+        assert r._n == len(x) and np.allclose([r.a, r.b, r.c, r.m, r.s, r.lo], [*np.percentile(x, [10, 50, 90]), x.mean(), x.sum(), x.min()])
+    half = spark.createDataFrame([(1.0, 0.5), (2.0, 0.5), (9.0, 0.25)], "v double, w double")
+    r = quantile_row(half, "v", [0.5], ["m"], max_group_rows=bound, weight="w").first()
+    assert r.m == 2.0 and r._n == 1.25

@@ -118,7 +118,7 @@ def train_model(
 ) -> TrainedModel:
     """M8: split, leakage guard, clean target, fence, encode, fit, holdout + CV, importances.
 
-    ``weight`` (S9) names a column: a row of weight 3 counts as three in the fits.  Below 30 rows there are
+    ``weight`` (S9) names a column: a row of weight 3 counts as three in encoders and fits (not in the fence).  Below 30 rows there are
     min(folds, rows) folds.
 
     ``metrics`` holds r2/mae (holdout, or CV below 30 rows), r2_cv/mae_cv/mape_cv
@@ -137,7 +137,7 @@ def train_model(
     n, y_min = info["n"], info["y_min"]
     if n < MIN_TRAIN_ROWS:
         raise ValueError(f"Not enough data (minimum {MIN_TRAIN_ROWS} rows), got {n}")
-    enc = E.fit_encoders(d, feats, target)
+    enc = E.fit_encoders(d, feats, target, weight=weight)
     x = enc.transform(d, "fit")
     log = bool(use_log and y_min is not None and y_min > 0)
     yfit = F.log1p(F.col(target)) if log else F.col(target).cast("double")

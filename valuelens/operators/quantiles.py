@@ -83,22 +83,23 @@ def _semi(df: DataFrame, cand: DataFrame, on: list[str], bound: int) -> DataFram
     return df.join(cand, on=on, how="left_semi")
 
 
-def _narrowing(base: DataFrame, keys: list[str], v: str, stats: DataFrame, probs: Sequence[float], n_groups: int) -> DataFrame:
+def _narrowing(base: DataFrame, keys: list[str], v: str, stats: DataFrame, probs: Sequence[float], n_groups: int, rows: Column) -> DataFrame:
+    """The wanted order statistics; ``rows`` counts a bucket's rows (or adds up their weights)."""
     bound = n_groups * 2 * len(probs)  # at most two order statistics per probability and group
     targets = _rank_targets(stats, keys, probs).withColumn("_below", F.lit(0).cast("long"))
     b1, b2 = ordered_bucket(F.col(v), 12), ordered_bucket(F.col(v), 32)
     data = base.withColumn("_b1", b1).withColumn("_b2", b2).persist()  # (keys, value) projection, read three times
 
     # level 1: histogram of 12-bit buckets per group
-    h1 = data.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_c"))
+    h1 = data.groupBy(*keys, "_b1").agg(rows.alias("_c"))
     t1 = _locate(h1, keys, "_b1", targets, keys, "_below").persist()
     # level 2: inside chosen 12-bit buckets, 32-bit buckets
     d2 = _semi(data, t1, keys + ["_b1"], bound)
-    h2 = d2.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c"))
+    h2 = d2.groupBy(*keys, "_b1", "_b2").agg(rows.alias("_c"))
     t2 = _locate(h2, keys + ["_b1"], "_b2", t1, keys + ["_b1"], "_below").persist()
     # level 3: distinct values inside chosen 32-bit buckets (<= 2^20 per bucket)
     d3 = _semi(data, t2, keys + ["_b2"], bound)
-    h3 = d3.groupBy(*keys, "_b2", v).agg(F.count(F.lit(1)).alias("_c"))
+    h3 = d3.groupBy(*keys, "_b2", v).agg(rows.alias("_c"))
     t3 = _locate(h3, keys + ["_b2"], v, t2.drop("_b1"), keys + ["_b2"], "_below")
     return t3.select(*keys, "_r", F.col(v).alias("_val"))
 
@@ -124,9 +125,14 @@ def group_quantiles(
     *,
     extra: dict[str, str] | None = None,
     max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group of ``keys`` (nulls ignored).
 
+    With ``weight`` a row counts as so many rows: the narrowing goes by cumulated weights, ``_n`` is their sum,
+    and ``avg`` and ``sum`` of ``extra`` are weighted.  Rows without a positive weight do not count.  Weights that are not
+    whole numbers are taken in thousandths.
+
     Returns ``keys + [_n] + extra + names`` with one row per group that has a
     value.  ``extra`` maps output names to aggregate function names (``avg``,
     ``min``, ``max``, ``sum``, ``stddev_pop``...) computed on the same values in
@@ -138,20 +144,31 @@ def group_quantiles(
     if no_keys:
         df = df.withColumn(_KEY, F.lit(0))
         keys = [_KEY]
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    base = df.select(*keys, F.col(value).cast("double").alias("_v"), *([F.col(weight).cast("double").alias("_w")] if weight else []))
+    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     extra = dict(extra or {})
-    aggs = [F.count(F.lit(1)).alias("_n")] + [getattr(F, fn)("_v").alias(name) for name, fn in extra.items()]
+    rows, frequency, unit = F.count(F.lit(1)), F.lit(1), 1
+    if weight:
+        base = base.where("_w > 0")
+        if base.agg(F.max(F.col("_w") != F.floor("_w"))).first()[0]:
+            unit = 1000
+        base = base.withColumn("_w", F.round(F.col("_w") * unit).cast("long")).where("_w > 0")
+        rows, frequency = F.sum("_w"), F.col("_w")
+    weighted = {"sum": F.sum(F.col("_v") * frequency) / unit, "avg": F.sum(F.col("_v") * frequency) / F.sum(frequency)} if weight else {}
+    aggs = [rows.alias("_n")] + [weighted.get(fn, getattr(F, fn)("_v")).alias(name) for name, fn in extra.items()]
     stats = base.groupBy(*keys).agg(*aggs).persist()
     info = stats.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("g")).first()
     biggest, n_groups = info["m"] or 0, info["g"]
     if biggest <= max_group_rows:
-        pct = base.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
+        pct = base.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), frequency).alias("_p"))
         out = stats.join(pct, on=keys, how="inner").select(
             *keys, "_n", *extra, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]
         )
     else:
-        picked = _narrowing(base, keys, "_v", stats, probs, n_groups)
+        picked = _narrowing(base, keys, "_v", stats, probs, n_groups, rows)
         out = _interpolate(stats, picked, keys, probs, names, list(extra))
+    if unit > 1:
+        out = out.withColumn("_n", F.col("_n") / unit)
     if no_keys:
         out = out.drop(_KEY)
     return out

@@ -241,3 +241,16 @@ def q_linear_fit_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = L.fit_linear(_li(spark, sf_dir), ["l_quantity", "l_discount"], "l_extendedprice").where(F.col("_fold") == L.FULL)
     return c.select(rnd("_intercept", 4).alias("intercept"), rnd(F.col("_coef")[0], 4).alias("coef_quantity"),
                     rnd(F.col("_coef")[1], 2).alias("coef_discount"), F.col("_n_train").cast("long").alias("n_train"))
+
+
+@query("weighted_quantiles", "S9 E4 F10", (
+    "WITH w AS (SELECT p_brand, l_extendedprice AS y, unnest(generate_series(1, CASE WHEN l_returnflag = 'R' THEN 3 ELSE 1 END)) AS copy FROM lineitem JOIN part ON l_partkey = p_partkey) "
+    "SELECT p_brand, count(*)::BIGINT AS n, quantile_cont(y, 0.25) AS q25, median(y) AS med, " + sql_rnd("avg(y)", 4) + " AS mean FROM w GROUP BY p_brand"))
+def q_weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles and means per brand in which a sold row counts three times, by narrowing on cumulated weights."""
+    from valuelens.operators.quantiles import group_quantiles
+
+    d = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    d = d.select("p_brand", "l_extendedprice", F.when(F.col("l_returnflag") == "R", 3.0).otherwise(1.0).alias("w"))
+    q = group_quantiles(d, ["p_brand"], "l_extendedprice", [0.25, 0.5], ["q25", "med"], extra={"mean": "avg"}, max_group_rows=0, weight="w")
+    return q.select("p_brand", F.col("_n").alias("n"), "q25", "med", rnd("mean", 4).alias("mean"))
