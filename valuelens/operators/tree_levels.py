@@ -212,7 +212,7 @@ def _forest_group(rows: DataFrame, p: int, fits: Sequence[TR.Fit], tops: list[To
 
     out = _frame(rows, _top_rows(tops, fits, p)).union(rows.mapInArrow(ended, TR.GROWN))
     if units:
-        dealt = rows.mapInArrow(deal, TR.UNIT).repartition(min(len(units), TR.UNITS), "unit")
+        dealt = rows.mapInArrow(deal, TR.UNIT).repartition(min(4 * len(units), TR.UNITS), "unit")
         out = out.union(dealt.groupBy("unit").applyInArrow(below, TR.GROWN))
     return cut(out, "grown")
 

@@ -35,7 +35,7 @@ LOCAL_ROWS = 500_000
 UNIT_TREES = 50  # trees of one task's block at most
 ENTRIES = 2_000_000  # (tree, row) pairs grown together
 PASS_NODES = 4_096  # nodes whose sums a task holds in one pass
-UNITS = 512
+UNITS = 512  # blocks of models, and partitions for them (four a block, so that few share one), at most
 _POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 _OWN = ("row", "h", "fold", "inner", "y", "weight", "bins")
 GROWN = "kind string, fit int, tree int, node long, feature int, bin int, left long, row long, y double, value double, n int"
@@ -385,7 +385,7 @@ def _grow_units(rows: DataFrame, p: int, fits: Sequence[Fit]) -> DataFrame:
         return pa.Table.from_batches(out)
 
     dealt = rows.select(*_OWN).mapInArrow(deal, UNIT)
-    return dealt.repartition(min(len(units), UNITS), "unit").groupBy("unit").applyInArrow(run, GROWN)
+    return dealt.repartition(min(4 * len(units), UNITS), "unit").groupBy("unit").applyInArrow(run, GROWN)
 
 
 class Grown(NamedTuple):
