@@ -9,7 +9,7 @@ from valuelens.functions.exprs import rnd, sql_rnd
 from valuelens.operators import encode as E
 from valuelens.operators import linear as L
 from valuelens.operators import stats as ST
-from valuelens.plans.listing import table
+from valuelens.plans.listing import lineitem_part, table
 from valuelens.plans.registry import query
 
 LK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -250,7 +250,6 @@ def q_weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles and means per brand in which a sold row counts three times, by narrowing on cumulated weights."""
     from valuelens.operators.quantiles import group_quantiles
 
-    d = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    d = d.select("p_brand", "l_extendedprice", F.when(F.col("l_returnflag") == "R", 3.0).otherwise(1.0).alias("w"))
+    d = lineitem_part(spark, sf_dir).select("p_brand", "l_extendedprice", F.when(F.col("l_returnflag") == "R", 3.0).otherwise(1.0).alias("w"))
     q = group_quantiles(d, ["p_brand"], "l_extendedprice", [0.25, 0.5], ["q25", "med"], extra={"mean": "avg"}, max_group_rows=0, weight="w")
     return q.select("p_brand", F.col("_n").alias("n"), "q25", "med", rnd("mean", 4).alias("mean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from valuelens.operators.impact import category_impact
-from valuelens.plans.listing import table
+from valuelens.plans.listing import lineitem_part, table
 from valuelens.plans.registry import query
 
 # ---------------------------------------------------------------- A4 A6 (flagship)
@@ -38,12 +38,6 @@ CATEGORY_IMPACT_SQL = _ci_sql(
 )
 
 
-def lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    p = table(spark, sf_dir, "part")
-    return li.join(p, li.l_partkey == p.p_partkey)
-
-
 @query("category_impact", "A4 A6", CATEGORY_IMPACT_SQL)
 def q_category_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category impact of returnflag/linestatus/type/brand on the extended price."""
