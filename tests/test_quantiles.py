@@ -66,3 +66,32 @@ def test_weights_are_copies(spark, bound):
     half = spark.createDataFrame([(1.0, 0.5), (2.0, 0.5), (9.0, 0.25)], "v double, w double")
     r = quantile_row(half, "v", [0.5], ["m"], max_group_rows=bound, weight="w").first()
     assert r.m == 2.0 and r._n == 1.25
+
+
+def test_bucket_columns_are_those_of_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    from valuelens.operators.quantiles import with_buckets
+
+    rng = np.random.RandomState(3)
+    exact = [s * 2.0**e for e in (-1074, -1022, -3, 0, 1, 52, 1023) for s in (1.0, -1.0)]
+    vals = [*exact, *(v * (1 - 2.0**-53) for v in exact[4:]), *rng.lognormal(0, 30, 300), *-rng.lognormal(0, 30, 300), 0.0, -0.0, 1.7976931348623157e308]
+    rows = with_buckets(spark.createDataFrame([(float(v),) for v in vals], "v double"), "v").select(
+        "_b1", "_b2", ordered_bucket(F.col("v"), 12).alias("c1"), ordered_bucket(F.col("v"), 32).alias("c2")).collect()
+    assert len(rows) == len(vals) and all(r._b1 == r.c1 and r._b2 == r.c2 for r in rows)
+
+
+def test_narrowing_takes_infinite_values(spark):
+    df = spark.createDataFrame([(v,) for v in (float("-inf"), 1.0, 2.0, 3.0, float("inf"))], "v double")
+    assert quantile_row(df, "v", [0.25, 0.5, 0.75], ["a", "b", "c"], max_group_rows=0).first()[1:] == (1.0, 2.0, 3.0)
+
+
+def test_a_bucket_costs_one_logarithm(spark):
+    from valuelens.operators.quantiles import _semi, with_buckets
+
+    d = with_buckets(spark.range(10).selectExpr("id % 2 as k", "cast(id as double) as v"), "v")
+    wanted = spark.createDataFrame([(0, 1)], "k long, _b1 long")
+    counted = _semi(d, wanted, ["k", "_b1"], 1).groupBy("k", "_b1", "_b2").count()
+    for x in (d, counted, wanted.join(counted, ["k", "_b1"])):
+        plan = x._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("log2(") == 1 and plan.count("power(") == 1

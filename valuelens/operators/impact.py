@@ -46,6 +46,7 @@ def category_impact(
     the population std of the rounded group means of the column (0 with <= 1
     group) and orders the columns, ``n_categories`` counts surviving groups.
     """
+    df = df.select(*dict.fromkeys([target, *columns])).persist()  # kept wide: unpivoted it would be a row per column
     long = long_categories(df, columns, target, delimiter)
     # the overall statistics ride along as one more "column" of the same passes (no extra scan)
     overall = df.select(F.lit(_OVERALL).alias("cat_column"), F.lit("").alias("cat_value"), F.col(target).cast("double").alias("_t"))
@@ -58,6 +59,7 @@ def category_impact(
         ["_median"],
         extra={"_mean": "avg", "_min": "min", "_max": "max"},
         max_group_rows=max_group_rows,
+        keep=False,
     ).persist()
     om = stats.where(F.col("cat_column") == _OVERALL).select(F.col("_mean").alias("_om"), F.col("_median").alias("_omed"))
     g = stats.where((F.col("cat_column") != _OVERALL) & (F.col("_n") >= min_count)).crossJoin(F.broadcast(om))  # om: one row
