@@ -95,3 +95,22 @@ def test_a_bucket_costs_one_logarithm(spark):
     for x in (d, counted, wanted.join(counted, ["k", "_b1"])):
         plan = x._jdf.queryExecution().optimizedPlan().toString().lower()
         assert plan.count("log2(") == 1 and plan.count("power(") == 1
+
+
+def test_every_level_is_one_pass_over_the_rows(spark):
+    """Rows are read by the count, by two levels and by the last one; no level is made again for a later one, nor for a report's joins."""
+    from valuelens.operators.impact import category_impact
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d = spark.range(1000).selectExpr("cast(id as double) as v").mapInArrow(seen, "v double")
+    d = d.selectExpr("v", "'a' as c", "'b' as e")
+    assert quantile_row(d.union(d), "v", [0.5], ["m"], max_group_rows=0, keep=False).first().m == 499.5
+    assert read.value == 8000
+    assert category_impact(d, "v", ["c", "e"], max_group_rows=0).count() == 2
+    assert read.value == 9000  # kept wide, and read once

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from valuelens.functions.exprs import rnd, tokens
 from valuelens.operators.quantiles import DEFAULT_MAX_GROUP_ROWS, group_quantiles
+from valuelens.session import cut
 
 _OVERALL = "\u0000overall"  # pseudo-column name no real column can have
 
@@ -60,7 +61,8 @@ def category_impact(
         extra={"_mean": "avg", "_min": "min", "_max": "max"},
         max_group_rows=max_group_rows,
         keep=False,
-    ).persist()
+    )
+    stats = cut(stats, "impact")  # read three times below
     om = stats.where(F.col("cat_column") == _OVERALL).select(F.col("_mean").alias("_om"), F.col("_median").alias("_omed"))
     g = stats.where((F.col("cat_column") != _OVERALL) & (F.col("_n") >= min_count)).crossJoin(F.broadcast(om))  # om: one row
     g = g.select(

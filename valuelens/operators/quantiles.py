@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from valuelens.session import broadcast_limit_rows
+from valuelens.session import broadcast_limit_rows, cut
 
 DEFAULT_MAX_GROUP_ROWS = 2_000_000  # exact-percentile state per group stays ~100 MB
 
@@ -114,11 +114,11 @@ def _narrowing(base: DataFrame, keys: list[str], v: str, stats: DataFrame, probs
 
     # level 1: histogram of 12-bit buckets per group
     h1 = data.groupBy(*keys, "_b1").agg(rows.alias("_c"))
-    t1 = _locate(h1, keys, "_b1", targets, keys, "_below").persist()
+    t1 = cut(_locate(h1, keys, "_b1", targets, keys, "_below"), "located")  # small, and made now: a reader of its plan may not find it in the cache
     # level 2: inside chosen 12-bit buckets, 32-bit buckets
     d2 = _semi(data, t1, keys + ["_b1"], bound)
     h2 = d2.groupBy(*keys, "_b1", "_b2").agg(rows.alias("_c"))
-    t2 = _locate(h2, keys + ["_b1"], "_b2", t1, keys + ["_b1"], "_below").persist()
+    t2 = cut(_locate(h2, keys + ["_b1"], "_b2", t1, keys + ["_b1"], "_below"), "located")  # small, and made now: a reader of its plan may not find it in the cache
     # level 3: distinct values inside chosen 32-bit buckets (<= 2^20 per bucket)
     d3 = _semi(data, t2, keys + ["_b2"], bound)
     h3 = d3.groupBy(*keys, "_b2", v).agg(rows.alias("_c"))
@@ -190,6 +190,7 @@ def group_quantiles(
             *keys, "_n", *extra, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]
         )
     else:
+        stats = cut(stats, "counted")
         picked = _narrowing(base, keys, "_v", stats, probs, n_groups, rows, keep)
         out = _interpolate(stats, picked, keys, probs, names, list(extra))
     if unit > 1:
@@ -256,12 +257,12 @@ def leave_fold_out_quantiles(
     targets = _rank_targets(stats, gk, probs).withColumn("_below", F.lit(0).cast("long"))
 
     own1 = data.groupBy(*keys, "_f", "_b1").agg(F.count(F.lit(1)).alias("_c"))
-    t1 = _locate(leave_out(own1, None, ["_b1"]), gk, "_b1", targets, gk, "_below").persist()
+    t1 = cut(_locate(leave_out(own1, None, ["_b1"]), gk, "_b1", targets, gk, "_below"), "located")  # small, and made now: a reader of its plan may not find it in the cache
     bound = n_groups * 2 * len(probs)
     d2 = _semi(data, t1, keys + ["_b1"], bound)
     own2 = d2.groupBy(*keys, "_f", "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c"))
     lo2 = leave_out(own2, t1.select(*gk, "_b1").distinct(), ["_b1", "_b2"])
-    t2 = _locate(lo2, gk + ["_b1"], "_b2", t1, gk + ["_b1"], "_below").persist()
+    t2 = cut(_locate(lo2, gk + ["_b1"], "_b2", t1, gk + ["_b1"], "_below"), "located")  # small, and made now: a reader of its plan may not find it in the cache
     d3 = _semi(data, t2, keys + ["_b2"], bound)
     own3 = d3.groupBy(*keys, "_f", "_b2", "_v").agg(F.count(F.lit(1)).alias("_c"))
     lo3 = leave_out(own3, t2.select(*gk, "_b2").distinct(), ["_b2", "_v"])
