@@ -260,3 +260,29 @@ def test_segment_label_classes_are_per_segment(spark):
     assert got[("A", "x")] == 0.0 and got[("A", "y")] == 1.0 and got[("A", "z")] == 2.0
     assert got[("B", "p")] == 0.0 and got[("B", "y")] == 1.0
     assert rep.count() == 2 and all(len(r.actual_vs_predicted) <= 40 for r in rep.collect())
+
+
+def test_search_reads_its_input_once(spark):
+    """Every pass of a subset search, and all its slices, share one reading of the input (before: each pass made it again)."""
+    from valuelens.operators import search as SR
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, float(i % 7), "ab"[i % 2], 100.0 + 3 * (i % 7) + i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, t string, y double").mapInArrow(seen, "id long, a double, t string, y double")
+    prepared = SR.prepare(df, "y", ["a", "t"], ["id"])
+    parts = []
+    for w in (0, 1):
+        subs = SR.feature_subsets(spark, ["a", "t"], min_features=1, max_features=2, worker_id=w, n_workers=2)
+        parts.append(SR.subset_search(df, "y", ["a", "t"], subs, ["id"], model_type="linear", prepared=prepared).drop("r2_raw"))
+    got = SR.merge_rankings(parts).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] and read.value == 60
+    subs = SR.feature_subsets(spark, ["a", "t"], min_features=1, max_features=2)
+    alone = SR.subset_search(df, "y", ["a", "t"], subs, ["id"], model_type="linear").collect()
+    assert read.value == 120
+    assert {(*r["features"], r["r2"], r["mae"]) for r in alone} == {(*r["features"], r["r2"], r["mae"]) for r in got}

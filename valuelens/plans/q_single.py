@@ -88,9 +88,12 @@ def q_importance_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MD.importance_frame(m, spark).select("feature", rnd("importance", 6).alias("importance"))
 
 
-def _singles(spark: SparkSession, sf_dir: str, **slices) -> DataFrame:
-    lv = listing_view(spark, sf_dir).where("_source = 'R'")
-    return SR.subset_search(lv, "sold_price", SINGLES, SR.feature_subsets(spark, SINGLES, min_features=1, max_features=1, **slices), KEYS, model_type="linear")
+def _sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing_view(spark, sf_dir).where("_source = 'R'").select(*KEYS, *[c for c in SINGLES if c not in KEYS], "sold_price")
+
+
+def _singles(spark: SparkSession, lv: DataFrame, prepared=None, **slices) -> DataFrame:
+    return SR.subset_search(lv, "sold_price", SINGLES, SR.feature_subsets(spark, SINGLES, min_features=1, max_features=1, **slices), KEYS, model_type="linear", prepared=prepared)
 
 
 _ROUNDED = f"{sql_rnd('r2 * 100', 1)} AS r2, {sql_rnd('mae', 0)} AS mae, {sql_rnd('mape', 1)} AS mape"
@@ -99,13 +102,13 @@ _ROUNDED = f"{sql_rnd('r2 * 100', 1)} AS r2, {sql_rnd('mae', 0)} AS mae, {sql_rn
 @query("subset_search_one", "M17", with_listing(f"SELECT subset_idx::BIGINT AS subset_idx, feature AS features, 'Linear' AS model, {_ROUNDED} FROM r", *_SINGLE))
 def q_subset_search_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each single feature under 5-fold linear cross-validation."""
-    return _singles(spark, sf_dir).select("subset_idx", F.array_join("features", ",").alias("features"), "model", "r2", "mae", "mape")
+    return _singles(spark, _sold(spark, sf_dir)).select("subset_idx", F.array_join("features", ",").alias("features"), "model", "r2", "mae", "mape")
 
 
 @query("feature_frequency_one", "M19", with_listing("SELECT feature, 1::BIGINT AS n_results FROM r ORDER BY r2 DESC LIMIT 2", *_SINGLE))
 def q_feature_frequency_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M19 over the two best single features (a report)."""
-    return SR.feature_frequency(_singles(spark, sf_dir).orderBy(F.desc("r2_raw")).limit(2))
+    return SR.feature_frequency(_singles(spark, _sold(spark, sf_dir)).orderBy(F.desc("r2_raw")).limit(2))
 
 
 @query("merge_rankings_one", "O5 O4", with_listing(
@@ -113,7 +116,9 @@ def q_feature_frequency_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"(SELECT feature AS features, 'Linear' AS model, {_ROUNDED}, subset_idx % 2 AS src FROM r)", *_SINGLE))
 def q_merge_rankings_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two worker slices and a repeated one merged and ranked."""
-    parts = [_singles(spark, sf_dir, worker_id=w, n_workers=2).drop("r2_raw") for w in (0, 1, 0)]
+    sold = _sold(spark, sf_dir)
+    prepared = SR.prepare(sold, "sold_price", SINGLES, KEYS)  # the rows of all three slices
+    parts = [_singles(spark, sold, prepared, worker_id=w, n_workers=2).drop("r2_raw") for w in (0, 1, 0)]
     return SR.merge_rankings(parts, top_n=100).select(F.col("rank").cast("long").alias("rank"), F.array_join("features", ",").alias("features"), "model", "r2", "mae")
 
 
