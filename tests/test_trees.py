@@ -84,6 +84,23 @@ def test_sparse_and_dense_sums_agree():
             assert big[1][i] == one[1][0]
 
 
+@pytest.mark.parametrize(("n", "width"), [(30_000, 64), (9_000, 64), (9_000, 2), (200_000, 3)])
+def test_every_form_of_sums_finds_the_best_cut(n, width):
+    r = np.random.default_rng(n + width)
+    k = 2_500
+    local = np.concatenate([np.arange(k), r.integers(0, k, n - k)])
+    b, w, y = r.integers(0, width, n).astype(np.uint8), r.integers(1, 4, n).astype(float), r.integers(0, 9, n).astype(float)
+    total, s = np.bincount(local, w, k), np.bincount(local, w * y, k)
+    score, at = TR._best_split(local, b, w, w * y, total, s, 2, width)
+    cells = [np.bincount(local * width + b, v, k * width).reshape(k, width).cumsum(1)[:, :-1] for v in (w, w * y)]
+    rest = total[:, None] - cells[0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = np.where((cells[0] >= 2) & (rest >= 2), cells[1] ** 2 / cells[0] + (s[:, None] - cells[1]) ** 2 / rest, -np.inf)
+    some = np.isfinite(want.max(1))
+    assert (np.isfinite(score) == some).all() and np.allclose(score[some], want.max(1)[some], rtol=1e-9)
+    assert np.allclose(want[some, at[some]], score[some], rtol=1e-9)
+
+
 def rows_frame(spark, n=400):
     r = np.random.default_rng(3)
     x = np.stack([r.integers(0, 40, n), r.normal(size=n).round(2), r.integers(0, 5, n), r.normal(size=n)], 1)
@@ -135,6 +152,27 @@ def test_fits_equal_brute_force_in_a_task_and_by_levels(spark):
     assert one == two
 
 
+def test_a_table_that_fits_a_task_by_its_bytes_is_not_grown_by_levels(spark, monkeypatch):
+    from valuelens.operators import tree_levels
+
+    rows, _, _ = rows_frame(spark)
+    want = {(r["fit"], r["row"]): round(r["prediction"], 7) for r in TR.grow_fits(rows, 4, FITS).predictions().collect()}
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 100)  # of 400
+    monkeypatch.setattr(TR, "CARRIED", 0)
+    monkeypatch.setattr(tree_levels, "grow_large", lambda *_: pytest.fail("every tree's rows are shuffled"))
+    got = {(r["fit"], r["row"]): round(r["prediction"], 7) for r in TR.grow_fits(rows, 4, FITS).predictions().collect()}
+    assert got == want
+
+
+def test_copies_of_a_large_table_are_bounded_in_bytes():
+    fits = [TR.Fit((0,), trees=200) for _ in range(1_000)]
+    for n in (10_000, 1_200_000):
+        size = n * (TR.ROW_BYTES + 5)
+        units = TR._units(fits, size)
+        assert len(units) * size <= max(65 * size, TR.DEALT_BYTES * 1.02)
+        assert sorted((k, t) for u in units for k, low, high in u for t in range(low, high)) == [(k, t) for k in range(1_000) for t in range(200)]
+
+
 def test_weights_are_poisson_and_depend_on_the_row_alone():
     h = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 20000)
     w = np.array([TR.tree_weights(TR.Fit((0,), 1), h, t) for t in range(5)])
