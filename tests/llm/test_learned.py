@@ -264,3 +264,21 @@ def test_oracle(spark, name):
     df = QUERIES[name](spark, d)
     cur = duck(d).execute(ORACLES[name])
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_arcs_are_held_once():
+    """A worker's arcs of full order lie in the table alone, which takes little more than they do."""
+    r = np.random.default_rng(5)
+    code = np.unique(r.integers(0, lm_automaton.SYMBOLS**lm_automaton.ORDER, 50_000))
+    low = lm_automaton._merge([(code % lm_automaton.SYMBOLS**2, np.ones(len(code)))])
+    automaton = lm_automaton.Automaton(code, np.ones(len(code)), low)
+    own, value = automaton.arcs[-1]
+    table = automaton.table()
+    assert automaton.table() is table and not len(automaton.arcs[-1][0])
+    assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) < 2 * (own.nbytes + value.nbytes)
+    asked = np.concatenate([own, own + 1, own[:1]])
+    known, found = table.find(asked)
+    assert known.tolist() == np.isin(asked, own).tolist()
+    assert found[: len(own)].tolist() == value.tolist() and not found[~known].any()
+    known, found = lm_automaton.Table(own[:0], value[:0]).find(asked)
+    assert not known.any() and not found.any()

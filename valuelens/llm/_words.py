@@ -46,15 +46,18 @@ def _inverse(odd: int) -> int:
 
 
 class Hasher:
-    """64-bit hashes of many byte ranges at once; ``seed`` gives independent ones."""
+    """64-bit hashes of many byte ranges at once; ``seed`` gives independent ones.
 
-    def __init__(self, seed: int = 1) -> None:
+    Words longer than ``span`` bytes have other hashes under another ``span``.
+    """
+
+    def __init__(self, seed: int = 1, span: int = 1 << 20) -> None:
         r = np.random.default_rng(seed)
         self.table = r.integers(1, 2**64 - 1, 256, dtype=np.uint64)
         base = int(r.integers(2**62, 2**63, dtype=np.uint64)) | 5
         with np.errstate(over="ignore"):
-            self.power = np.concatenate([[np.uint64(1)], np.full(1 << 20, base, np.uint64)]).cumprod(dtype=np.uint64)
-            self.undo = np.concatenate([[np.uint64(1)], np.full(1 << 20, _inverse(base), np.uint64)]).cumprod(dtype=np.uint64)
+            self.power = np.concatenate([[np.uint64(1)], np.full(span, base, np.uint64)]).cumprod(dtype=np.uint64)
+            self.undo = np.concatenate([[np.uint64(1)], np.full(span, _inverse(base), np.uint64)]).cumprod(dtype=np.uint64)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.empty(len(starts), np.uint64)

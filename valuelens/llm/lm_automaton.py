@@ -14,7 +14,7 @@ to one, so scores are log10 probabilities over all texts.
 Scale.  n-grams are counted per task before the shuffle.  The automaton is broadcast in
 blocks of about ``BLOCK_ARCS`` arcs, split by the two symbols before an arc's last; each
 block adds its part to scores that are written before the next one, so any number of n-grams is
-handled alike and the driver and a task hold one block.  For the
+handled alike and the driver and a Python worker hold one block.  For the
 base score a map task turns each batch of texts into token numbers local to that batch and
 asks for the counts of its distinct words, with its own training counts.  One shuffle by
 word adds them up, one by batch brings them back: what moves is a row per distinct word and
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +40,9 @@ from valuelens.llm import _words as W
 from valuelens.llm._shared import cut, ship_package
 
 ORDER, BLOCK_ARCS = 6, 4_000_000
-BATCH_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
 FLUSH_GRAMS, OUT_ROWS = 1_000_000, 20_000
+HASH_BYTES = 1 << 16  # a hasher's tables: 1 MB
 SPACE, BEGIN, END, SYMBOLS = 32, 256, 257, 258
 ROWS = "kind int, batch long, number int, word binary, n long, doc_id long, held_out boolean, score double, tokens binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -112,20 +113,19 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Values by code in open addressing: a look-up costs a probe or two, not a search."""
+    """Values by code, in the order of their hashes; a directory tells where each prefix of a hash begins.
+
+    A look-up costs a probe or two, not a search, and no space is kept free.
+    """
 
     def __init__(self, code: np.ndarray, value: np.ndarray) -> None:
         bits = max(4, (2 * len(code)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.code, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
-        todo, slot = np.arange(len(code)), self._slot(code)
-        while len(todo):
-            free = todo[self.code[slot[todo]] < 0]
-            self.code[slot[free]] = code[free]  # one of those that want a place gets it
-            own = self.code[slot[todo]] == code[todo]
-            self.value[slot[todo[own]]] = value[todo[own]]
-            todo = todo[~own]
-            slot[todo] = (slot[todo] + 1) & self.mask
+        self.shift = np.uint64(64 - bits)
+        slot = self._slot(code)
+        order = np.argsort(slot, kind="stable")
+        self.code, self.value = code[order], value[order]
+        self.begin = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << bits), out=self.begin[1:])
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -134,17 +134,17 @@ class Table:
     def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(known, value)."""
         slot = self._slot(code)
-        at = self.code[slot]
-        known = at == code
-        value = np.where(known, self.value[slot], 0.0)
-        todo = np.flatnonzero(~known & (at >= 0))
+        at, end = self.begin[slot], self.begin[slot + 1]
+        known, value = np.zeros(len(code), bool), np.zeros(len(code))
+        todo = np.flatnonzero(at < end)
         while len(todo):
-            slot[todo] = (slot[todo] + 1) & self.mask
-            at = self.code[slot[todo]]
-            hit = at == code[todo]
+            place = at[todo]
+            hit = self.code[place] == code[todo]
             known[todo[hit]] = True
-            value[todo[hit]] = self.value[slot[todo[hit]]]
-            todo = todo[~hit & (at >= 0)]
+            value[todo[hit]] = self.value[place[hit]]
+            todo, place = todo[~hit], place[~hit] + 1
+            at[todo] = place
+            todo = todo[place < end[todo]]
         return known, value
 
 
@@ -160,6 +160,7 @@ class Automaton:
         self.block, self.blocks = block, blocks
         self.arcs: list[tuple[np.ndarray, np.ndarray]] = []  # by order from 1: codes, log10 p
         self.fails: list[tuple[np.ndarray, np.ndarray]] = []  # by order from 1: contexts, log10 weight
+        self.full: Table | None = None
         p = np.empty(0)
         for k in range(1, ORDER + 1):
             source, weight = low if k <= 2 else (code, n)
@@ -173,7 +174,10 @@ class Automaton:
             self.fails.append((context, np.log10(types / (total + types)) if len(own) else np.empty(0)))
 
     def weights(self, code: np.ndarray) -> np.ndarray:
-        """log10 weight of the path from each state (context) over its symbol; 0 for other blocks' arcs."""
+        """log10 weight of the path from each state (context) over its symbol; 0 for other blocks' arcs.
+
+        After ``table`` only for n-grams that are not in it.
+        """
         out = np.zeros(len(code))
         todo = np.arange(len(code))
         if self.blocks > 1:
@@ -191,8 +195,12 @@ class Automaton:
         return out
 
     def table(self) -> Table:
-        """The arcs of full order by code."""
-        return Table(*self.arcs[-1])
+        """The arcs of full order by code: made once per Python worker, and held there alone from then on."""
+        if self.full is None:
+            self.full = Table(*self.arcs[-1])
+            self.arcs[-1] = (np.empty(0, np.int64), np.empty(0))
+            W.release()
+        return self.full
 
     def scores(self, data: np.ndarray, bounds: np.ndarray, table: Table) -> np.ndarray:
         """This block's part of the log10 probability of each (lowered) text.
@@ -208,8 +216,9 @@ class Automaton:
         return sums[begin[1:]] - sums[begin[:-1]]
 
 
-def _traverse(automaton: Automaton):
+def _traverse(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
         table = automaton.table()
         for rows, raw, bounds in W.slices(batches, limit=SLICE_BYTES):
             part = automaton.scores(W.LOWER[raw], bounds, table)
@@ -230,56 +239,61 @@ def _unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher
     return inverse, [blob[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
 
 
-def _number(automaton: Automaton):
+def _number(shared: Broadcast):
     """The last block's traversal, and per batch rows of kind 0 (its distinct words, with training counts) and 1 (its texts as token numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _numbered(automaton, batches)
+        return _numbered(shared.value, batches)
 
     return run
 
 
 def _numbered(automaton: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, other, base = W.Hasher(), W.Hasher(2), TaskContext.get().partitionId() << 24
-    table = automaton.table()
+    hashers, base = (W.Hasher(span=HASH_BYTES), W.Hasher(2, HASH_BYTES)), TaskContext.get().partitionId() << 24
     for i, (rows, raw, bounds) in enumerate(W.slices(batches, limit=BATCH_BYTES)):
-        part = np.concatenate([automaton.scores(W.LOWER[r], b, table) for _, r, b in W.slices(iter([rows]), limit=SLICE_BYTES)])
-        data = W.LOWER[raw]
-        starts, ends, first = W.spans(data, bounds, W.PLAIN)
-        number, words = _unique_words(data, starts, ends, hasher, other)
-        words.append(b"")  # the end of a text
-        m, n_docs = len(words), rows.num_rows
-        held = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        doc = np.repeat(np.arange(n_docs), np.diff(first))
-        total = np.bincount(number, minlength=m)
-        count = np.bincount(number[~held[doc]], minlength=m)
-        count[-1] = int((~held).sum())
-        total[-1] = n_docs
-        # frequent words get small numbers, which are stored in less space
-        order = np.argsort(-total, kind="stable")
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
-        numbers, end = rank[number].astype("<i4"), np.array([rank[-1]], "<i4").tobytes()
-        tokens = [numbers[a:b].tobytes() + end for a, b in zip(first[:-1], first[1:], strict=True)]
-        own = [
-            (pa.int32(), np.zeros(m, np.int32), np.ones(n_docs, np.int32)),
-            (pa.int64(), np.full(m, base + i), np.full(n_docs, base + i)),
-            (pa.int32(), np.arange(m, dtype=np.int32), None),
-            (pa.binary(), [words[k] for k in order.tolist()], None),
-            (pa.int64(), count[order], None),
-            (pa.int64(), None, rows.column(0)),
-            (pa.bool_(), None, rows.column(1)),
-            (pa.float64(), None, part + rows.column(3).to_numpy()),
-            (pa.binary(), None, tokens),
-        ]
-        columns = []
-        for kind, w, d in own:
-            left = pa.nulls(m, kind) if w is None else pa.array(w, kind)
-            right = pa.nulls(n_docs, kind) if d is None else d.cast(kind) if isinstance(d, pa.Array) else pa.array(d, kind)
-            columns.append(pa.concat_arrays([left, right]))
-        out = pa.record_batch(columns, names=[x.split()[0] for x in ROWS.split(", ")])
+        out = _number_batch(automaton, rows, raw, bounds, hashers, base + i)
         for at in range(0, out.num_rows, OUT_ROWS):
             yield out.slice(at, OUT_ROWS)
+        del out  # not held while the next one is made
+
+
+def _number_batch(automaton: Automaton, rows: pa.RecordBatch, raw: np.ndarray, bounds: np.ndarray, hashers: tuple[W.Hasher, W.Hasher], batch: int) -> pa.RecordBatch:
+    table = automaton.table()
+    part = np.concatenate([automaton.scores(W.LOWER[r], b, table) for _, r, b in W.slices(iter([rows]), limit=SLICE_BYTES)])
+    data = W.LOWER[raw]
+    starts, ends, first = W.spans(data, bounds, W.PLAIN)
+    number, words = _unique_words(data, starts, ends, *hashers)
+    words.append(b"")  # the end of a text
+    m, n_docs = len(words), rows.num_rows
+    held = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    doc = np.repeat(np.arange(n_docs), np.diff(first))
+    total = np.bincount(number, minlength=m)
+    count = np.bincount(number[~held[doc]], minlength=m)
+    count[-1] = int((~held).sum())
+    total[-1] = n_docs
+    # frequent words get small numbers, which are stored in less space
+    order = np.argsort(-total, kind="stable")
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    numbers, end = rank[number].astype("<i4"), np.array([rank[-1]], "<i4").tobytes()
+    tokens = [numbers[a:b].tobytes() + end for a, b in zip(first[:-1], first[1:], strict=True)]
+    own = [
+        (pa.int32(), np.zeros(m, np.int32), np.ones(n_docs, np.int32)),
+        (pa.int64(), np.full(m, batch), np.full(n_docs, batch)),
+        (pa.int32(), np.arange(m, dtype=np.int32), None),
+        (pa.binary(), [words[k] for k in order.tolist()], None),
+        (pa.int64(), count[order], None),
+        (pa.int64(), None, rows.column(0)),
+        (pa.bool_(), None, rows.column(1)),
+        (pa.float64(), None, part + rows.column(3).to_numpy()),
+        (pa.binary(), None, tokens),
+    ]
+    columns = []
+    for kind, w, d in own:
+        left = pa.nulls(m, kind) if w is None else pa.array(w, kind)
+        right = pa.nulls(n_docs, kind) if d is None else d.cast(kind) if isinstance(d, pa.Array) else pa.array(d, kind)
+        columns.append(pa.concat_arrays([left, right]))
+    return pa.record_batch(columns, names=[x.split()[0] for x in ROWS.split(", ")])
 
 
 def _score(n: int, v: int):
@@ -322,11 +336,13 @@ def score(docs: DataFrame) -> DataFrame:
     scored = given
     for k in range(blocks):
         own = arcs.where(F.expr(f"(code div {SYMBOLS}) % {SYMBOLS**2} % {blocks} = {k}"))  # about BLOCK_ARCS rows
-        automaton = Automaton(*_arrays(own), low, k, blocks)
-        # between blocks the scores are written, so that only one block is held at a time
-        scored = cut(scored.mapInArrow(_traverse(automaton), given.schema), "scores") if k < blocks - 1 else scored.mapInArrow(_number(automaton), ROWS)
+        shared = spark.sparkContext.broadcast(Automaton(*_arrays(own), low, k, blocks))
+        # what a block gives is written, so that only one block is held at a time
+        last = k == blocks - 1
+        scored = cut(scored.mapInArrow(_number(shared), ROWS) if last else scored.mapInArrow(_traverse(shared), given.schema), "tokens" if last else "scores")
+        shared.destroy()
 
-    numbered = cut(scored, "tokens")  # each kind leaves the other's columns null, which take no space
+    numbered = scored  # each kind leaves the other's columns null, which take no space
     asked = numbered.where("kind = 0").select("batch", "number", "word", "n")
     by_word = Window.partitionBy("word")
     counted = cut(
