@@ -139,26 +139,31 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """C11: one row per column: position, kind, null rate, distinct count (categorical columns), row count.
 
-    Null counts are one map-side aggregate.  Only categorical columns are unpivoted to
-    (column, value) and counted per value, as the reference asks for no other distinct
-    count; for numeric columns it is NULL.
+    ``df`` is read once: categorical columns are unpivoted to (column, value) and counted per
+    value, and so is one more column that says which numeric columns a row has filled (a
+    character each).  Sums of these counts are the rows and the filled cells of every column.
+    The reference asks for no distinct count of numeric columns; there it is NULL.
     """
     cols = df.columns
-    text = [c for c in cols if not is_numeric(df, c)]
+    numeric = [i for i, c in enumerate(cols) if is_numeric(df, c)]
+    text = [i for i in range(len(cols)) if i not in numeric]
     kinds = df.sparkSession.createDataFrame(
-        [(c, i, "numeric" if c not in text else "categorical") for i, c in enumerate(cols)],
+        [(c, i, "numeric" if i in numeric else "categorical") for i, c in enumerate(cols)],
         "column_name string, position int, kind string",
     )
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-    filled = n.select("n_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(cols)])).alias("x"))
-    rate = filled.select("x.column_name", "n_rows", rnd((F.col("n_rows") - F.col("x.filled")) / F.col("n_rows"), 3).alias("null_rate"))
-    out = kinds.join(F.broadcast(rate), "column_name")  # one row per column
-    if not text:
-        return out.withColumn("n_distinct", F.lit(None).cast("long"))
-    values = _long_typed(df, text).where(~F.col("_isnull")).groupBy("column_name", "value").count()
-    distinct = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
-    out = out.join(F.broadcast(distinct), "column_name", "left")  # one row per column
-    return out.withColumn("n_distinct", F.when(F.col("kind") == "categorical", F.coalesce("_d", F.lit(0)))).drop("_d")
+    marks = F.concat(F.lit(""), *[F.when(F.col(cols[i]).isNull(), "0").otherwise("1") for i in numeric])
+    cells = df.select(*[F.col(cols[i]).cast("string").alias(str(i)) for i in text], marks.alias("marks"))
+    values = cells.unpivot([], cells.columns, "_c", "_v").where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    found = {i: F.col("_c") == str(i) for i in text} | {i: (F.col("_c") == "marks") & (F.substring("_v", k + 1, 1) == "1") for k, i in enumerate(numeric)}
+    sums = values.agg(
+        F.coalesce(F.sum(F.when(F.col("_c") == "marks", F.col("_n"))), F.lit(0)).alias("n_rows"),
+        *[F.coalesce(F.sum(F.when(found[i], F.col("_n"))), F.lit(0)).alias(f"c{i}") for i in range(len(cols))],
+        *[F.count(F.when(found[i], 1)).alias(f"d{i}") for i in text],
+    )
+    per = [F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("filled"), (F.col(f"d{i}") if i in text else F.lit(None).cast("long")).alias("n_distinct")) for i, c in enumerate(cols)]
+    filled = sums.select("n_rows", F.explode(F.array(*per)).alias("x"))
+    rate = filled.select("x.column_name", "n_rows", rnd((F.col("n_rows") - F.col("x.filled")) / F.col("n_rows"), 3).alias("null_rate"), "x.n_distinct")
+    return kinds.join(F.broadcast(rate), "column_name")  # one row per column
 
 
 def typical_numeric(df: DataFrame, columns: Sequence[str], max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
