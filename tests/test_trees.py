@@ -179,3 +179,20 @@ def test_weights_are_poisson_and_depend_on_the_row_alone():
     assert abs(w.mean() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.01 and abs(w.var() - 1) < 0.05
     assert (TR.tree_weights(TR.Fit((0,), 1), h[::-1].copy(), 2)[::-1] == w[2]).all() and (w[0] != w[1]).any()
     assert abs(np.corrcoef(w)[0, 1]) < 0.03
+
+
+def test_exact_sums_grow_one_tree_in_any_order_and_form():
+    r = np.random.default_rng(12)
+    n = 4000
+    bins = np.concatenate([r.integers(0, 64, (2, n)), r.integers(0, 2, (12, n))]).astype(np.uint8)
+    y = TR.snapped(np.log1p(r.integers(1, 10**6, n)), 2.0**-20)
+    w, cols = r.poisson(1.0, n).astype(float), tuple(range(14))
+
+    def grown(order, exact):
+        on = order[w[order] > 0]
+        return TR.grow(bins, y, on, np.zeros(len(on), np.int64), w[on], 1, cols, 2, None, exact)
+
+    a = grown(np.arange(n), False)
+    for order, exact in ((np.arange(n), True), (r.permutation(n), False), (r.permutation(n), True)):
+        b = grown(order, exact)
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
